@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voicegauge.llm.chat import chat_sql, format_preferences, reply_swaps
+from voicegauge.llm.lines import lines_sql, site_line_dedup
+from voicegauge.llm.mixing import mix_sources, mixing_sql
+from voicegauge.llm.ngram_join import ngram_jaccard_join
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -25,6 +30,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @_query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voicegauge.llm.ngram_join import ngram_jaccard_join
-
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"))
+
+
+@_query("op7_line_dedup", lines_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, with source as the host."""
+    return site_line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@_query("op8_mix_sources", mixing_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
+@_query("op10_preference_formatting", chat_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its neighbour's last reply; a mask has a digit a segment."""
+    out = format_preferences(reply_swaps(_read(spark, sf_dir, "conversations")))
+    lengths = lambda x: F.array_join(F.transform(F.col(x), lambda s: F.length(s).cast("string")), ",")
+    digits = lambda x: F.array_join(F.col(x).cast("array<string>"), "")
+    return out.select(F.col("pair_id").alias("conv_id"), "common_turns", "prompt", "chosen", "rejected", digits("chosen_mask").alias("chosen_mask"), digits("rejected_mask").alias("rejected_mask"), lengths("chosen_segments").alias("chosen_lengths"), lengths("rejected_segments").alias("rejected_lengths"), "usable")
