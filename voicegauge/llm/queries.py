@@ -9,6 +9,7 @@ from voicegauge.llm.chat import chat_sql, format_preferences, reply_swaps
 from voicegauge.llm.lines import lines_sql, site_line_dedup
 from voicegauge.llm.mixing import mix_sources, mixing_sql
 from voicegauge.llm.ngram_join import ngram_jaccard_join
+from voicegauge.llm.substring import substring_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +52,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = lambda x: F.array_join(F.transform(F.col(x), lambda s: F.length(s).cast("string")), ",")
     digits = lambda x: F.array_join(F.col(x).cast("array<string>"), "")
     return out.select(F.col("pair_id").alias("conv_id"), "common_turns", "prompt", "chosen", "rejected", digits("chosen_mask").alias("chosen_mask"), digits("rejected_mask").alias("rejected_mask"), lengths("chosen_segments").alias("chosen_lengths"), lengths("rejected_segments").alias("rejected_lengths"), "usable")
+
+
+@_query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
