@@ -28,6 +28,7 @@ class Store:
         self.count = 0
         # Batches of few rows keep the Python side small when texts are long.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df, written and read again: its lineage ends here."""
