@@ -9,7 +9,9 @@ from voicegauge.llm.chat import chat_sql, format_preferences, reply_swaps
 from voicegauge.llm.lines import lines_sql, site_line_dedup
 from voicegauge.llm.mixing import mix_sources, mixing_sql
 from voicegauge.llm.ngram_join import ngram_jaccard_join
+from voicegauge.llm.quality import quality_scores
 from voicegauge.llm.substring import substring_dedup
+from voicegauge.llm.toxicity import toxicity_scores
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +60,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _bucket(n: int) -> str:
+    return f"crc32(cast(doc_id as string)) % {n}"
+
+
+@_query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), learn=f"{_bucket(5)} <> 0")
+    return out.select("doc_id", F.expr(f"coalesce({_bucket(5)} = 0, true)").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), learn=f"{_bucket(3)} <> 1")
+    return out.select("doc_id", F.expr(f"coalesce({_bucket(3)} = 1, true)").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
