@@ -1,8 +1,69 @@
-"""From raw documents to a training mix, in five stages over the `documents` table."""
+"""From raw documents to a training mix, in five stages over the `documents` table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+as Parquet and read again as the next stage's docs. All but the last return
+the columns of `documents`.
+
+1. quality: documents that the classifier scores under 0.3 go.
+2. lines: boilerplate lines of a source are cut out; no document goes.
+3. near_duplicates: of each component of the n-gram Jaccard join the document
+   with the least doc_id stays. Rows without a doc_id stay.
+4. decontamination: documents that hold a benchmark item go.
+5. mixing: documents that the mix takes words of, with size, source_size,
+   target and taken. Rows of one doc_id share one schedule.
+
+The classifier, the sets of shingles and the alignment have no SQL form, so
+ORACLE_SQL is None; tests/llm hold run() against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voicegauge.llm._store import Store
+from voicegauge.llm.decontaminate import drop_contaminated
+from voicegauge.llm.lines import site_line_dedup
+from voicegauge.llm.mixing import mix_sources
+from voicegauge.llm.ngram_join import ngram_jaccard_join
+from voicegauge.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = site_line_dedup(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+
 
-STAGES: list = []
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    store = Store(spark, "near-duplicates")
+    groups = store.keep(ngram_jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    out = docs.join(groups.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not groups.where("rows > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mix = mix_sources(docs).where("taken > 0").dropDuplicates(["doc_id"])
+    return docs.join(mix, "doc_id").select(*docs.columns, "size", "source_size", "target", "taken")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of sf_dir."""
+    store = Store(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = store.keep(stage(spark, docs, sf_dir))
+    return docs

@@ -182,3 +182,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(x))], ["doc_id", "score"])
 
     return seen.mapInArrow(score, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", learn: str | None = None, shrinkage: float = 0.05, least: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is `least` or more; scores as in quality_scores. No text is shuffled."""
+    store = Store(docs.sparkSession, "quality")
+    ids = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(label).cast("int").alias("label")).where("id is not null")
+    if learn:
+        ids = ids.withColumn("doc_id", F.col("id")).where(learn).select("id", "label")
+    seen = store.keep(document_statistics(docs, doc_id, text))
+    model = docs.sparkSession.sparkContext.broadcast(fit(seen.join(ids, "id"), shrinkage))
+    store.drop(seen)
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        for b in batches:
+            good = [model.value.score(statistics(w)) >= least for _, _, w in W.chunks(b.column(at))]
+            if good:
+                yield b.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(keep, docs.schema)
