@@ -18,7 +18,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("Dr. Smith left. He ran!", ["Dr. Smith left.", "He ran!"]), ("It is 3.14 now. Yes.", ["It is 3.14 now.", "Yes."]), ("Arthur C. Clarke wrote it.", ["Arthur C. Clarke wrote it."]),
-    ('He said "go." Then left', ['He said "go."', "Then left"]), ("In 1948. It ended", ["In 1948.", "It ended"]), ("u.s.a is one", ["u.s.a is one"]), ("", []), ("  ", []), ("no end", ["no end"]), ("What?! Yes…", ["What?!", "Yes…"]),
+    ('He said "go." Then left', ['He said "go."', "Then left"]), ("In 1948. It ended", ["In 1948.", "It ended"]), ("u.s.a is one", ["u.s.a is one"]), ("", []), ("  ", []), ("no end", ["no end"]), ("What?! Yes…", ["What?!", "Yes..."]),
 ])
 def test_sentences(text, want):
     assert K.split_sentences(text) == want
@@ -26,7 +26,7 @@ def test_sentences(text, want):
 
 def test_words_and_stems(spark):
     assert one(spark, T.words(F.col("x")), x="Australia’s 3.14 isn't 40,000 x_y") == ["Australia's", "3.14", "isn't", "40,000", "x", "y"]
-    assert one(spark, T.content_tokens(F.col("x")), x="The exploring of Australia's cities explored") == ["explor", "australia", "cit", "explor"]
+    assert one(spark, T.content_tokens(F.col("x")), x="The exploring of Australia's cities explored") == ["explor", "australia", "citi", "explor"]
     assert one(spark, T.syllables(F.col("x")), x="beautiful") == 3 and one(spark, T.syllables(F.col("x")), x="the") == 1
 
 

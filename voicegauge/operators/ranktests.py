@@ -176,7 +176,7 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFra
     """(by, n, rho): correlation of average ranks; null under three pairs or without variance."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = both.select(*by, average_rank(x, *by).alias("rx"), average_rank(y, *by).alias("ry"))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("rho"))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
 
 
 def kendall(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
