@@ -129,7 +129,7 @@ def train(rows: list[tuple], width: int, l2: float, penalty: float, steps: int)
     return w, float(b)
 
 
-def fit(labelled: DataFrame, text: str, label: str, width: int, l2: float, penalty: float, steps: int, store: Store) -> Model:
+def fit(labelled: DataFrame, text: str, label: str, width: int, least: float, l2: float, penalty: float, steps: int, store: Store) -> Model:
     """A model of rows (text, label 0 or 1). Only the best features' rows, and the rows' values of them, come to the driver."""
     rows = store.keep(labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")))
     n0, n1 = (rows.where(F.col("label") == c).count() for c in (0, 1))
@@ -150,12 +150,14 @@ def fit(labelled: DataFrame, text: str, label: str, width: int, l2: float, penal
                 first = np.flatnonzero(new)
                 own = y[lo + doc[at]]
                 if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(W.signed(key[first])), *(pa.array(np.add.reduceat(x, first).astype(float)) for x in ((own == 1) * 1.0, (own == 0) * 1.0, value * (own == 1), value * (own == 0)))], ["h", "d1", "d0", "v1", "v0"])
-
-    stats = rows.mapInArrow(seen, "h long, d1 double, d0 double, v1 double, v0 double").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("d1", "d0", "v1", "v0"))).where("d1 + d0 >= 3")
-    # mean density by class, over what chance would differ by
-    gap = F.abs(F.col("v1") / max(n1, 1) - F.col("v0") / max(n0, 1)) / F.sqrt((F.col("v1") + F.col("v0") + 0.5) / max(n0 + n1, 1))
-    best = stats.orderBy(gap.desc(), "h").limit(width).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(W.signed(key[first])), *(pa.array(np.add.reduceat(x, first).astype(float)) for x in (np.ones(len(own)), value * (own == 1), value * (own == 0), value**2))], ["h", "d", "v1", "v0", "s"])
+
+    stats = rows.mapInArrow(seen, "h long, d double, v1 double, v0 double, s double").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("d", "v1", "v0", "s"))).where("d >= 3")
+    # the classes' mean densities, over the standard error of their difference
+    n = max(n0 + n1, 1)
+    spread = F.col("s") / n - F.pow((F.col("v1") + F.col("v0")) / n, 2)
+    z = F.abs(F.col("v1") / max(n1, 1) - F.col("v0") / max(n0, 1)) / F.sqrt((spread + 1e-4) * (1 / max(n1, 1) + 1 / max(n0, 1)))
+    best = stats.where(z >= least).orderBy(z.desc(), "h").limit(width).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     chosen = np.sort(best)
 
     def rows_of(batches):
@@ -179,13 +181,14 @@ def fit(labelled: DataFrame, text: str, label: str, width: int, l2: float, penal
     return Model(chosen, weight, bias)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: str | None = None, sample: int = 12_000, width: int = 3000, l2: float = 2e-5, penalty: float = 1.0, steps: int = 400) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: str | None = None, sample: int = 12_000, width: int = 3000, least: float = 4.0, l2: float = 2e-5, penalty: float = 1.0, steps: int = 400) -> DataFrame:
     """(doc_id, score) of every row of docs; score from 0 to 1, higher: toxic likelier.
 
     labels (doc_id, label 0 or 1) gives the rows to learn from; learn: an SQL
     condition on doc_id that they must meet besides. At most `sample` labelled
     documents are used, those with the least hash of their id; this bound is
-    the only one. Of several labels of an id the greatest counts; null labels
+    the only one. Of their features the `width` best by the difference of
+    class means count, if it is `least` standard errors or more. Of several labels of an id the greatest counts; null labels
     and labels without a document don't. Rows of equal doc_id are each scored.
 
     Null and blank texts have no feature: their score is the model's for no
@@ -200,7 +203,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         ids = ids.withColumn("doc_id", F.col("id")).where(learn).select("id", "label")
     picked = store.keep(ids.orderBy(F.xxhash64("id"), "id").limit(sample))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    model = fit(own.join(F.broadcast(picked), "id"), "text", "label", width, l2, penalty, steps, store)  # at most `sample` rows of two numbers
+    model = fit(own.join(F.broadcast(picked), "id"), "text", "label", width, least, l2, penalty, steps, store)  # at most `sample` rows of two numbers
     sent = spark.sparkContext.broadcast(model)
 
     def score(batches):
