@@ -93,7 +93,7 @@ class Items:
 
     def hits(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(word, number of a seed) wherever a text has one; a seed of several items has several numbers."""
-        words, seeds = [], []
+        words, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in self.sizes:
             g = w.grams(k)
             at = np.flatnonzero(w.within(k))
