@@ -116,10 +116,10 @@ def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOLM = "t as (select p_brand as family, p_partkey as key, case when p_size % 7 = 0 then null else round(1.0::double / (1 + p_partkey % 97), 6) end as p from part)"
 
 
-@query("q12_holm", f"with {HOLM}, r as (select *, count(*) over (partition by family) as m, row_number() over (partition by family order by p, key) as i from t where p is not null), h as (select family, key, p, max(least(1.0::double, (m - i + 1) * p)) over (partition by family order by p, key rows unbounded preceding) as h from r) select family, key, p, round(h, 4) as p_holm, h <= 0.05 as reject from h union all select family, key, p, null, null from t where p is null")
+@query("q12_holm", f"with {HOLM}, r as (select *, count(*) over (partition by family) as m, row_number() over (partition by family order by p, key) as i from t where p is not null), h as (select family, key, p, max(least(1.0::double, (m - i + 1) * p)) over (partition by family order by p, key rows unbounded preceding) as h from r) select family, key, p, round(h, 6) as p_holm, h <= 0.05 as reject from h union all select family, key, p, null, null from t where p is null")
 def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 7 != 0, F.round(1.0 / (1 + F.col("p_partkey") % 97), 6)).alias("p"))
-    return orderstats.holm(t, "p", ("family",), ("key",)).select("family", "key", "p", r4("p_holm").alias("p_holm"), (F.col("p_holm") <= 0.05).alias("reject"))
+    return orderstats.holm(t, "p", ("family",), ("key",)).select("family", "key", "p", F.round("p_holm", 6).alias("p_holm"), (F.col("p_holm") <= 0.05).alias("reject"))
 
 
 @query("q13_detectable_shift", f"with {PAIRS_SQL} select stage, count(d) as n, round((1.959963984540054::double + 0.8416212335729143::double) * stddev_samp(d) / sqrt(count(d)), 4) as mds from pairs group by stage")

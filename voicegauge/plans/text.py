@@ -44,7 +44,7 @@ def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLAIN_CHECKS = [
-    {"id": "non_empty", "type": "non_empty"}, {"id": "english", "type": "language_marker_ratio", "min_response_words": 8, "params": {"min_marker_ratio": 0.08}}, {"id": "no_labels", "type": "forbidden_patterns", "params": {"patterns": [r"^\s*(?:user|human)\s*:", r"Ich\b"]}},
+    {"id": "non_empty", "type": "non_empty"}, {"id": "english", "type": "language_marker_ratio", "min_response_words": 8, "params": {"min_marker_ratio": 0.08}}, {"id": "no_labels", "type": "forbidden_patterns", "params": {"patterns": [r"^\s*(?:user|human)\s*:", r"Ich\s"]}},
     {"id": "no_question", "type": "no_question", "severity": "soft"}, {"id": "complete", "type": "response_complete"}, {"id": "brief", "type": "max_total_words", "severity": "soft", "params": {"max_words": 80}}, {"id": "short", "type": "max_spoken_seconds", "params": {"max_seconds": 25}},
 ]
 SENTENCE_CHECKS = [{"id": "opener", "type": "opening_sentence_max_words"}, {"id": "full_stop", "type": "opening_sentence_terminator"}, {"id": "detail", "type": "detail_sentence_count", "params": {"min": 0, "max": 2}}, {"id": "total", "type": "total_sentence_count", "params": {"min": 1, "max": 3}}, {"id": "cap", "type": "not_truncated_at_cap"}]
@@ -60,7 +60,7 @@ CHECKS_SQL = f"""{TURNS_SQL}, w as (select item, text, {words_sql('text')} as t
     c as (select item, unnest([
       {{'check_id': 'non_empty', 'severity': 'hard', 'applicable': true, 'strict': trim(text, ' ') <> ''}},
       {{'check_id': 'english', 'severity': 'hard', 'applicable': len(t) >= 8, 'strict': len(t) < 8 or len(list_filter(t, lambda x: lower(x) in {_list(T.ENGLISH_MARKERS)}))::double / len(t) >= 0.08::double}},
-      {{'check_id': 'no_labels', 'severity': 'hard', 'applicable': true, 'strict': not regexp_matches(text, '(?im)^\\s*(?:user|human)\\s*:') and not regexp_matches(text, '(?im)Ich\\b')}},
+      {{'check_id': 'no_labels', 'severity': 'hard', 'applicable': true, 'strict': not regexp_matches(text, '(?im)^\\s*(?:user|human)\\s*:') and not regexp_matches(text, '(?im)Ich\\s')}},
       {{'check_id': 'no_question', 'severity': 'soft', 'applicable': true, 'strict': not contains(text, '?')}},
       {{'check_id': 'complete', 'severity': 'hard', 'applicable': true, 'strict': {LAST} in ('.', '!', '?')}},
       {{'check_id': 'brief', 'severity': 'soft', 'applicable': true, 'strict': len(t) <= 80}},
