@@ -35,27 +35,41 @@ def with_checks(metrics: DataFrame, base: DataFrame, contrast: DataFrame) -> Dat
 
 
 def compare_runs(base: DataFrame, contrast: DataFrame, metrics: DataFrame, alpha: float = 0.05, resamples: int = 2000) -> DataFrame:
-    """One row a metric: pairs, means, difference with interval, counts of change, test, effect, equivalence, Holm within the family and verdict.
+    """One row a metric of two runs (item, metric, value), one value an item; see compare_pairs."""
+    b, c = base.select("metric", "item", F.col("value").alias("a")), contrast.select("metric", "item", F.col("value").alias("b"))
+    return compare_pairs(b.join(c, ["metric", "item"]).withColumn("edge", F.lit("")), metrics, alpha, resamples).drop("edge")
+
+
+def compare_edges(values: DataFrame, edges: DataFrame, metrics: DataFrame, alpha: float = 0.05, resamples: int = 2000) -> DataFrame:
+    """Every contrast of a grid in one job: values (run, item, metric, value), edges (kind, group_id, baseline, contrast)."""
+    named = edges.withColumn("edge", F.concat_ws("|", "kind", "group_id", "baseline", "contrast"))
+    a = named.join(values.select(F.col("run").alias("baseline"), "item", "metric", F.col("value").alias("a")), "baseline").select("edge", "item", "metric", "a")
+    b = named.join(values.select(F.col("run").alias("contrast"), "item", "metric", F.col("value").alias("b")), "contrast").select("edge", "item", "metric", "b")
+    out = compare_pairs(a.join(b, ["edge", "item", "metric"]), metrics, alpha, resamples)
+    return out.join(named, "edge").drop("edge")
 
-    base and contrast: (item, metric, value), one value an item. All metrics go
-    through the same joins and aggregations at once.
+
+def compare_pairs(pairs: DataFrame, metrics: DataFrame, alpha: float = 0.05, resamples: int = 2000) -> DataFrame:
+    """One row an edge and metric of pairs (edge, item, metric, a, b): means, difference with interval, counts of change, test, effect, equivalence, Holm within the family and verdict.
+
+    All edges and metrics go through the same joins and aggregations at once.
     """
-    b, c = base.select("metric", "item", F.col("value").alias("a")), contrast.select("metric", "item", F.col("value").alias("b"))
-    pairs = b.join(c, ["metric", "item"]).where("a is not null and b is not null and not isnan(a) and not isnan(b)").join(metrics, "metric").withColumn("d", F.col("b") - F.col("a"))
-    by = ("metric",)
+    by = ("edge", "metric")
+    keys = list(by)
+    pairs = pairs.where("a is not null and b is not null and not isnan(a) and not isnan(b)").join(metrics, "metric").withColumn("d", F.col("b") - F.col("a"))
     gain = F.col("d") * F.col("direction")
-    counts = pairs.groupBy("metric").agg(F.first("direction").alias("direction"), F.first("binary").alias("binary"), F.first("margin").alias("margin"), F.first("family").alias("family"), F.count("*").alias("n_pairs"), F.avg("a").alias("baseline_mean"), F.avg("b").alias("contrast_mean"), F.avg("d").alias("mean_difference"), F.count_if(gain > 0).alias("improved"), F.count_if(gain < 0).alias("degraded"))
+    counts = pairs.groupBy(*by).agg(F.first("direction").alias("direction"), F.first("binary").alias("binary"), F.first("margin").alias("margin"), F.first("family").alias("family"), F.count("*").alias("n_pairs"), F.avg("a").alias("baseline_mean"), F.avg("b").alias("contrast_mean"), F.avg("d").alias("mean_difference"), F.count_if(gain > 0).alias("improved"), F.count_if(gain < 0).alias("degraded"))
     counts = counts.withColumn("unchanged", F.col("n_pairs") - F.col("improved") - F.col("degraded"))
     plain = pairs.where("not binary")
-    ranks = evaluation_signed_rank(signed_rank(plain, by)).select("metric", F.col("n").alias("n_effective"), "statistic", "z", "p")
-    flips = mcnemar(pairs.where("binary").select("metric", (F.col("a") != 0).alias("before"), (F.col("b") != 0).alias("after")), by).select("metric", (F.col("gained") + F.col("lost")).alias("n_effective"), "statistic", F.lit(None).cast("double").alias("z"), "p")
-    sides = plain.select("metric", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("b").alias("value")), F.struct(F.lit("b").alias("side"), F.col("a").alias("value")))).alias("x")).select("metric", "x.*")
+    ranks = evaluation_signed_rank(signed_rank(plain, by)).select(*by, F.col("n").alias("n_effective"), "statistic", "z", "p")
+    flips = mcnemar(pairs.where("binary").select(*by, (F.col("a") != 0).alias("before"), (F.col("b") != 0).alias("after")), by).select(*by, (F.col("gained") + F.col("lost")).alias("n_effective"), "statistic", F.lit(None).cast("double").alias("z"), "p")
+    sides = plain.select(*by, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("b").alias("value")), F.struct(F.lit("b").alias("side"), F.col("a").alias("value")))).alias("x")).select(*by, "x.*")
     effect = cliffs_delta(sides, by)
-    tost = paired_tost(plain.where("margin is not null"), F.col("margin"), by).select("metric", "equivalent")
-    out = counts.join(ranks.union(flips), "metric").join(effect, "metric", "left").join(tost, "metric", "left").join(difference_intervals(pairs, by, resamples), "metric", "left")
+    tost = paired_tost(plain.where("margin is not null"), F.col("margin"), by).select(*by, "equivalent")
+    out = counts.join(ranks.union(flips), keys).join(effect, keys, "left").join(tost, keys, "left").join(difference_intervals(pairs, by, resamples), keys, "left")
     scored = F.col("direction") != 0
     out = out.withColumn("effect_label", F.when(F.col("binary"), "n/a").otherwise(effect_label(F.col("delta")))).withColumn("p_scored", F.when(scored, F.col("p")))
-    out = holm(out, "p_scored", ("family",), ("metric",)).drop("p_scored").withColumnRenamed("p_holm", "p_adjusted")
+    out = holm(out, "p_scored", ("edge", "family"), ("metric",)).drop("p_scored").withColumnRenamed("p_holm", "p_adjusted")
     return out.withColumn("verdict", verdict(alpha))
 
 
