@@ -140,3 +140,21 @@ def test_judges(spark):
 
     failed = models.ask_all(items.select("item", F.col("question").alias("prompt")), ["item"], down).first()
     assert failed.reply is None and failed.error == "down"
+
+
+def test_runs_of_a_grid(spark, tmp_path):
+    from voicegauge.operators import contrasts
+    from voicegauge.sources import runs
+
+    for name, tag in (("02-b", "llama3.1:8b-instruct-q4_K_M"), ("01-a", "llama3.1:8b-instruct-fp16"), ("skip", None)):
+        d = tmp_path / name
+        d.mkdir()
+        if tag:
+            (d / "transcripts.jsonl").write_text('{"stt_text": "a", "llm_text": "b"}\n')
+            (d / "config_used.yaml").write_text(f"ollama_model: {tag}\ntemperature: 0.0\nstt_engine: vosk\nvosk_model: m/vosk-model-small\nnested: {{a: 1}}\n")
+            (d / "system_prompt.txt").write_text("short.txt\n\nBe brief.\n")
+    got = runs.identify_runs(spark, str(tmp_path))
+    assert {r.cell: (r.ord, r.quantization, r.recognizer, r.setting) for r in got.collect()} == {"02-b": (2, "q4_K_M", "vosk-small-cpu", "t0"), "01-a": (1, "fp16", "vosk-small-cpu", "t0")}
+    edges = contrasts.contrast_edges(got).collect()
+    assert {(e.kind, e.baseline[-4:], e.contrast[-4:]) for e in edges} == {("quantization", "01-a", "02-b"), ("cross_model", "01-a", "02-b")}
+    assert runs.read_prompt(spark, str(tmp_path / "01-a")) == "Be brief." and runs.read_settings(spark, str(tmp_path / "skip")) == {}
