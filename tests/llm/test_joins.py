@@ -56,13 +56,13 @@ def family(seed, bases=4, copies=14, size=60, edits=6):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("seed", "leaf", "limits"), [(1, 12, (1, 8)), (2, 2, (1,)), (3, 3, ())])
-def test_join_is_exact(spark, seed, leaf, limits):
+@pytest.mark.parametrize(("seed", "leaf"), [(1, 12), (2, 2), (3, 3)])
+def test_join_is_exact(spark, seed, leaf):
     from voicegauge.llm.ngram_join import ngram_jaccard_join
 
     rows = family(seed)
     df = spark.createDataFrame([(i, t, "en", 0) for i, t in rows], DOCS).repartition(3)
-    got = ngram_jaccard_join(df, leaf=leaf, limits=limits, heavy_least=4).collect()
+    got = ngram_jaccard_join(df, leaf=leaf, heavy_least=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,9 +41,10 @@ class Store:
         return kept
 
     def drop(self, *kept: DataFrame) -> None:
-        """Delete tables that nothing reads any more, and let Spark clean up the shuffles behind them."""
+        """Delete tables that nothing reads any more, and let Spark clean up what was shuffled for earlier ones."""
         jvm = self.spark.sparkContext._jvm
         for df in kept:
             path = jvm.org.apache.hadoop.fs.Path(df._kept_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
         jvm.System.gc()

@@ -19,9 +19,12 @@ a metric, and two documents link when d <= t (t = 0.25 by default).
   boundary. By the triangle inequality what lies beyond 2t links with nothing
   in the core, so core and outside are never compared; the boundary is
   compared with the core where it isn't in one component with it, and what is
-  outside the core goes on as a region of its own, `rounds` times. What is
-  left then, like the small regions, is joined pair by pair after exact bounds
-  (sizes, positions, parity bitmaps); a bound can only save a comparison.
+  outside the core goes on as a region of its own, as do documents whose
+  distances to c differ by more than t. What is left, like the small regions,
+  is joined pair by pair after exact bounds (sizes, positions, parity
+  bitmaps), which only save comparisons: first each member with its `limits`
+  nearest partners, as one link joins whole components, then with all that
+  are still apart.
 
 Equal sets count as one throughout, so a group of copies is one member.
 Sets are of 64-bit shingle hashes.
@@ -38,7 +41,6 @@ from voicegauge.llm import _words as W
 from voicegauge.llm._store import Store
 from voicegauge.llm.components import components
 
-SKETCH = 8  # longs of the parity bitmap
 _MEMBERS = "cell long, a long, b long, na int, nb int, ka int, kb int, big boolean"
 
 
@@ -62,6 +64,46 @@ def shingle_sets(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(doc[new], minlength=w.n_docs)
 
 
+def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    fp = np.zeros(len(n), np.uint64)
+    np.add.at(fp, np.repeat(np.arange(len(n)), n), W.mix(h ^ np.uint64(0x51ED270B0A1F39C1)))
+    return W.mix(fp + n.astype(np.uint64))
+
+
+def parities(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Each set's parity bitmap: whether an odd number of its hashes falls on a bit. It has a power of two of bits, four a shingle at least, so a longer one folds into a shorter."""
+    bits = 64 << np.ceil(np.log2(np.maximum(4 * n / 64, 1))).astype(np.int64)
+    base = np.cumsum(bits) - bits
+    at = np.repeat(base, n) + ((h >> np.uint64(20)).astype(np.int64) & np.repeat(bits - 1, n))
+    odd = np.bincount(at, minlength=int(bits.sum())) & 1
+    return W.binaries(np.packbits(odd.astype(np.uint8), bitorder="little"), bits // 8)
+
+
+def fold(sketch: np.ndarray, longs: int) -> np.ndarray:
+    while len(sketch) > longs:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _sieved(percent: int):
+    """Of rows (a, b, na, nb, sketch_a, sketch_b) the pairs that sizes and bitmaps leave possible: bits that differ are shingles that differ."""
+
+    def keep(batches):
+        for t in batches:
+            na, nb = t.column("na").to_numpy().astype(np.int64), t.column("nb").to_numpy().astype(np.int64)
+            ok = []
+            for i in range(t.num_rows):
+                x, y = (np.frombuffer(t.column(c)[i].as_buffer(), np.uint64) for c in ("sketch_a", "sketch_b"))
+                least = min(len(x), len(y))
+                apart = int(np.bitwise_count(fold(x, least) ^ fold(y, least)).sum())
+                ok.append((100 + percent) * apart <= (100 - percent) * (na[i] + nb[i]))
+            if any(ok):
+                yield t.select(["a", "b"]).filter(pa.array(ok))
+
+    return keep
+
+
 def heavy_shingles(docs: DataFrame, text: str, k: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, rank of each) of the most frequent shingles, `most` at most.
 
@@ -96,7 +138,7 @@ def heavy_shingles(docs: DataFrame, text: str, k: int, least: int, most: int) ->
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, heavy) -> DataFrame:
-    """(id, n, fp, first, s0..s7): set size, set fingerprint, hashes of the shingles whose regions the set is replicated to, parity bitmap."""
+    """(id, n, fp, first, sketch): set size, set fingerprint, hashes of the shingles whose regions the set is replicated to, parity bitmap."""
 
     def rows(batches):
         top, rank = heavy.value
@@ -109,12 +151,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, heav
                     i = np.minimum(np.searchsorted(top, h), len(top) - 1)
                     is_heavy = np.where(top[i] == h, rank[i], 0)
                 doc = np.repeat(np.arange(len(n)), n)
-                fp = np.zeros(len(n), np.uint64)
-                np.add.at(fp, doc, W.mix(h ^ np.uint64(0x51ED270B0A1F39C1)))
-                fp = W.mix(fp + n.astype(np.uint64))
-                # parity of the shingles that fall on each of 512 bits
-                bits = np.bincount(doc * 64 * SKETCH + (h >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=len(n) * 64 * SKETCH)
-                sketch = np.packbits((bits & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(n), SKETCH)
+                fp = fingerprints(h, n)
                 kept = n - (percent * n + 99) // 100 + (n > 0)
                 first = []
                 for d in range(len(n)):
@@ -125,11 +162,11 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, heav
                     first.append(own[:cut])
                 first = np.concatenate(first) if first else h[:0]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(W.signed(fp)), W.binaries(first, kept), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH))],
-                    ["id", "n", "fp", "first", *(f"s{j}" for j in range(SKETCH))],
+                    [b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(W.signed(fp)), W.binaries(first, kept), parities(h, n)],
+                    ["id", "n", "fp", "first", "sketch"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(rows, "id long, n long, fp long, first binary, " + ", ".join(f"s{j} long" for j in range(SKETCH)))
+    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(rows, "id long, n long, fp long, first binary, sketch binary")
 
 
 def _spread(batches):
@@ -183,42 +220,69 @@ def _regions(percent: int, leaf: int):
     return join
 
 
-def _leaves(percent: int, block: int = 512):
-    """Pairs of what is left of a region, in blocks, by exact bounds; only pairs of different components."""
+def _leaves(percent: int, limit: int | None, block: int = 512):
+    """Pairs of what is left of a pivot's region, in blocks, by exact bounds; only pairs of different components.
+
+    limit: of each member's partners only so many, those with the most alike
+    bitmaps; None for all.
+    """
 
     def join(batches):
-        for t in W.groups(batches, ["cell"]):
-            cell = t.column("cell").to_numpy()
-            fp, n, k, comp = (t.column(c).to_numpy() for c in ("fp", "n", "k", "comp"))
+        for t in W.groups(batches, ["g"]):
+            g = t.column("g").to_numpy()
+            fp, n, comp, far = (t.column(c).to_numpy() for c in ("fp", "n", "comp", "far"))
             core = t.column("core").to_numpy(zero_copy_only=False)
             edge = t.column("edge").to_numpy(zero_copy_only=False)
-            bits = np.stack([t.column(f"s{j}").to_numpy() for j in range(SKETCH)], 1).view(np.uint64)
-            at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            for lo, hi in zip(at, np.append(at[1:], len(cell)), strict=True):
+            sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
+            longs = np.array([len(x) for x in sketch])
+            at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            for lo, hi in zip(at, np.append(at[1:], len(g)), strict=True):
                 order = lo + np.argsort(n[lo:hi], kind="stable")
                 for i in range(0, len(order), block):
                     x = order[i : i + block]
                     stop = int(np.searchsorted(n[order], n[x].max() * 100 / percent, "right"))
+                    found = []
                     for j in range(i, stop, block):
                         y = order[j : min(j + block, stop)]
-                        go = _possible(n[x][:, None], n[y][None], k[x][:, None], k[y][None], percent) & (comp[x][:, None] != comp[y][None])
+                        go = (100 * n[x][:, None] >= percent * n[y][None]) & (100 * n[y][None] >= percent * n[x][:, None]) & (comp[x][:, None] != comp[y][None])
                         # core and outside are more than t apart; two of the core are in one component
                         go &= ~((core[x][:, None] & ~edge[y][None]) | (~edge[x][:, None] & core[y][None]))
+                        # distances to the pivot that differ by more than t, where both are known (-1: not)
+                        gap = np.abs(far[x][:, None] - far[y][None])
+                        go &= ~((gap * 100 > 100 - percent + 1e-6) & (far[x][:, None] >= 0) & (far[y][None] >= 0))
                         p, q = np.nonzero(go)
                         if i == j:
                             p, q = p[p < q], q[p < q]
                         if not len(p):
                             continue
-                        apart = np.bitwise_count(bits[x[p]] ^ bits[y[q]]).sum(1)
-                        ok = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * (n[x[p]].astype(np.int64) + n[y[q]])
-                        p, q = x[p[ok]], y[q[ok]]
-                        a, b = np.minimum(fp[p], fp[q]), np.maximum(fp[p], fp[q])
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                        least = min(longs[x].min(), longs[y].min())
+                        bx, by = (np.stack([fold(sketch[r], least) for r in z]) for z in (x, y))
+                        for cut in range(0, len(p), 8192):
+                            c = slice(cut, cut + 8192)
+                            apart = np.bitwise_count(bx[p[c]] ^ by[q[c]]).sum(1, dtype=np.int64)
+                            both = n[x[p[c]]] + n[y[q[c]]]
+                            ok = (100 + percent) * apart <= (100 - percent) * both
+                            found.append((x[p[c]][ok], y[q[c]][ok], (apart / both)[ok]))
+                            if limit is not None:
+                                found = [_nearest(found, limit)]
+                    if sum(len(f[0]) for f in found):
+                        a, b = (np.concatenate([f[z] for f in found]) for z in (0, 1))
+                        own = np.minimum(comp[a], comp[b])  # texts meet by component, whatever the region
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], ["g", "a", "b"])
 
     return join
 
 
+def _nearest(found: list[tuple], limit: int) -> tuple:
+    """Of (x, y, distance) the nearest `limit` rows of each x."""
+    x, y, far = (np.concatenate([f[z] for f in found]) for z in (0, 1, 2))
+    order = np.lexsort((far, x))
+    x, y, far = x[order], y[order], far[order]
+    i = np.arange(len(x))
+    keep = i - np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1])[: len(x)], i, 0)) < limit
+    return x[keep], y[keep], far[keep]
+
+
 def _sieve(ids: DataFrame, bits: int = 23):
     """A bitmap of 2**bits bits of hashed ids, without false negatives; its size is fixed, and where too many ids fill it, it only saves less."""
 
@@ -238,61 +302,62 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
     return (W.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def distances(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, reps: DataFrame, k: int, store: Store, salt_rows: int = 512) -> DataFrame:
-    """pairs (a, b) of fingerprints -> (a, b, common, total): sizes of intersection and union, from whole texts.
+def distances(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, ids: DataFrame, k: int, store: Store, block: int = 512) -> DataFrame:
+    """pairs (g, a, b) of fingerprints, kept -> (a, b, common, total): sizes of intersection and union, from whole texts.
 
-    The sets of the b of one a are streamed past a's set; where there are
-    many, they are dealt over several salts of a.
+    g is what the pairs have in common, a pivot or a component. Its members are dealt into blocks
+    of about `block`, and a pair of blocks that has pairs gets each text that
+    it needs once, however many pairs the text is in.
     """
-    pairs = store.keep(pairs)
-    used = store.keep(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(reps, "fp"))
-    sieve = _sieve(used.select("id"))
+    ends = lambda d, *more: d.select(*more, F.col("a").alias("fp")).union(d.select(*more, "b")).distinct()
+    blocks = ends(pairs, "g").groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "g").select("g", F.expr("int(pmod(xxhash64(a), blocks))").alias("x"), F.expr("int(pmod(xxhash64(b), blocks))").alias("y"), "a", "b")
+    dealt = store.keep(dealt)
+    roles = store.keep(ends(dealt, "g", "x", "y").join(ids, "fp"))
+    sieve = _sieve(roles.select("id"))
 
     def maybe(batches):
         seen = np.unpackbits(sieve.value)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            ok = np.flatnonzero(seen[_slot(np.nan_to_num(ids).astype(np.int64), 23)])
+            ok = np.flatnonzero(seen[_slot(b.column(0).to_numpy(), 23)])
             if len(ok):
                 yield b.take(pa.array(ok))
 
-    def sets(batches):
-        for b in batches:
-            for lo, hi, w in W.chunks(b.column(1), lower=True):
-                h, n = shingle_sets(w, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), W.binaries(h, n)], ["fp", "set"])
-
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    few = own.mapInArrow(maybe, own.schema).join(used, "id").dropDuplicates(["fp"])
-    held = store.keep(few.select("fp", "text").mapInArrow(sets, "fp long, set binary"))
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
-    heads = salts.join(held, salts.a == held.fp).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "set")
-    rest = pairs.join(salts, "a").join(held, pairs.b == held.fp).select("a", F.expr("int(pmod(xxhash64(b), salts))").alias("salt"), "b", "set")
-
     def measure(batches):
-        key, head = None, None
+        key, sets = None, {}
         for t in batches:
-            a, s, b = (t.column(c).to_numpy(zero_copy_only=False) for c in ("a", "salt", "b"))
-            null = t.column("b").is_null().to_numpy(zero_copy_only=False)
+            g, x, y, fp = (t.column(c).to_numpy() for c in ("g", "x", "y", "a"))
+            b = t.column("b")
+            null, b = b.is_null().to_numpy(zero_copy_only=False), b.fill_null(0).to_numpy()
             out = []
-            for i in range(t.num_rows):
-                own = np.frombuffer(t.column("set")[i].as_buffer(), np.uint64)
-                if null[i]:
-                    key, head = (a[i], s[i]), own
-                    continue
-                assert key == (a[i], s[i])
-                at = np.searchsorted(head, own)
-                at[at == len(head)] = 0
-                common = int((head[at] == own).sum())
-                out.append((a[i], t.column("b")[i].as_py(), common, len(head) + len(own) - common))
+            for lo, hi, w in W.chunks(t.column("text"), lower=True):
+                h, n = shingle_sets(w, k)
+                own_fp = W.signed(fingerprints(h, n))
+                at = np.concatenate([[0], np.cumsum(n)])
+                for i in range(lo, hi):
+                    if key != (g[i], x[i], y[i]):
+                        key, sets = (g[i], x[i], y[i]), {}
+                    if null[i]:
+                        if own_fp[i - lo] == fp[i]:  # else another text under the same doc_id
+                            sets[fp[i]] = h[at[i - lo] : at[i - lo + 1]].copy()
+                        continue
+                    one, two = sets[fp[i]], sets[b[i]]
+                    p = np.searchsorted(one, two)
+                    p[p == len(one)] = 0
+                    common = int((one[p] == two).sum())
+                    out.append((fp[i], b[i], common, len(one) + len(two) - common))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "common", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], ["a", "b", "common", "total"])
 
-    both = heads.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return store.keep(both.mapInArrow(measure, "a long, b long, common long, total long"))
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    members = own.mapInArrow(maybe, own.schema).join(roles, "id").select("g", "x", "y", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    both = members.union(dealt.select("g", "x", "y", "a", "b", F.lit(None).cast("string"))).repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", F.col("b").asc_nulls_first())
+    out = store.keep(both.mapInArrow(measure, "a long, b long, common long, total long"))
+    store.drop(roles, dealt)
+    return out
 
 
-def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, leaf: int = 12, rounds: int = 1, heavy_least: int = 24, heavy_most: int = 200_000, links: bool = False) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, leaf: int = 12, limits: tuple[int, ...] = (1,), heavy_least: int = 24, heavy_most: int = 200_000, links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs, or with links the linked pairs of classes.
 
     n_shingles: size of the set. class_id: least doc_id with the same set.
@@ -303,8 +368,8 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Null, blank and wordless texts: size 0, linked with nothing, their own
     doc_id as class and component. Fewer than k words: the whole sequence is
-    the one shingle. Rows with the same doc_id are each kept, a null doc_id
-    gets the component of its class (null if it alone makes it). Further
+    the one shingle. Rows with the same doc_id are each kept. A null doc_id
+    gets the component of an equal set that has an id, else null. Further
     columns of docs are ignored, whatever their names. An empty table gives
     an empty result.
     """
@@ -312,45 +377,61 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     store = Store(spark, "ngram-join")
     heavy = spark.sparkContext.broadcast(heavy_shingles(docs, text, k, heavy_least, heavy_most))
     seen = store.keep(describe(docs, doc_id, text, k, percent, heavy))
-    sketches = [f"s{j}" for j in range(SKETCH)]
-    reps = store.keep(seen.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in sketches)))
+    reps = store.keep(seen.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     cells = seen.select("fp", "n", "first").mapInArrow(_spread, "cell long, fp long, n int, k int").repartition("cell").sortWithinPartitions("cell", "fp")
     members = store.keep(cells.mapInArrow(_regions(percent, leaf), _MEMBERS))
+    store.drop()
     ids = reps.select("fp", "id")
-    links_so_far = None
-    for turn in range(rounds + 1):
-        if turn == 0:
-            wide = 100 - 2 * (100 - percent)  # what the window of 2t still holds
-            found = members.groupBy("a", "b").agg(F.bool_or("big").alias("big"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-            own = [reps.select(F.col("fp").alias(x), *(F.col(s).alias(f"{x}_{s}") for s in sketches)) for x in "ab"]
-            apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketches[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-            bound = lambda p: (apart * (100 + p) <= (F.col("na") + F.col("nb")) * (100 - p)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p)
-            pairs = found.join(own[0], "a").join(own[1], "b").where(F.when(F.col("big"), bound(wide)).otherwise(bound(percent))).select("a", "b")
-        else:
-            big = members.where("big")
-            if big.isEmpty():
-                break
-            comp = components(_edges(links_so_far, ids), store)
-            measured = links_so_far.select("a", "b", (F.col("common") * 100 >= F.col("total") * percent).alias("core"), (F.col("common") * 100 >= F.col("total") * (100 - 2 * (100 - percent))).alias("near"))
-            rest = big.join(measured, ["a", "b"], "left").select("cell", F.col("b").alias("fp"), F.col("nb").alias("n"), F.col("kb").alias("k"), F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("near", F.lit(False)).alias("near"))
-            rest = rest.join(reps.drop("n"), "fp").join(comp, F.col("id") == F.col("node"), "left")
-            rest = rest.withColumn("comp", F.coalesce("component", "id", F.col("fp"))).withColumn("edge", F.expr("near and not core"))
-            # a region with one component left has nothing to compare
-            open_cells = rest.groupBy("cell").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("cell")
-            rest = rest.join(open_cells, "cell").select("cell", "fp", "n", "k", "core", "edge", "comp", *sketches)
-            pairs = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_leaves(percent), "a long, b long").distinct()
-        new = distances(docs, doc_id, text, pairs, ids, k, store)
-        links_so_far = new if links_so_far is None else links_so_far.union(new)
-    links_so_far = links_so_far.where(F.col("common") * 100 >= F.col("total") * percent)
+    met = store.keep(members.groupBy("a", "b").agg(F.count("*").alias("cells"), F.bool_or("big").alias("big"), F.first("na").alias("na"), F.first("nb").alias("nb")))
+    # First each document with the one pivot that it shares most regions with, then pairs that this left in different components.
+    wide = 100 - 2 * (100 - percent)  # what the window of 2t still holds
+    a, b = (reps.select(F.col("fp").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    best = store.keep(met.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("cells", "a")).alias("x")).select("x.a", "b", "x.na", "x.nb"))
+    measured = distances(docs, doc_id, text, store.keep(best.join(a, "a").join(b, "b").mapInArrow(_sieved(wide), "a long, b long").select(F.col("a").alias("g"), "a", "b")), ids, k, store)
+    comp = components(_edges(_linked(measured, percent), ids), store)
+    sizes_fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    other = _apart(met.where(sizes_fit).select("a", "b", "na", "nb").join(best, ["a", "b"], "left_anti"), ids, comp)
+    other = other.join(a, "a").join(b, "b").mapInArrow(_sieved(percent), "a long, b long").select(F.col("a").alias("g"), "a", "b")
+    # What the pivots leave of their regions, a member once a region; its distance to the pivot says where it lies.
+    # First each member's nearest partners outside its component, as one link joins whole components; at last all that are apart.
+    for limit in (*limits, None):
+        region = met.where("big").select("a", "b", F.col("nb").cast("long").alias("n")).join(measured, ["a", "b"], "left")
+        region = region.join(best.select("a", "b", F.lit(True).alias("tried")), ["a", "b"], "left")
+        common, total = F.col("common"), F.col("total")
+        core, near = F.coalesce(common * 100 >= total * percent, F.lit(False)), F.coalesce(common * 100 >= total * wide, F.col("tried").isNull())
+        region = region.select(F.col("a").alias("g"), F.col("b").alias("fp"), "n", F.coalesce(1 - common / total, F.lit(-1.0)).alias("far"), core.alias("core"), (near & ~core).alias("edge"))
+        region = store.keep(region.join(ids, "fp").join(comp, F.col("id") == F.col("node"), "left").select("g", "fp", "n", "far", "core", "edge", F.coalesce("component", "id").alias("comp")))
+        # a region with one component left has nothing to compare
+        mixed = region.groupBy("g").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("g")
+        left = region.join(mixed, "g").join(reps.select("fp", "sketch"), "fp").repartition("g").sortWithinPartitions("g")
+        pairs = left.mapInArrow(_leaves(percent, limit), "g long, a long, b long")
+        if other is not None:
+            pairs, other = pairs.union(other), None
+        pairs = store.keep(pairs.groupBy("a", "b").agg(F.min("g").alias("g")).join(measured, ["a", "b"], "left_anti").select("g", "a", "b"))
+        store.drop(region)
+        if not pairs.isEmpty():
+            measured = measured.union(distances(docs, doc_id, text, pairs, ids, k, store))
+            comp = components(_edges(_linked(measured, percent), ids), store)
+    links_so_far = _linked(measured, percent)
     if links:
         a, b = ids.select(F.col("fp").alias("a"), F.col("id").alias("class_a")), ids.select(F.col("fp").alias("b"), F.col("id").alias("class_b"))
         return links_so_far.join(a, "a").join(b, "b").select("class_a", "class_b", "common", "total")
-    comp = components(_edges(links_so_far, ids), store)
     named = ids.join(comp, ids.id == comp.node, "left").select("fp", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     out = seen.select("id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(named, "fp", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
 
 
+def _linked(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.where(F.col("common") * 100 >= F.col("total") * percent)
+
+
+def _apart(pairs: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose two sides aren't in one component yet."""
+    label = ids.join(comp, ids.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("c"))
+    a, b = (label.select(F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where("not (ca <=> cb)").select(pairs.columns)
+
+
 def _edges(links: DataFrame, ids: DataFrame) -> DataFrame:
     a, b = ids.select(F.col("fp").alias("a"), F.col("id").alias("u")), ids.select(F.col("fp").alias("b"), F.col("id").alias("v"))
     return links.join(a, "a").join(b, "b").select("u", "v").where("u is not null and v is not null")
