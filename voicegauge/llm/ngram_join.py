@@ -267,8 +267,7 @@ def _leaves(percent: int, limit: int | None, block: int = 512):
                                 found = [_nearest(found, limit)]
                     if sum(len(f[0]) for f in found):
                         a, b = (np.concatenate([f[z] for f in found]) for z in (0, 1))
-                        own = np.minimum(comp[a], comp[b])  # texts meet by component, whatever the region
-                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], ["g", "a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(comp[a], comp[b])), pa.array(np.maximum(comp[a], comp[b]))], ["a", "b", "ca", "cb"])
 
     return join
 
@@ -302,16 +301,16 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
     return (W.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def distances(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, ids: DataFrame, k: int, store: Store, block: int = 512) -> DataFrame:
+def distances(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, ids: DataFrame, k: int, store: Store, block: int = 4_000_000) -> DataFrame:
     """pairs (g, a, b) of fingerprints, kept -> (a, b, common, total): sizes of intersection and union, from whole texts.
 
-    g is what the pairs have in common, a pivot or a component. Its members are dealt into blocks
-    of about `block`, and a pair of blocks that has pairs gets each text that
-    it needs once, however many pairs the text is in.
+    g is what the pairs have in common, a pivot or a component. Its members
+    are dealt into blocks of about `block` shingles, and a pair of blocks that
+    has pairs gets each text that it needs once, however many pairs it is in.
     """
     ends = lambda d, *more: d.select(*more, F.col("a").alias("fp")).union(d.select(*more, "b")).distinct()
-    blocks = ends(pairs, "g").groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "g").select("g", F.expr("int(pmod(xxhash64(a), blocks))").alias("x"), F.expr("int(pmod(xxhash64(b), blocks))").alias("y"), "a", "b")
+    blocks = ends(pairs, "g").join(ids, "fp").groupBy("g").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "g").select("g", F.expr("int(pmod(xxhash64(a), blocks))").alias("p"), F.expr("int(pmod(xxhash64(b), blocks))").alias("q"), "a", "b").select("g", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b")
     dealt = store.keep(dealt)
     roles = store.keep(ends(dealt, "g", "x", "y").join(ids, "fp"))
     sieve = _sieve(roles.select("id"))
@@ -381,7 +380,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cells = seen.select("fp", "n", "first").mapInArrow(_spread, "cell long, fp long, n int, k int").repartition("cell").sortWithinPartitions("cell", "fp")
     members = store.keep(cells.mapInArrow(_regions(percent, leaf), _MEMBERS))
     store.drop()
-    ids = reps.select("fp", "id")
+    ids = reps.select("fp", "id", "n")
     met = store.keep(members.groupBy("a", "b").agg(F.count("*").alias("cells"), F.bool_or("big").alias("big"), F.first("na").alias("na"), F.first("nb").alias("nb")))
     # First each document with the one pivot that it shares most regions with, then pairs that this left in different components.
     wide = 100 - 2 * (100 - percent)  # what the window of 2t still holds
@@ -390,8 +389,8 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     measured = distances(docs, doc_id, text, store.keep(best.join(a, "a").join(b, "b").mapInArrow(_sieved(wide), "a long, b long").select(F.col("a").alias("g"), "a", "b")), ids, k, store)
     comp = components(_edges(_linked(measured, percent), ids), store)
     sizes_fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    other = _apart(met.where(sizes_fit).select("a", "b", "na", "nb").join(best, ["a", "b"], "left_anti"), ids, comp)
-    other = other.join(a, "a").join(b, "b").mapInArrow(_sieved(percent), "a long, b long").select(F.col("a").alias("g"), "a", "b")
+    other = met.where(sizes_fit).select("a", "b", "na", "nb").join(best, ["a", "b"], "left_anti")
+    other = _apart(_apart(other, ids, comp).drop("ca", "cb").join(a, "a").join(b, "b").mapInArrow(_sieved(percent), "a long, b long"), ids, comp)
     # What the pivots leave of their regions, a member once a region; its distance to the pivot says where it lies.
     # First each member's nearest partners outside its component, as one link joins whole components; at last all that are apart.
     for limit in (*limits, None):
@@ -400,14 +399,14 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         common, total = F.col("common"), F.col("total")
         core, near = F.coalesce(common * 100 >= total * percent, F.lit(False)), F.coalesce(common * 100 >= total * wide, F.col("tried").isNull())
         region = region.select(F.col("a").alias("g"), F.col("b").alias("fp"), "n", F.coalesce(1 - common / total, F.lit(-1.0)).alias("far"), core.alias("core"), (near & ~core).alias("edge"))
-        region = store.keep(region.join(ids, "fp").join(comp, F.col("id") == F.col("node"), "left").select("g", "fp", "n", "far", "core", "edge", F.coalesce("component", "id").alias("comp")))
+        region = store.keep(region.join(ids.select("fp", "id"), "fp").join(comp, F.col("id") == F.col("node"), "left").select("g", "fp", "n", "far", "core", "edge", F.coalesce("component", "id").alias("comp")))
         # a region with one component left has nothing to compare
         mixed = region.groupBy("g").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("g")
         left = region.join(mixed, "g").join(reps.select("fp", "sketch"), "fp").repartition("g").sortWithinPartitions("g")
-        pairs = left.mapInArrow(_leaves(percent, limit), "g long, a long, b long")
+        pairs = left.mapInArrow(_leaves(percent, limit), "a long, b long, ca long, cb long")
         if other is not None:
-            pairs, other = pairs.union(other), None
-        pairs = store.keep(pairs.groupBy("a", "b").agg(F.min("g").alias("g")).join(measured, ["a", "b"], "left_anti").select("g", "a", "b"))
+            pairs, other = pairs.unionByName(other), None
+        pairs = store.keep(_by_component(store.keep(pairs.dropDuplicates(["a", "b"]).join(measured, ["a", "b"], "left_anti"))))
         store.drop(region)
         if not pairs.isEmpty():
             measured = measured.union(distances(docs, doc_id, text, pairs, ids, k, store))
@@ -429,7 +428,14 @@ def _apart(pairs: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose two sides aren't in one component yet."""
     label = ids.join(comp, ids.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("c"))
     a, b = (label.select(F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where("not (ca <=> cb)").select(pairs.columns)
+    return pairs.join(a, "a").join(b, "b").where("not (ca <=> cb)").select(*pairs.columns, F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+
+
+def _by_component(pairs: DataFrame) -> DataFrame:
+    """(g, a, b): pairs by the one of their two components that more pairs have, so its texts are needed in one place."""
+    n = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    a, b = (n.select(F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    return pairs.join(a, "ca").join(b, "cb").select(F.expr("if(na >= nb, ca, cb)").alias("g"), "a", "b")
 
 
 def _edges(links: DataFrame, ids: DataFrame) -> DataFrame:
