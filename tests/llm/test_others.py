@@ -60,6 +60,22 @@ def test_decontamination_against_brute_force(spark):
     assert " ".join(docs[0].split()[exact.start : exact.end]).lower().replace(",", "") == items[0]
 
 
+def test_decontamination_of_a_widely_leaked_item(spark):
+    """Parts hold the more frequent seeds only, once over 20 documents hold the whole item."""
+    from voicegauge.llm.decontaminate import contaminated_passages
+
+    r = random.Random(5)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=5)) for _ in range(n)]
+    items = [words(40), words(30)]
+    parts = [items[0]] * 25 + [items[0][:20]] * 12 + [items[0][:21]] * 12 + [items[0][15:38], items[0][:19], edited(r, items[0][:34], 0.2), items[1][5:], items[1][:4]]
+    docs = [" ".join(words(r.randint(0, 30)) + p + words(r.randint(0, 30))) for p in parts]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {(i, j): round(score(" ".join(t), d_), 6) for i, d_ in enumerate(docs) for j, t in enumerate(items) if score(" ".join(t), d_) >= 0.5}
+    assert {(x.doc_id, x.item_id): round(x.score, 6) for x in contaminated_passages(d, b).collect()} == want
+    assert {(i, 0) for i in range(50)} <= set(want)
+
+
 def test_decontamination_edge_cases(spark):
     from voicegauge.llm.decontaminate import contaminated_passages, drop_contaminated
 

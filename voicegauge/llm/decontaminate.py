@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Words compare without case and without punctuation around them. The items are
 taken in blocks of at most `block_seeds` n-grams, so what is sent to the tasks
 has a fixed bound and any number of items works. For each block
 
-1. the documents that hold each seed are counted, over all documents;
-2. each item keeps its rarest seeds: half of them, `least_seeds` at least, and
-   every one in at most `rare_docs` documents. An item that leaked widely has
-   frequent seeds only, and keeps its half, so it is never without;
-3. a passage around the diagonals of shared seeds is aligned with the item by
-   local alignment (2 for equal words, -1 for a substitution or a gap). Its
-   score over twice the item's words is the share of the item that is found.
+1. every n-gram of every item is a seed, however many documents hold it;
+2. a passage around the diagonals of shared seeds is left out if it has too few
+   of the item's words for the threshold, which bounds its score from above;
+3. the others are aligned with the item by local alignment (2 for equal words,
+   -1 for a substitution or a gap). The score over twice the item's words is
+   the share of the item that is found.
 """
 
 from __future__ import annotations
@@ -78,18 +77,13 @@ class Items:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.place = self.seed[order].astype(np.uint64), self.item[order], self.place[order]
         self.sizes = sorted({min(n, len(x)) for x in self.words} - {0})
+        self.bags = [np.unique(x, return_counts=True) for x in self.words]
 
-    def rarest(self, count: dict[int, int], least: int, rare: int) -> Items:
-        """Only each item's rarest seeds."""
-        n = np.array([count.get(int(s), 0) for s in self.seed.view(np.int64)], np.int64)
-        order = np.lexsort((self.seed, n, self.item))
-        first = np.searchsorted(self.item[order], np.arange(len(self.words)))
-        size = np.bincount(self.item, minlength=len(self.words))
-        rank = np.arange(len(order)) - first[self.item[order]]
-        keep = order[(rank < np.maximum(least, -(-size[self.item[order]] // 2))) | (n[order] <= rare)]
-        keep.sort()
-        self.seed, self.item, self.place = self.seed[keep], self.item[keep], self.place[keep]
-        return self
+    def common(self, i: int, words: np.ndarray) -> int:
+        """How many of an item's words a passage has, in any order; an alignment scores 2 for each at most."""
+        own, n = self.bags[i]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), n).sum())
 
     def hits(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(word, number of a seed) wherever a text has one; a seed of several items has several numbers."""
@@ -107,19 +101,6 @@ class Items:
         return np.concatenate(words), np.concatenate(seeds)
 
 
-def _seed_counts(items):
-    def count(batches):
-        total = np.zeros(len(items.value.seed), np.int64)
-        for b in batches:
-            for _, _, w in W.chunks(b.column(0), lower=True):
-                at, seed = items.value.hits(bare(w))
-                total += np.bincount(np.unique(w.doc[at] * len(total) + seed) % max(len(total), 1), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(W.signed(items.value.seed[some])), pa.array(total[some])], ["seed", "n"])
-
-    return count
-
-
 def _passages(w: W.Words, items: Items):
     """(text, item, first word, word after the last, seeds) of the passages that share seeds with an item along near diagonals."""
     at, seed = items.hits(w)
@@ -148,6 +129,8 @@ def _scores(items, threshold: float):
                 bare(w)
                 for d, i, start, end, seeds in _passages(w, block):
                     own = block.words[i]
+                    if block.common(i, w.h[start:end]) / len(own) < threshold:
+                        continue
                     best, stop = align(own, w.h[start:end])
                     share = best / (2 * len(own))
                     if share < threshold:
@@ -163,7 +146,7 @@ def _scores(items, threshold: float):
     return score
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 4, threshold: float = 0.5, least_seeds: int = 8, rare_docs: int = 20, block_seeds: int = 1_000_000) -> DataFrame:
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 4, threshold: float = 0.5, block_seeds: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, score, seeds, start, end), a row for each document and item that it holds.
 
     score: from threshold to 1; the best passage's, start and end in words of
@@ -183,11 +166,10 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "
     parts = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text")
-        block = Items(*map(list, zip(*((r.id, r.text or "") for r in rows.toLocalIterator()), strict=True)), n)
-        sent = spark.sparkContext.broadcast(block)
-        counts = own.select("text").mapInArrow(_seed_counts(sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        block = block.rarest({r.seed: r.n for r in counts.toLocalIterator()}, least_seeds, rare_docs)
-        parts.append(own.mapInArrow(_scores(spark.sparkContext.broadcast(block), threshold), FOUND))
+        found = [(r.id, r.text or "") for r in rows.toLocalIterator()]
+        if found:
+            sent = spark.sparkContext.broadcast(Items(*map(list, zip(*found, strict=True)), n))
+            parts.append(own.mapInArrow(_scores(sent, threshold), FOUND))
     out = spark.createDataFrame([], FOUND)
     for p in parts:
         out = out.union(p) if out is not None else p
