@@ -128,6 +128,30 @@ def test_model_tags_and_recognisers(spark):
     assert one(spark, contrasts.recognizer(F.lit("vosk"), F.lit("small"), F.lit("cpu"), F.col("x")), x="") == "vosk-small-cpu"
 
 
+def test_rouge_l_over_every_document(spark):
+    from tests.conftest import SMALL
+    from voicegauge.plans import load_all
+
+    def lcs(x, y):
+        old = [0] * (len(y) + 1)
+        for w in x:
+            new = [0]
+            for j, v in enumerate(y):
+                new.append(old[j] + 1 if v == w else max(old[j + 1], new[j]))
+            old = new
+        return old[-1]
+
+    tokens = lambda name, key: {r[0]: r[1] or [] for r in spark.read.parquet(f"{SMALL}/{name}.parquet").select(key, T.answer_tokens(F.col("text"))).collect()}
+    docs, items = tokens("documents", "doc_id"), tokens("benchmark", "item_id")
+    got = {r.doc_id: (r.item_id, r.rouge_l) for r in load_all()[0]["q29_rouge_l"](spark, SMALL).collect()}
+    assert set(got) == set(docs)
+    for i, p in docs.items():
+        r = items[i % len(items)]
+        n = lcs(p, r)
+        want = 2.44 * (n / len(p)) * (n / len(r)) / (n / len(r) + 1.44 * n / len(p)) if n else 0.0
+        assert got[i] == (i % len(items), pytest.approx(want, abs=6e-5))
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ('Sure: {"score": 4} ok', 4), ("```json\n{'score': 3,}\n```", 3), ("score 9, or 2", 2), ("none", None), ('{"score": "5/5"}', 5), ('{"score": 99} maybe 4', 4), ('{"a": {"b": "}"}} {"score": 2}', 2), ("", None),
 ])

@@ -138,7 +138,10 @@ def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q29_rouge_l")
 def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _answers(spark, sf_dir)
+    """Every document against the item of its number modulo the items."""
+    b = table(spark, sf_dir, "benchmark")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % b.agg(F.count("*")).scalar()).alias("item_id"))
+    x = d.join(b.select("item_id", F.col("text").alias("reference")), "item_id")
     return x.select("doc_id", "item_id", r4(overlap.rouge_l(T.answer_tokens(F.col("text")), T.answer_tokens(F.col("reference")))).alias("rouge_l"))
 
 
