@@ -1,6 +1,7 @@
 """Text measures, checks, alignment and recovery of model output."""
 
 import difflib
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -159,6 +160,23 @@ def test_scores_out_of_model_output(text, want):
     assert K.score_of(text, 1, 5) == want
 
 
+def test_scores_out_of_whole_documents(spark):
+    from tests.conftest import SMALL
+    from voicegauge.plans import load_all
+
+    got = {r.doc_id: r.score for r in load_all()[0]["q49_json_recovery"](spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "n_chars").collect()
+    assert set(got) == {r.doc_id for r in docs}
+    for r in docs:
+        n, form = r.n_chars % 7, r.doc_id % 4
+        assert "{" not in r.text and "```" not in r.text
+        tail = f"{n} 5" if form == 2 else f"{n}" if form < 2 else ""
+        numbers = [int(x) for x in re.findall(r"-?[0-9]+", f"{r.text} {tail}")]
+        assert got[r.doc_id] == (n if form < 2 and 1 <= n <= 5 else next((x for x in numbers if 1 <= x <= 5), None))
+    body = "He wrote {once, it's \"so\" and 'left'. ``` It was 9 } of " + "7" * 5000 + " things. " * 50
+    assert K.score_of(body + '{"score": 4}', 1, 5) == 4 and K.score_of(body + "or 3", 1, 5) == 3
+
+
 def test_sweep_scores(spark):
     seg = "array<struct<at_s:double,flush:boolean,text:string,n_words:long,last_word_end_s:double>>"
     rows = [("cut", [(1.0, False, "a b", 2, 0.8), (3.0, False, "c", 1, 2.5)], 2.0), ("ok", [(2.6, False, "a", 1, 2.0), (3.0, True, "", 0, None)], 2.0), ("never", [(3.0, True, "x", 1, 2.0)], None)]

@@ -81,10 +81,10 @@ def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q49_json_recovery")
 def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring("text", 1, 60).alias("lead"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
     n = (F.col("n_chars") % 7).cast("string")
     forms = F.array(F.concat(F.lit('{"score": '), n, F.lit("}")), F.concat(F.lit("```json\n{'score': "), n, F.lit(",}\n```")), F.concat(F.lit("score "), n, F.lit(" of 5")), F.lit("none"))
-    reply = F.concat_ws(" ", "lead", F.element_at(forms, (F.col("doc_id") % 4 + 1).cast("int")))
+    reply = F.concat_ws(" ", "text", F.element_at(forms, (F.col("doc_id") % 4 + 1).cast("int")))
     return d.select("doc_id", reply.alias("reply")).select("doc_id", recovered_score(1, 5)("reply").alias("score"))
 
 
