@@ -177,6 +177,22 @@ def test_model_tells_random_strings_from_identifiers():
     assert np.mean(found[1]) > 0.97 and np.mean(found[0]) < 0.02
 
 
+def test_secrets_inside_paths_and_assignments():
+    from voicegauge.llm._words import Words
+
+    model, r = secrets.fit(secrets.labelled_samples()), random.Random(3)
+    base = secrets.ALPHABET[:62].decode()
+    hits = {k: [] for k in range(3)}
+    for i in range(150):
+        key = "".join(r.choices(base, k=40))
+        before = ("/files/documents/management/information/configuration/", "ENVIRONMENT_APPLICATION_SERVICE_CONFIGURATION_SETTING_VALUE_NAME=", "/files/" + "".join(r.choices("0123456789abcdef", k=16)) + "/")[i % 3]
+        text = before + key + ("", "/download/representation/understanding/index")[i % 2]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        spans = [s for s in secrets.scan(Words(raw, np.array([0, len(raw)]), False, False), model).get(0, []) if s[2] == 3]
+        hits[i % 3].append(any(a <= len(before) + 3 and z >= len(before) + 37 for a, z, _ in spans))
+    assert all(np.mean(h) > 0.95 for h in hits.values())
+
+
 def test_secret_query_digests(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in QUERIES["op5_secret_scan"](spark, SMALL).collect():

@@ -4,7 +4,8 @@ Both models are first-order chains over characters, trained on labelled
 samples. The random class has one chain for each alphabet that its samples
 show (digits and a-f, digits and A-F, one case with digits, all); a run takes
 the best. A run is a secret where the log-likelihood ratio to the ordinary
-chain passes a threshold, in all and for each character.
+chain passes a threshold, in all and for each character. Of a run that doesn't
+pass as a whole, its best parts are judged. What base patterns cover is left out.
 """
 
 from __future__ import annotations
@@ -70,6 +71,55 @@ class Markov:
         return np.max([np.add.reduceat(chain[before, code], first) for chain in self.random], 0) - np.add.reduceat(self.ordinary[before, code], first)
 
 
+    def parts(self, run: np.ndarray, least: int, total: float, each: float) -> list[tuple[int, int]]:
+        """(start, end) of what passes in a run that doesn't as a whole: its pieces between marks, and each chain's best segments, out to the marks around them where those pass too."""
+        code = _CODE[run]
+        gain = np.stack([c[:-1][code[:-1], code[1:]] for c in self.random]) - self.ordinary[:-1][code[:-1], code[1:]]
+        first = (self.random[:, -1, code] - self.ordinary[-1, code])
+        marks = np.flatnonzero(code >= 62)
+        found = []
+
+        def passes(a, b):
+            if b - a < least:
+                return False
+            got = (first[:, a] + gain[:, a : b - 1].sum(1)).max()
+            return got >= total and got >= each * (b - a)
+
+        edges = [-1, *marks.tolist(), len(run)]
+        found += [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False) if passes(a + 1, b)]
+        for own in gain:
+            stack = [(0, len(run))]
+            while stack:
+                a, b = stack.pop()
+                if b - a < least:
+                    continue
+                if _best(own[a : b - 1])[2] + np.abs(first[:, a:b]).max() < total:
+                    continue
+                x, y, _ = _best(own[a : b - 1] - each)
+                if y == x:
+                    continue
+                x, y = a + x, a + y + 1
+                at = np.searchsorted(marks, x), np.searchsorted(marks, y)
+                out = (int(marks[at[0] - 1]) + 1 if at[0] else 0, int(marks[at[1]]) if at[1] < len(marks) else len(run))
+                found += [out] if passes(*out) else [(x, y)] if passes(x, y) else []
+                stack += [(a, x), (y, b)]
+        joined: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            if joined and a < joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+            else:
+                joined.append((a, b))
+        return joined
+
+
+def _best(x: np.ndarray) -> tuple[int, int, float]:
+    """(start, end, sum) of the segment of the greatest sum; an empty one where none is above 0."""
+    run = np.concatenate([[0.0], np.cumsum(x)])
+    rise = run - np.minimum.accumulate(run)
+    end = int(rise.argmax())
+    return int(run[: end + 1].argmin()), end, float(rise[end])
+
+
 def fit(samples: list[tuple[str, int]], smooth: float = 0.3) -> Markov:
     """Chains of the labelled samples. Transitions are smoothed towards the frequency of the character's kind (upper, lower, digit, mark), so pairs never seen are judged by their kinds."""
     n = len(ALPHABET)
@@ -169,19 +219,19 @@ def scan(w: W.Words, model: Markov, least: int = 20, total: float = 12.0, each:
         add(doc, a, b, 2)
         taken.append((a, b))
     start, end = _runs(_IS_RUN[data], cut, least)
-    ratio = model.ratio(data, start, end)
-    go = (ratio >= total) & (ratio >= each * (end - start))
-    start, end = start[go], end[go]
     if len(start):
-        # base spans stay; a run that touches one is known already
+        # base spans stay; what they leave of a run is judged by itself
         covered = np.zeros(len(data) + 1, np.int32)
         for a, b in taken:
             covered[a] += 1
             covered[b] -= 1
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
-        free = covered[end] == covered[start]
-        for a, b, doc in zip(start[free], end[free], doc_of(start[free]), strict=True):
-            add(doc, a, b, 3)
+        covered = np.cumsum(covered[:-1]) > 0
+        start, end = _runs(_IS_RUN[data] & ~covered, cut, least)
+    ratio = model.ratio(data, start, end)
+    for a, b, got, doc in zip(start, end, ratio, doc_of(start), strict=True):
+        whole = got >= total and got >= each * (b - a)
+        for x, y in [(0, b - a)] if whole else model.parts(data[a:b], least, total, each):
+            add(doc, a + x, a + y, 3)
     for found in out.values():
         found.sort(key=lambda s: (s[0], s[2], s[1]))
     return out
