@@ -56,16 +56,53 @@ def family(seed, bases=4, copies=14, size=60, edits=6):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("seed", "leaf"), [(1, 12), (2, 2), (3, 3)])
-def test_join_is_exact(spark, seed, leaf):
+@pytest.mark.parametrize(("seed", "block", "chunk"), [(1, 4_000_000, 2_000_000), (2, 200, 900), (3, 600, 1)])
+def test_join_is_exact(spark, seed, block, chunk):
+    """Also with clusters of many blocks, and with chunks of a few sets or one."""
     from voicegauge.llm.ngram_join import ngram_jaccard_join
 
     rows = family(seed)
     df = spark.createDataFrame([(i, t, "en", 0) for i, t in rows], DOCS).repartition(3)
-    got = ngram_jaccard_join(df, leaf=leaf, heavy_least=4).collect()
+    got = ngram_jaccard_join(df, block=block, chunk=chunk).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
 
 
+def test_large_family_near_the_threshold(spark):
+    """2,000 copies of one text, edited so that most pairs are just under the threshold; in one cluster of several blocks."""
+    from voicegauge.llm.ngram_join import ngram_jaccard_join
+
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(104)]
+    rows = []
+    for i in range(2000):
+        own = list(base)
+        for k in r.sample(range(0, 104, 6), 2):
+            own[k] = f"e{r.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame([(i, t, "en", 0) for i, t in rows], DOCS).repartition(4)
+    sets = {i: shingles(t) for i, t in rows}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = set()
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links.add((a, b))
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(rows))}
+    assert 1 < len(set(want.values())) < 2000
+    assert {x.doc_id: x.component_id for x in ngram_jaccard_join(df, block=30_000).collect()} == want
+    found = [(x.class_a, x.class_b) for x in ngram_jaccard_join(df, block=30_000, links=True).collect()]
+    assert len(found) == len(links) and set(found) == links
+
+
 def test_join_edge_cases(spark):
     from voicegauge.llm.ngram_join import ngram_jaccard_join
 
@@ -76,14 +113,19 @@ def test_join_edge_cases(spark):
     assert got == [(-1, 1, -1), (-1, 2, 7), (3, 0, 3), (4, 1, 4), (7, 2, 7), (7, 2, 7), (9, 2, 7)]
 
 
-def test_links_are_true(spark):
+def test_links_are_all_and_true(spark):
     from voicegauge.llm.ngram_join import ngram_jaccard_join
 
     rows = dict(family(5))
     df = spark.createDataFrame([(i, t, "en", 0) for i, t in rows.items()], DOCS)
+    found = {}
     for r in ngram_jaccard_join(df, links=True).collect():
         a, b = shingles(rows[r.class_a]), shingles(rows[r.class_b])
         assert (r.common, r.total) == (len(a & b), len(a | b)) and 100 * r.common >= 75 * r.total
+        found[r.class_a, r.class_b] = r.common
+    first = {shingles(t): i for i, t in sorted(rows.items(), reverse=True) if shingles(t)}
+    pairs = [(i, j) for a, i in first.items() for b, j in first.items() if i < j and 100 * len(a & b) >= 75 * len(a | b)]
+    assert sorted(found) == sorted(pairs)
 
 
 def removed(rows, window=20):

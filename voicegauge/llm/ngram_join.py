@@ -3,6 +3,10 @@
 The space is the sets of k-word shingles with d(x, y) = 1 - |x & y| / |x | y|,
 a metric, and two documents link when d <= t (t = 0.25 by default).
 
+* Reach. Let S be the shingles that stand in more than one set. Whatever y is,
+  x & y lies within x & S, so d(x, y) >= d(x, x & S): a set that is further
+  than t from its own common part links with nothing and needs no region. A
+  census counts every shingle and hands each set its common ones back.
 * Pivots. Almost any two documents are at distance 1, so documents alone
   don't divide the space. The first pivots are therefore the one-shingle sets
   {s}: d(x, {s}) < 1 exactly if x holds s. The nearest of them are x's own
@@ -12,28 +16,29 @@ a metric, and two documents link when d <= t (t = 0.25 by default).
   d(x, y) <= t and the least shingle that both hold is x's number i, then
   x & y lies within x_i, so i / |x| = d(x, x_i) <= d(x, x & y) <= d(x, y) <= t.
   A document is thus replicated into the regions of its first
-  |x| - ceil((1 - t)|x|) + 1 shingles, and no link is lost.
-* Recursion. A region of more than `leaf` different sets elects a document as
-  its next pivot c. The distances to c are computed; those within t link to c
-  and make its core (one component already), those within 2t are its
-  boundary. By the triangle inequality what lies beyond 2t links with nothing
-  in the core, so core and outside are never compared; the boundary is
-  compared with the core where it isn't in one component with it, and what is
-  outside the core goes on as a region of its own, as do documents whose
-  distances to c differ by more than t. What is left, like the small regions,
-  is joined pair by pair after exact bounds (sizes, positions, parity
-  bitmaps), which only save comparisons: first each member with its `limits`
-  nearest partners, as one link joins whole components, then with all that
-  are still apart.
-
-Equal sets count as one throughout, so a group of copies is one member.
-Sets are of 64-bit shingle hashes.
+  |x| - ceil((1 - t)|x|) + 1 shingles, and no link is lost. Shingles outside S
+  come first and their regions have one member, so only the common ones count.
+* Recursion. Regions that share a member are one cluster, and no link leaves
+  it. A cluster elects a document as its next pivot p and computes the
+  distances to it: those within t are its core and join its component. Each
+  member of the core is the pivot of a smaller region, of what no component
+  has yet and what the triangle inequality leaves, |d(x, p) - d(y, p)| <= t for
+  every pivot p that was elected so far. When nothing is near any more, the
+  component is closed, and what is left elects its own next pivot, and so on.
+* Large clusters. Over `block` shingles the members of a cluster are dealt into
+  blocks, and each pair of blocks is such a recursion of its own; components
+  join across them. Memory is bounded by two blocks, not by the cluster.
+
+Equal sets count as one throughout, so a group of copies is one member. Sets
+are of 64-bit shingle hashes, and equal if two 64-bit sums of them are. Texts
+are read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +46,18 @@ from voicegauge.llm import _words as W
 from voicegauge.llm._store import Store
 from voicegauge.llm.components import components
 
-_MEMBERS = "cell long, a long, b long, na int, nb int, ka int, kb int, big boolean"
+_U = np.uint64
+_BLOBS = ["a", "b", "c", "d", "e", "f"]
+_SENT = "part int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
+_SEEN = "id long, n long, f1 long, f2 long, shared binary"
+_MANY = 65535  # in place of a set's number: the chunk has the shingle in several sets
 
 
 def shingle_sets(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, lengths): each text's distinct shingles in order of hash; a text of fewer than k words has its whole sequence as one."""
+    """(hashes, lengths): each text's distinct shingles in order of hash.
+
+    A text of fewer than k words has its whole sequence as one.
+    """
     grams, ok = w.grams(k), w.within(k)
     doc, h = w.doc[ok], grams[ok]
     short = np.flatnonzero((w.count > 0) & (w.count < k))
@@ -64,306 +76,376 @@ def shingle_sets(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(doc[new], minlength=w.n_docs)
 
 
-def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+def fingerprints(h: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     """A hash of each set."""
     fp = np.zeros(len(n), np.uint64)
-    np.add.at(fp, np.repeat(np.arange(len(n)), n), W.mix(h ^ np.uint64(0x51ED270B0A1F39C1)))
+    np.add.at(fp, np.repeat(np.arange(len(n)), n), W.mix(h ^ _U(seed)))
     return W.mix(fp + n.astype(np.uint64))
 
 
-def parities(h: np.ndarray, n: np.ndarray) -> pa.Array:
-    """Each set's parity bitmap: whether an odd number of its hashes falls on a bit. It has a power of two of bits, four a shingle at least, so a longer one folds into a shorter."""
-    bits = 64 << np.ceil(np.log2(np.maximum(4 * n / 64, 1))).astype(np.int64)
-    base = np.cumsum(bits) - bits
-    at = np.repeat(base, n) + ((h >> np.uint64(20)).astype(np.int64) & np.repeat(bits - 1, n))
-    odd = np.bincount(at, minlength=int(bits.sum())) & 1
-    return W.binaries(np.packbits(odd.astype(np.uint8), bitorder="little"), bits // 8)
-
-
-def fold(sketch: np.ndarray, longs: int) -> np.ndarray:
-    while len(sketch) > longs:
-        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-    return sketch
-
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-def _sieved(percent: int):
-    """Of rows (a, b, na, nb, sketch_a, sketch_b) the pairs that sizes and bitmaps leave possible: bits that differ are shingles that differ."""
 
-    def keep(batches):
-        for t in batches:
-            na, nb = t.column("na").to_numpy().astype(np.int64), t.column("nb").to_numpy().astype(np.int64)
-            ok = []
-            for i in range(t.num_rows):
-                x, y = (np.frombuffer(t.column(c)[i].as_buffer(), np.uint64) for c in ("sketch_a", "sketch_b"))
-                least = min(len(x), len(y))
-                apart = int(np.bitwise_count(fold(x, least) ^ fold(y, least)).sum())
-                ok.append((100 + percent) * apart <= (100 - percent) * (na[i] + nb[i]))
-            if any(ok):
-                yield t.select(["a", "b"]).filter(pa.array(ok))
+def _one(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
 
-    return keep
 
+def _tails(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The low seven bytes of each hash, cut into pieces of n hashes; the top byte is known from the part."""
+    return W.binaries(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).ravel(), n * 7)
 
-def heavy_shingles(docs: DataFrame, text: str, k: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, rank of each) of the most frequent shingles, `most` at most.
 
-    Counted over all documents; a shingle that a task sees fewer than three
-    times isn't reported by it. The table only orders the pivots, so neither
-    that nor its bound can lose a link.
-    """
-
-    def count(batches):
-        held, size = [], 0
-        for b in batches:
-            for _, _, w in W.chunks(b.column(0), lower=True):
-                held.append(w.grams(k)[w.within(k)])
-                size += len(held[-1])
-                if size > 1_000_000:
-                    yield tally(held)
-                    held, size = [], 0
-        if held:
-            yield tally(held)
-
-    def tally(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(W.signed(h[n >= 3])), pa.array(n[n >= 3].astype(np.int64))], ["h", "n"])
-
-    rows = docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    rank = np.lexsort((h, rows["n"].to_numpy()))
-    ranks = np.empty(len(h), np.int64)
-    ranks[rank] = np.arange(1, len(h) + 1)
-    order = np.argsort(h)
-    return h[order], ranks[order]
-
-
-def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, heavy) -> DataFrame:
-    """(id, n, fp, first, sketch): set size, set fingerprint, hashes of the shingles whose regions the set is replicated to, parity bitmap."""
+def _shingles(k: int, bits: int, most: int):
+    """Of rows (id, text), for each chunk of sets: its shingles by part, and a row that describes the chunk."""
 
     def rows(batches):
-        top, rank = heavy.value
+        task, number = TaskContext.get().partitionId(), 0
+        ids, hashes, sizes, have = [], [], [], 0
         for b in batches:
             for lo, hi, w in W.chunks(b.column(1), lower=True):
                 h, n = shingle_sets(w, k)
-                at = np.concatenate([[0], np.cumsum(n)])
-                is_heavy = np.zeros(len(h), np.int64)
-                if len(top):
-                    i = np.minimum(np.searchsorted(top, h), len(top) - 1)
-                    is_heavy = np.where(top[i] == h, rank[i], 0)
-                doc = np.repeat(np.arange(len(n)), n)
-                fp = fingerprints(h, n)
-                kept = n - (percent * n + 99) // 100 + (n > 0)
-                first = []
-                for d in range(len(n)):
-                    own, hot = h[at[d] : at[d + 1]], is_heavy[at[d] : at[d + 1]]
-                    cut = kept[d]
-                    if hot.any():
-                        own = own[np.argsort(hot, kind="stable")]
-                    first.append(own[:cut])
-                first = np.concatenate(first) if first else h[:0]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(W.signed(fp)), W.binaries(first, kept), parities(h, n)],
-                    ["id", "n", "fp", "first", "sketch"],
-                )
-
-    return docs.select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(rows, "id long, n long, fp long, first binary, sketch binary")
-
-
-def _spread(batches):
-    """Rows (cell, fp, n, k) of each region that a set is replicated to; copies seen together give one row."""
-    for b in batches:
-        fp, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-        _, one = np.unique(fp, return_index=True)
-        one = one[n[one] > 0]
-        first = [np.frombuffer(b.column(2)[int(i)].as_buffer(), np.int64) for i in one]
-        size = np.array([len(x) for x in first], np.int64)
-        if not size.sum():
-            continue
-        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.repeat(fp[one], size)), pa.array(np.repeat(n[one], size).astype(np.int32)), pa.array(k.astype(np.int32))], ["cell", "fp", "n", "k"])
-
-
-def _possible(na, nb, ka, kb, percent):
-    """Whether the sizes, and what is left behind the first common shingle, allow a similarity of percent / 100."""
-    low, high = np.minimum(na, nb).astype(np.int64), np.maximum(na, nb).astype(np.int64)
-    common = 1 + np.minimum(na - 1 - ka, nb - 1 - kb).astype(np.int64)
-    return (100 * low >= percent * high) & ((100 + percent) * common >= percent * (low + high))
-
-
-def _regions(percent: int, leaf: int):
-    def join(batches):
-        for t in W.groups(batches, ["cell"]):
-            cell, fp, n, k = (t.column(c).to_numpy() for c in ("cell", "fp", "n", "k"))
-            new = np.ones(len(cell), bool)
-            new[1:] = (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1])
-            cell, fp, n, k = cell[new], fp[new], n[new], k[new]
-            at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            size = np.diff(np.append(at, len(cell)))
-            left, right, big = [], [], []
-            for s in np.unique(size[(size > 1) & (size <= leaf)]):
-                i, j = np.triu_indices(s, 1)
-                start = at[size == s][:, None]
-                left.append((start + i).ravel())
-                right.append((start + j).ravel())
-            small = sum(map(len, left))
-            for a, s in zip(at[size > leaf], size[size > leaf], strict=True):
-                left.append(np.full(s - 1, a))
-                right.append(np.arange(a + 1, a + s))
-            if not left:
-                continue
-            left, right = np.concatenate(left), np.concatenate(right)
-            big = np.arange(len(left)) >= small
-            go = big | _possible(n[left], n[right], k[left], k[right], percent)
-            left, right, big = left[go], right[go], big[go]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[left], fp[left], fp[right], n[left], n[right], k[left], k[right], big)], ["cell", "a", "b", "na", "nb", "ka", "kb", "big"])
-
-    return join
-
-
-def _leaves(percent: int, limit: int | None, block: int = 512):
-    """Pairs of what is left of a pivot's region, in blocks, by exact bounds; only pairs of different components.
-
-    limit: of each member's partners only so many, those with the most alike
-    bitmaps; None for all.
-    """
-
-    def join(batches):
-        for t in W.groups(batches, ["g"]):
-            g = t.column("g").to_numpy()
-            fp, n, comp, far = (t.column(c).to_numpy() for c in ("fp", "n", "comp", "far"))
-            core = t.column("core").to_numpy(zero_copy_only=False)
-            edge = t.column("edge").to_numpy(zero_copy_only=False)
-            sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
-            longs = np.array([len(x) for x in sketch])
-            at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            for lo, hi in zip(at, np.append(at[1:], len(g)), strict=True):
-                order = lo + np.argsort(n[lo:hi], kind="stable")
-                for i in range(0, len(order), block):
-                    x = order[i : i + block]
-                    stop = int(np.searchsorted(n[order], n[x].max() * 100 / percent, "right"))
-                    found = []
-                    for j in range(i, stop, block):
-                        y = order[j : min(j + block, stop)]
-                        go = (100 * n[x][:, None] >= percent * n[y][None]) & (100 * n[y][None] >= percent * n[x][:, None]) & (comp[x][:, None] != comp[y][None])
-                        # core and outside are more than t apart; two of the core are in one component
-                        go &= ~((core[x][:, None] & ~edge[y][None]) | (~edge[x][:, None] & core[y][None]))
-                        # distances to the pivot that differ by more than t, where both are known (-1: not)
-                        gap = np.abs(far[x][:, None] - far[y][None])
-                        go &= ~((gap * 100 > 100 - percent + 1e-6) & (far[x][:, None] >= 0) & (far[y][None] >= 0))
-                        p, q = np.nonzero(go)
-                        if i == j:
-                            p, q = p[p < q], q[p < q]
-                        if not len(p):
-                            continue
-                        least = min(longs[x].min(), longs[y].min())
-                        bx, by = (np.stack([fold(sketch[r], least) for r in z]) for z in (x, y))
-                        for cut in range(0, len(p), 8192):
-                            c = slice(cut, cut + 8192)
-                            apart = np.bitwise_count(bx[p[c]] ^ by[q[c]]).sum(1, dtype=np.int64)
-                            both = n[x[p[c]]] + n[y[q[c]]]
-                            ok = (100 + percent) * apart <= (100 - percent) * both
-                            found.append((x[p[c]][ok], y[q[c]][ok], (apart / both)[ok]))
-                            if limit is not None:
-                                found = [_nearest(found, limit)]
-                    if sum(len(f[0]) for f in found):
-                        a, b = (np.concatenate([f[z] for f in found]) for z in (0, 1))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(comp[a], comp[b])), pa.array(np.maximum(comp[a], comp[b]))], ["a", "b", "ca", "cb"])
-
-    return join
-
-
-def _nearest(found: list[tuple], limit: int) -> tuple:
-    """Of (x, y, distance) the nearest `limit` rows of each x."""
-    x, y, far = (np.concatenate([f[z] for f in found]) for z in (0, 1, 2))
-    order = np.lexsort((far, x))
-    x, y, far = x[order], y[order], far[order]
-    i = np.arange(len(x))
-    keep = i - np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1])[: len(x)], i, 0)) < limit
-    return x[keep], y[keep], far[keep]
-
-
-def _sieve(ids: DataFrame, bits: int = 23):
-    """A bitmap of 2**bits bits of hashed ids, without false negatives; its size is fixed, and where too many ids fill it, it only saves less."""
-
-    def mark(batches):
-        seen = np.zeros(1 << bits, bool)
-        for b in batches:
-            seen[_slot(b.column(0).to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()])], ["seen"])
-
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for row in ids.coalesce(8).mapInArrow(mark, "seen binary").toLocalIterator():
-        out |= np.frombuffer(row.seen, np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(out)
-
-
-def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (W.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+                ids.append(b.column(0).slice(lo, hi - lo))
+                hashes.append(h)
+                sizes.append(n)
+                have += len(h) + 50 * len(n)  # a chunk has fewer than _MANY sets
+                if have > most:
+                    yield from chunk(pa.concat_arrays(ids), np.concatenate(hashes), np.concatenate(sizes), (task << 32) + number)
+                    ids, hashes, sizes, have, number = [], [], [], 0, number + 1
+        if ids:
+            yield from chunk(pa.concat_arrays(ids), np.concatenate(hashes), np.concatenate(sizes), (task << 32) + number)
+
+    def chunk(ids, h, n, name):
+        f1, f2 = fingerprints(h, n, 0x51ED270B0A1F39C1), fingerprints(h, n, 0x2545F4914F6CDD1D)
+        order = np.lexsort((f2, f1))
+        order = order[n[order] > 0]
+        first = _starts(f1[order], f2[order])
+        slot = np.full(len(n), _MANY, np.int64)
+        slot[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        lead = order[first]  # a document of each distinct set
+        once = np.zeros(len(n), bool)
+        once[lead] = True
+        doc = np.repeat(np.arange(len(n)), n)
+        own = once[doc]
+        h, s = h[own], slot[doc[own]]
+        order = np.argsort(h, kind="stable")
+        h, s = h[order], s[order]
+        at = _starts(h)
+        count = np.diff(np.append(at, len(h)))
+        many = np.repeat(count > 1, count)
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)
+        cut = lambda x: np.diff(np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]))
+        h1, s1, hm, cm = h[~many], s[~many], h[at[count > 1]], count[count > 1]
+        n1, nm = cut(h1), cut(hm)
+        some = np.flatnonzero(n1 + nm > 0)
+        none = pa.nulls(len(some), pa.binary())
+        parts = [_tails(h1, n1), W.binaries(s1.astype(np.uint16), n1), _tails(hm, nm), W.binaries(cm.astype(np.uint32), nm)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name))]
+            + [x.take(pa.array(some)) for x in parts] + [none, none],
+            ["part", "chunk", *_BLOBS],
+        )
+        known = np.concatenate([f1[lead], f2[lead], n[lead].astype(np.uint64)])
+        away = -1 - int(W.mix(np.array([name], np.uint64))[0] % _U(1 << 30))
+        valid = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+        whole = [ids.fill_null(0).to_numpy(), valid, slot.astype(np.uint16), known, s[many].astype(np.uint16), h[many]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([away], pa.int32()), pa.array([name])] + [_one(x) for x in whole], ["part", "chunk", *_BLOBS]
+        )
+
+    return rows
+
+
+def _flat(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(values, values a row) of a column of binaries."""
+    rows = [np.frombuffer(x.as_buffer(), dtype) if x.is_valid else np.zeros(0, dtype) for c in column.chunks for x in c]
+    return (np.concatenate(rows) if rows else np.zeros(0, dtype)), np.array([len(x) for x in rows], np.int64)
+
+
+def _whole(column: pa.ChunkedArray, part: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes whose tails a column has."""
+    raw, n = _flat(column, np.uint8)
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = raw.reshape(-1, 7)
+    out[:, 7] = part >> (bits - 8)
+    return out.view(np.uint64).ravel(), n // 7
+
+
+def _census(bits: int):
+    """To each chunk the shingles of its sets that other sets have too, with how many have them; descriptions pass."""
 
+    def rows(batches):
+        for t in W.groups(batches, ["part"]):
+            part = t.column("part").to_numpy()
+            head = t.filter(pa.array(part < 0))
+            if head.num_rows:
+                kind = pa.array(np.zeros(head.num_rows, np.int32))
+                for b in pa.table([kind, *(head.column(c) for c in ["chunk", *_BLOBS])], ["kind", "chunk", *_BLOBS]).to_batches():
+                    yield b
+            at = _starts(part)
+            for lo, hi in zip(at, np.append(at[1:], len(part)), strict=True):
+                if part[lo] >= 0:
+                    yield from shared(t.slice(lo, hi - lo), int(part[lo]))
+
+    def shared(t, part):
+        h1, n1 = _whole(t.column("a"), part, bits)
+        hm, nm = _whole(t.column("c"), part, bits)
+        s = np.concatenate([_flat(t.column("b"), np.uint16)[0], np.full(len(hm), _MANY, np.uint16)])
+        count = np.concatenate([np.ones(len(h1), np.int64), _flat(t.column("d"), np.uint32)[0].astype(np.int64)])
+        row = np.concatenate([np.repeat(np.arange(t.num_rows), n1), np.repeat(np.arange(t.num_rows), nm)])
+        h = np.concatenate([h1, hm])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        at = _starts(h)
+        size = np.diff(np.append(at, len(h)))
+        total = np.add.reduceat(count[order], at) if len(at) else at
+        go = np.repeat(size > 1, size)
+        pick = order[go]
+        h, total = h[go], np.repeat(total, size)[go]
+        back = np.argsort(row[pick], kind="stable")
+        pick, h, total = pick[back], h[back], total[back]
+        n = np.bincount(row[pick], minlength=t.num_rows)
+        some = pa.array(np.flatnonzero(n))
+        if len(some):
+            blobs = [W.binaries(h, n), W.binaries(s[pick], n), W.binaries(np.minimum(total, 2**32 - 1).astype(np.uint32), n)]
+            none = pa.nulls(len(some), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(len(some), np.int32)), t.column("chunk").combine_chunks().take(some)]
+                + [x.take(some) for x in blobs] + [none] * 3,
+                ["kind", "chunk", *_BLOBS],
+            )
+
+    return rows
+
+
+def _gathered(percent: int):
+    """(id, n, f1, f2, shared) of each document from its chunk's rows.
+
+    shared: the common shingles, rare before frequent, of a set that has enough
+    of them to link; null for others and for all but one of a chunk's equal sets.
+    """
 
-def distances(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, ids: DataFrame, k: int, store: Store, block: int = 4_000_000) -> DataFrame:
-    """pairs (g, a, b) of fingerprints, kept -> (a, b, common, total): sizes of intersection and union, from whole texts.
+    def rows(batches):
+        for t in W.groups(batches, ["chunk"]):
+            chunk = t.column("chunk").to_numpy()
+            at = _starts(chunk)
+            for lo, hi in zip(at, np.append(at[1:], len(chunk)), strict=True):
+                yield from documents(t.slice(lo, hi - lo))
+
+    def documents(t):
+        blob = lambda c, dtype: np.frombuffer(t.column(c)[0].as_buffer(), dtype)
+        ids = pa.array(blob("a", np.int64), mask=blob("b", np.uint8) == 0)
+        slot, known = blob("c", np.uint16), blob("d", np.uint64)
+        m = len(known) // 3
+        f1, f2, n = known[:m], known[m : 2 * m], known[2 * m :].astype(np.int64)
+        s, h = blob("e", np.uint16), blob("f", np.uint64)
+        count = np.diff(np.append(_starts(h), len(h)))
+        count = np.repeat(count, count)
+        told = t.slice(1)
+        other, who, often = (_flat(told.column(c), d)[0] for c, d in (("a", np.uint64), ("b", np.uint16), ("c", np.uint32)))
+        own = who == _MANY
+        if own.any() and len(h):
+            order = np.argsort(other[own])
+            oh, oc = other[own][order], often[own][order].astype(np.int64)
+            where = np.minimum(np.searchsorted(oh, h), len(oh) - 1)
+            count = np.where(oh[where] == h, oc[where], count)
+        s, h = np.concatenate([s, who[~own]]).astype(np.int64), np.concatenate([h, other[~own]])
+        count = np.concatenate([count, often[~own].astype(np.int64)])
+        have = np.bincount(s, minlength=m)
+        near = have >= (percent * n + 99) // 100
+        go = near[s]
+        s, h, count = s[go], h[go], count[go]
+        h = h[np.lexsort((h, count, s))]
+        size = np.where(near, have, 0)
+        doc = np.flatnonzero(slot != _MANY)
+        lead = np.zeros(len(slot), bool)
+        lead[doc[np.unique(slot[doc], return_index=True)[1]]] = True
+        empty = slot == _MANY
+        at = np.where(empty, 0, slot)
+        value = lambda x: pa.array(W.signed(x[at]), mask=empty) if m else pa.nulls(len(slot), pa.int64())
+        if m:
+            none = pa.array(np.where(lead & near[at], at, 0), mask=~(lead & near[at]))
+            shared = W.binaries(h, size).take(none)
+            n = np.where(empty, 0, n[at])
+        else:
+            shared, n = pa.nulls(len(slot), pa.binary()), np.zeros(len(slot), np.int64)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), value(f1), value(f2), shared], ["id", "n", "f1", "f2", "shared"])
+
+    return rows
+
+
+def _prefix(n: np.ndarray, have: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its common shingles, in order, a set's window holds."""
+    return have - (percent * n + 99) // 100 + 1
+
+
+def _regions(percent: int):
+    """Of rows (node, n, shared): (cell, u, v), a region's least member here with v null, and the others hung on it with cell null."""
 
-    g is what the pairs have in common, a pivot or a component. Its members
-    are dealt into blocks of about `block` shingles, and a pair of blocks that
-    has pairs gets each text that it needs once, however many pairs it is in.
-    """
-    ends = lambda d, *more: d.select(*more, F.col("a").alias("fp")).union(d.select(*more, "b")).distinct()
-    blocks = ends(pairs, "g").join(ids, "fp").groupBy("g").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "g").select("g", F.expr("int(pmod(xxhash64(a), blocks))").alias("p"), F.expr("int(pmod(xxhash64(b), blocks))").alias("q"), "a", "b").select("g", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "a", "b")
-    dealt = store.keep(dealt)
-    roles = store.keep(ends(dealt, "g", "x", "y").join(ids, "fp"))
-    sieve = _sieve(roles.select("id"))
-
-    def maybe(batches):
-        seen = np.unpackbits(sieve.value)
+    def rows(batches):
+        held, size = [], 0
         for b in batches:
-            ok = np.flatnonzero(seen[_slot(b.column(0).to_numpy(), 23)])
-            if len(ok):
-                yield b.take(pa.array(ok))
-
-    def measure(batches):
-        key, sets = None, {}
-        for t in batches:
-            g, x, y, fp = (t.column(c).to_numpy() for c in ("g", "x", "y", "a"))
-            b = t.column("b")
-            null, b = b.is_null().to_numpy(zero_copy_only=False), b.fill_null(0).to_numpy()
+            h, have = _flat(pa.chunked_array([b.column("shared")]), np.uint64)
+            kept = _prefix(b.column("n").to_numpy(), have, percent)
+            first = np.cumsum(have) - have
+            pick = np.repeat(first - np.cumsum(kept) + kept, kept) + np.arange(kept.sum())
+            held.append((h[pick], np.repeat(b.column("node").to_numpy(), kept)))
+            size += len(pick)
+            if size > 2_000_000:
+                yield hung(held)
+                held, size = [], 0
+        if size:
+            yield hung(held)
+
+    def hung(held):
+        cell, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, cell))
+        cell, node = cell[order], node[order]
+        at = _starts(cell)
+        count = np.diff(np.append(at, len(cell)))
+        least = np.repeat(node[at], count)
+        pair = np.unique(np.stack([node[node != least], least[node != least]]), axis=1)
+        null = np.concatenate([np.zeros(len(at), bool), np.ones(pair.shape[1], bool)])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([W.signed(cell[at]), pair[0]]), mask=null),
+                pa.array(np.concatenate([node[at], pair[0]])),
+                pa.array(np.concatenate([node[at], pair[1]]), mask=~null),
+            ],
+            ["cell", "u", "v"],
+        )
+
+    return rows
+
+
+class Cluster:
+    """The sets of a cluster over the shingles that two of them have: rows of bits, or lists where bits would be too wide."""
+
+    def __init__(self, n: np.ndarray, h: np.ndarray, have: np.ndarray):
+        self.n, m = n, len(n)
+        words, place, often = np.unique(h, return_inverse=True, return_counts=True)
+        code = np.cumsum(often > 1) - 1
+        member = np.repeat(np.arange(m), have)[often[place] > 1]
+        self.item = code[place[often[place] > 1]]
+        self.at = np.searchsorted(member, np.arange(m + 1))
+        self.width = int((often > 1).sum())
+        longs = self.width // 64 + 1
+        self.bits = None
+        if longs * m <= max(4 * len(self.item), 1 << 16):
+            raw = np.zeros((m, longs * 64), np.uint8) if m * longs <= 1 << 18 else None
+            if raw is not None:
+                raw[member, self.item] = 1
+                self.bits = np.packbits(raw, axis=1).view(np.uint64)
+            else:
+                self.bits = np.zeros((m, longs), np.uint64)
+                np.bitwise_or.at(self.bits, (member, self.item >> 6), _U(1) << (self.item & 63).astype(np.uint64))
+
+    def common(self, c: int, rows: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set c with those of rows."""
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[rows] & self.bits[c]).sum(1, dtype=np.int64)
+        mark = np.zeros(self.width + 1, np.int64)
+        mark[self.item[self.at[c] : self.at[c + 1]]] = 1
+        size = self.at[rows + 1] - self.at[rows]
+        pick = np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sums = np.concatenate([[0], np.cumsum(mark[self.item[pick]])])
+        ends = np.cumsum(size)
+        return sums[ends] - sums[ends - size]
+
+
+def join_cluster(sets: Cluster, percent: int, every: bool, pivots: int = 8):
+    """(a, b, common, total) of members of a cluster.
+
+    With every: all links. Else as many as connect each component: a member of
+    a component isn't compared with another of it.
+    """
+    n = sets.n
+    t = (100 - percent) / 100 + 1e-9
+    left = np.argsort(n, kind="stable")
+    far = np.zeros((0, len(n)))  # distances to the last pivots, of all that were left when they were elected
+    while len(left) > 1:
+        queue, left, elected = [left[0]], left[1:], True
+        while queue and len(left):
+            c = queue.pop()
+            low, high = np.searchsorted(n[left], [-(-percent * n[c] // 100), n[c] * 100 // percent + 1])
+            rows = left if elected else left[low:high]
+            if not elected and len(far):
+                rows = rows[(np.abs(far[:, rows] - far[:, c : c + 1]) <= t).all(0)]
+            both = sets.common(c, rows)
+            total = n[rows] + n[c] - both
+            if elected:
+                new = np.zeros((1, len(n)))
+                new[0, rows] = 1 - both / total
+                far, elected = np.concatenate([far[1 - pivots :] if len(far) >= pivots else far, new]), False
+            near = both * 100 >= total * percent
+            if near.any():
+                yield np.full(near.sum(), c), rows[near], both[near], total[near]
+                if not every:
+                    queue.extend(rows[near])
+                    left = left[~np.isin(left, rows[near])]
+
+
+def _solved(percent: int, every: bool):
+    """Of rows (region, x, y, node, n, shared), sorted by the first three: links (a, b, common, total)."""
+
+    def rows(batches):
+        for t in W.groups(batches, ["region", "x", "y"]):
+            key = [t.column(c).to_numpy() for c in ("region", "x", "y")]
+            node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
+            h, have = _flat(t.column("shared"), np.uint64)
+            first = np.append(0, np.cumsum(have))
+            at = _starts(*key)
             out = []
-            for lo, hi, w in W.chunks(t.column("text"), lower=True):
-                h, n = shingle_sets(w, k)
-                own_fp = W.signed(fingerprints(h, n))
-                at = np.concatenate([[0], np.cumsum(n)])
-                for i in range(lo, hi):
-                    if key != (g[i], x[i], y[i]):
-                        key, sets = (g[i], x[i], y[i]), {}
-                    if null[i]:
-                        if own_fp[i - lo] == fp[i]:  # else another text under the same doc_id
-                            sets[fp[i]] = h[at[i - lo] : at[i - lo + 1]].copy()
-                        continue
-                    one, two = sets[fp[i]], sets[b[i]]
-                    p = np.searchsorted(one, two)
-                    p[p == len(one)] = 0
-                    common = int((one[p] == two).sum())
-                    out.append((fp[i], b[i], common, len(one) + len(two) - common))
+            for lo, hi in zip(at, np.append(at[1:], len(node)), strict=True):
+                sets = Cluster(n[lo:hi], h[first[lo] : first[hi]], have[lo:hi])
+                for a, b, both, total in join_cluster(sets, percent, every):
+                    a, b = node[lo + a], node[lo + b]
+                    out.append((np.minimum(a, b), np.maximum(a, b), both, total))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], ["a", "b", "common", "total"])
-
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    members = own.mapInArrow(maybe, own.schema).join(roles, "id").select("g", "x", "y", F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    both = members.union(dealt.select("g", "x", "y", "a", "b", F.lit(None).cast("string"))).repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", F.col("b").asc_nulls_first())
-    out = store.keep(both.mapInArrow(measure, "a long, b long, common long, total long"))
-    store.drop(roles, dealt)
-    return out
-
-
-def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, leaf: int = 12, limits: tuple[int, ...] = (1,), heavy_least: int = 24, heavy_most: int = 200_000, links: bool = False) -> DataFrame:
+                columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "common", "total"])
+
+    return rows
+
+
+def _clusters(members: DataFrame, percent: int, block: int, store: Store) -> DataFrame:
+    """(region, x, y, node, n, shared) from (node, n, shared): each member with its cluster, once for each pair of blocks."""
+    hung = store.keep(members.mapInArrow(_regions(percent), "cell long, u long, v long"))
+    tops = hung.where("cell is not null").select("cell", "u")
+    least = tops.groupBy("cell").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1")
+    across = tops.join(least, "cell").where("u <> v").select("u", "v")
+    cluster = components(hung.where("cell is null").select("u", "v").union(across), store)
+    sizes = members.select("node", F.expr("length(shared) div 8").alias("size"))
+    sizes = store.keep(cluster.join(sizes, "node").select("node", F.col("component").alias("region"), "size"))
+    blocks = sizes.groupBy("region").agg(F.expr(f"cast(ceil(sum(size) / {block}) as int)").alias("blocks"))
+    own = "cast(pmod(xxhash64(node), blocks) as int)"
+    pairs = F.expr(
+        f"if(blocks = 1, array(struct(0 as x, 0 as y)), transform(filter(sequence(0, blocks - 1), q -> q <> {own}),"
+        f" q -> struct(least(q, {own}) as x, greatest(q, {own}) as y)))"
+    )
+    dealt = sizes.join(blocks, "region").select("node", "region", F.explode(pairs).alias("p"))
+    placed = members.join(dealt.select("node", "region", "p.x", "p.y"), "node")
+    return placed.select("region", "x", "y", "node", "n", "shared")
+
+
+def ngram_jaccard_join(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, block: int = 4_000_000,
+    chunk: int = 2_000_000, part_rows: int = 2_000_000, links: bool = False,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs, or with links the linked pairs of classes.
 
     n_shingles: size of the set. class_id: least doc_id with the same set.
     component_id: least doc_id that a chain of links reaches. With links=True
-    the result is (class_a, class_b, common, total) of the links that were
-    measured; they connect every component, but links inside a core that is
-    connected already aren't listed.
+    the result is (class_a, class_b, common, total), a row for every two
+    different sets that link, with the sizes of intersection and union.
+
+    block, chunk, part_rows: shingles of a block of a large cluster, of a
+    chunk of the census and of a part of it; they bound memory, not results.
 
     Null, blank and wordless texts: size 0, linked with nothing, their own
     doc_id as class and component. Fewer than k words: the whole sequence is
@@ -372,72 +454,31 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     columns of docs are ignored, whatever their names. An empty table gives
     an empty result.
     """
-    spark = docs.sparkSession
-    store = Store(spark, "ngram-join")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(docs, text, k, heavy_least, heavy_most))
-    seen = store.keep(describe(docs, doc_id, text, k, percent, heavy))
-    reps = store.keep(seen.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    cells = seen.select("fp", "n", "first").mapInArrow(_spread, "cell long, fp long, n int, k int").repartition("cell").sortWithinPartitions("cell", "fp")
-    members = store.keep(cells.mapInArrow(_regions(percent, leaf), _MEMBERS))
+    store = Store(docs.sparkSession, "ngram-join")
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(16, max(10, int(np.ceil(np.log2(max(size / 6 / part_rows, 1))))))
+    sent = own.mapInArrow(_shingles(k, bits, chunk), _SENT).repartition("part").sortWithinPartitions("part")
+    told = sent.mapInArrow(_census(bits), _SENT.replace("part", "kind"))
+    told = told.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    seen = store.keep(told.mapInArrow(_gathered(percent), _SEEN))
     store.drop()
-    ids = reps.select("fp", "id", "n")
-    met = store.keep(members.groupBy("a", "b").agg(F.count("*").alias("cells"), F.bool_or("big").alias("big"), F.first("na").alias("na"), F.first("nb").alias("nb")))
-    # First each document with the one pivot that it shares most regions with, then pairs that this left in different components.
-    wide = 100 - 2 * (100 - percent)  # what the window of 2t still holds
-    a, b = (reps.select(F.col("fp").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    best = store.keep(met.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("cells", "a")).alias("x")).select("x.a", "b", "x.na", "x.nb"))
-    measured = distances(docs, doc_id, text, store.keep(best.join(a, "a").join(b, "b").mapInArrow(_sieved(wide), "a long, b long").select(F.col("a").alias("g"), "a", "b")), ids, k, store)
-    comp = components(_edges(_linked(measured, percent), ids), store)
-    sizes_fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    other = met.where(sizes_fit).select("a", "b", "na", "nb").join(best, ["a", "b"], "left_anti")
-    other = _apart(_apart(other, ids, comp).drop("ca", "cb").join(a, "a").join(b, "b").mapInArrow(_sieved(percent), "a long, b long"), ids, comp)
-    # What the pivots leave of their regions, a member once a region; its distance to the pivot says where it lies.
-    # First each member's nearest partners outside its component, as one link joins whole components; at last all that are apart.
-    for limit in (*limits, None):
-        region = met.where("big").select("a", "b", F.col("nb").cast("long").alias("n")).join(measured, ["a", "b"], "left")
-        region = region.join(best.select("a", "b", F.lit(True).alias("tried")), ["a", "b"], "left")
-        common, total = F.col("common"), F.col("total")
-        core, near = F.coalesce(common * 100 >= total * percent, F.lit(False)), F.coalesce(common * 100 >= total * wide, F.col("tried").isNull())
-        region = region.select(F.col("a").alias("g"), F.col("b").alias("fp"), "n", F.coalesce(1 - common / total, F.lit(-1.0)).alias("far"), core.alias("core"), (near & ~core).alias("edge"))
-        region = store.keep(region.join(ids.select("fp", "id"), "fp").join(comp, F.col("id") == F.col("node"), "left").select("g", "fp", "n", "far", "core", "edge", F.coalesce("component", "id").alias("comp")))
-        # a region with one component left has nothing to compare
-        mixed = region.groupBy("g").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("g")
-        left = region.join(mixed, "g").join(reps.select("fp", "sketch"), "fp").repartition("g").sortWithinPartitions("g")
-        pairs = left.mapInArrow(_leaves(percent, limit), "a long, b long, ca long, cb long")
-        if other is not None:
-            pairs, other = pairs.unionByName(other), None
-        pairs = store.keep(_by_component(store.keep(pairs.dropDuplicates(["a", "b"]).join(measured, ["a", "b"], "left_anti"))))
-        store.drop(region)
-        if not pairs.isEmpty():
-            measured = measured.union(distances(docs, doc_id, text, pairs, ids, k, store))
-            comp = components(_edges(_linked(measured, percent), ids), store)
-    links_so_far = _linked(measured, percent)
+    classes = seen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"))
+    classes = store.keep(classes.where("node is not null"))
+    held = seen.where("shared is not null").dropDuplicates(["f1", "f2"])
+    members = store.keep(held.join(classes, ["f1", "f2"]).select("node", "n", "shared"))
+    placed = _clusters(members, percent, block, store).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
+    found = store.keep(placed.mapInArrow(_solved(percent, links), "a long, b long, common long, total long"))
     if links:
-        a, b = ids.select(F.col("fp").alias("a"), F.col("id").alias("class_a")), ids.select(F.col("fp").alias("b"), F.col("id").alias("class_b"))
-        return links_so_far.join(a, "a").join(b, "b").select("class_a", "class_b", "common", "total")
-    named = ids.join(comp, ids.id == comp.node, "left").select("fp", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
-    out = seen.select("id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(named, "fp", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
-
-
-def _linked(measured: DataFrame, percent: int) -> DataFrame:
-    return measured.where(F.col("common") * 100 >= F.col("total") * percent)
-
-
-def _apart(pairs: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose two sides aren't in one component yet."""
-    label = ids.join(comp, ids.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("c"))
-    a, b = (label.select(F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where("not (ca <=> cb)").select(*pairs.columns, F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-
-
-def _by_component(pairs: DataFrame) -> DataFrame:
-    """(g, a, b): pairs by the one of their two components that more pairs have, so its texts are needed in one place."""
-    n = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-    a, b = (n.select(F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    return pairs.join(a, "ca").join(b, "cb").select(F.expr("if(na >= nb, ca, cb)").alias("g"), "a", "b")
-
-
-def _edges(links: DataFrame, ids: DataFrame) -> DataFrame:
-    a, b = ids.select(F.col("fp").alias("a"), F.col("id").alias("u")), ids.select(F.col("fp").alias("b"), F.col("id").alias("v"))
-    return links.join(a, "a").join(b, "b").select("u", "v").where("u is not null and v is not null")
+        pairs = found.withColumnsRenamed({"a": "class_a", "b": "class_b"})
+        return pairs.distinct()
+    comp = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), store)
+    store.drop(members)
+    named = classes.join(comp, "node", "left").select("f1", "f2", "node", F.coalesce("component", "node").alias("component"))
+    # Documents without a set have no class; their own numbers spread them over the join's partitions.
+    rows = seen.select("id", "n", F.coalesce("f1", "id").alias("f1"), "f2")
+    out = rows.join(named, ["f1", "f2"], "left")
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("node", "id").alias("class_id"),
+    )
