@@ -25,9 +25,10 @@ a metric, and two documents link when d <= t (t = 0.25 by default).
   has yet and what the triangle inequality leaves, |d(x, p) - d(y, p)| <= t for
   every pivot p that was elected so far. When nothing is near any more, the
   component is closed, and what is left elects its own next pivot, and so on.
-* Large clusters. Over `block` shingles the members of a cluster are dealt into
-  blocks, and each pair of blocks is such a recursion of its own; components
-  join across them. Memory is bounded by two blocks, not by the cluster.
+* Large clusters. The members of a cluster are dealt into blocks, and each pair
+  of blocks is such a recursion of its own; components join across them. Up to
+  `ways` blocks of at least `split` shingles spread the work; more only where
+  blocks would have over `block` shingles. A task holds two blocks.
 
 Equal sets count as one throughout, so a group of copies is one member. Sets
 are of 64-bit shingle hashes, and equal if two 64-bit sums of them are. Texts
@@ -97,8 +98,15 @@ def _one(x: np.ndarray) -> pa.Array:
 
 
 def _tails(h: np.ndarray, n: np.ndarray) -> pa.Array:
-    """The low seven bytes of each hash, cut into pieces of n hashes; the top byte is known from the part."""
-    return W.binaries(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).ravel(), n * 7)
+    """The low seven bytes of each hash, in pieces of n hashes; the top byte is known from the part.
+
+    A piece has all first bytes, then all second ones and so on: the hashes
+    are in order, so the high bytes repeat and are compressed away.
+    """
+    raw = h.view(np.uint8).reshape(-1, 8)[:, :7]
+    ends = np.cumsum(n)
+    planes = [raw[b - m : b].T.ravel() for m, b in zip(n, ends, strict=True) if m]
+    return W.binaries(np.concatenate(planes) if planes else np.zeros(0, np.uint8), n * 7)
 
 
 def _shingles(k: int, bits: int, most: int):
@@ -171,13 +179,20 @@ def _whole(column: pa.ChunkedArray, part: int, bits: int) -> tuple[np.ndarray, n
     """The hashes whose tails a column has."""
     raw, n = _flat(column, np.uint8)
     out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = raw.reshape(-1, 7)
     out[:, 7] = part >> (bits - 8)
-    return out.view(np.uint64).ravel(), n // 7
+    n //= 7
+    for m, b in zip(n, np.cumsum(n), strict=True):
+        out[b - m : b, :7] = raw[7 * (b - m) : 7 * b].reshape(7, m).T
+    return out.view(np.uint64).ravel(), n
+
+
+def _rarity(count: np.ndarray) -> np.ndarray:
+    """How many sets have a shingle, on a scale of eighths of a doubling in one byte; it only orders the pivots."""
+    return np.minimum(8 * np.log2(count), 255).astype(np.uint8)
 
 
 def _census(bits: int):
-    """To each chunk the shingles of its sets that other sets have too, with how many have them; descriptions pass."""
+    """To each chunk the shingles of its sets that other sets have too, with their rarity; descriptions pass."""
 
     def rows(batches):
         for t in W.groups(batches, ["part"]):
@@ -212,7 +227,7 @@ def _census(bits: int):
         n = np.bincount(row[pick], minlength=t.num_rows)
         some = pa.array(np.flatnonzero(n))
         if len(some):
-            blobs = [W.binaries(h, n), W.binaries(s[pick], n), W.binaries(np.minimum(total, 2**32 - 1).astype(np.uint32), n)]
+            blobs = [W.binaries(h, n), W.binaries(s[pick], n), W.binaries(_rarity(total), n)]
             none = pa.nulls(len(some), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(some), np.int32)), t.column("chunk").combine_chunks().take(some)]
@@ -245,17 +260,17 @@ def _gathered(percent: int):
         f1, f2, n = known[:m], known[m : 2 * m], known[2 * m :].astype(np.int64)
         s, h = blob("e", np.uint16), blob("f", np.uint64)
         count = np.diff(np.append(_starts(h), len(h)))
-        count = np.repeat(count, count)
+        count = _rarity(np.repeat(count, count))
         told = t.slice(1)
-        other, who, often = (_flat(told.column(c), d)[0] for c, d in (("a", np.uint64), ("b", np.uint16), ("c", np.uint32)))
+        other, who, often = (_flat(told.column(c), d)[0] for c, d in (("a", np.uint64), ("b", np.uint16), ("c", np.uint8)))
         own = who == _MANY
         if own.any() and len(h):
             order = np.argsort(other[own])
-            oh, oc = other[own][order], often[own][order].astype(np.int64)
+            oh, oc = other[own][order], often[own][order]
             where = np.minimum(np.searchsorted(oh, h), len(oh) - 1)
             count = np.where(oh[where] == h, oc[where], count)
         s, h = np.concatenate([s, who[~own]]).astype(np.int64), np.concatenate([h, other[~own]])
-        count = np.concatenate([count, often[~own].astype(np.int64)])
+        count = np.concatenate([count, often[~own]])
         have = np.bincount(s, minlength=m)
         near = have >= (percent * n + 99) // 100
         go = near[s]
@@ -413,7 +428,7 @@ def _solved(percent: int, every: bool):
     return rows
 
 
-def _clusters(members: DataFrame, percent: int, block: int, store: Store) -> DataFrame:
+def _clusters(members: DataFrame, percent: int, block: int, split: int, ways: int, store: Store) -> DataFrame:
     """(region, x, y, node, n, shared) from (node, n, shared): each member with its cluster, once for each pair of blocks."""
     hung = store.keep(members.mapInArrow(_regions(percent), "cell long, u long, v long"))
     tops = hung.where("cell is not null").select("cell", "u")
@@ -422,7 +437,8 @@ def _clusters(members: DataFrame, percent: int, block: int, store: Store) -> Dat
     cluster = components(hung.where("cell is null").select("u", "v").union(across), store)
     sizes = members.select("node", F.expr("length(shared) div 8").alias("size"))
     sizes = store.keep(cluster.join(sizes, "node").select("node", F.col("component").alias("region"), "size"))
-    blocks = sizes.groupBy("region").agg(F.expr(f"cast(ceil(sum(size) / {block}) as int)").alias("blocks"))
+    enough = f"greatest(ceil(sum(size) / {block}), least({ways}, ceil(sum(size) / {split})))"
+    blocks = sizes.groupBy("region").agg(F.expr(f"cast({enough} as int)").alias("blocks"))
     own = "cast(pmod(xxhash64(node), blocks) as int)"
     pairs = F.expr(
         f"if(blocks = 1, array(struct(0 as x, 0 as y)), transform(filter(sequence(0, blocks - 1), q -> q <> {own}),"
@@ -435,7 +451,7 @@ def _clusters(members: DataFrame, percent: int, block: int, store: Store) -> Dat
 
 def ngram_jaccard_join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, block: int = 4_000_000,
-    chunk: int = 2_000_000, part_rows: int = 2_000_000, links: bool = False,
+    split: int = 25_000, ways: int = 16, chunk: int = 2_000_000, part_rows: int = 2_000_000, links: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs, or with links the linked pairs of classes.
 
@@ -444,8 +460,10 @@ def ngram_jaccard_join(
     the result is (class_a, class_b, common, total), a row for every two
     different sets that link, with the sizes of intersection and union.
 
-    block, chunk, part_rows: shingles of a block of a large cluster, of a
-    chunk of the census and of a part of it; they bound memory, not results.
+    block, split, ways, chunk, part_rows: shingles of a block of a large
+    cluster, at most and at least, and how many blocks serve to spread it;
+    shingles of a chunk of the census and of a part of it. They bound memory
+    and deal out work, and don't change results.
 
     Null, blank and wordless texts: size 0, linked with nothing, their own
     doc_id as class and component. Fewer than k words: the whole sequence is
@@ -462,12 +480,13 @@ def ngram_jaccard_join(
     told = sent.mapInArrow(_census(bits), _SENT.replace("part", "kind"))
     told = told.repartition("chunk").sortWithinPartitions("chunk", "kind")
     seen = store.keep(told.mapInArrow(_gathered(percent), _SEEN))
+    del sent, told  # the census is over, and what it shuffled can go
     store.drop()
     classes = seen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"))
     classes = store.keep(classes.where("node is not null"))
     held = seen.where("shared is not null").dropDuplicates(["f1", "f2"])
     members = store.keep(held.join(classes, ["f1", "f2"]).select("node", "n", "shared"))
-    placed = _clusters(members, percent, block, store).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
+    placed = _clusters(members, percent, block, split, ways, store).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
     found = store.keep(placed.mapInArrow(_solved(percent, links), "a long, b long, common long, total long"))
     if links:
         pairs = found.withColumnsRenamed({"a": "class_a", "b": "class_b"})
