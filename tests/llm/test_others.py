@@ -86,7 +86,7 @@ def test_decontamination_edge_cases(spark):
     none = b.limit(0)
     assert contaminated_passages(d, none).count() == 0 and contaminated_passages(d.limit(0), b).count() == 0
     assert {r.doc_id for r in contaminated_passages(d, b).collect()} == {1, 2, None}
-    assert [r.doc_id for r in drop_contaminated(d, b).orderBy("doc_id").collect()] == [None, 3]
+    assert [r.doc_id for r in drop_contaminated(d, b).orderBy("doc_id").collect()] == [3]
     assert drop_contaminated(d, none).count() == 5
 
 
@@ -279,32 +279,101 @@ def test_swaps_edge_cases(spark):
 # ---- pipeline
 
 
-def test_pipeline_against_its_stages(spark):
-    import corpus_pipeline as p
+def cut_lines(rows):
+    """Texts of rows (id, source, text) without the boilerplate lines of their source."""
+    pages, counts = {}, {}
+    for _, source, text in rows:
+        pages[source] = pages.get(source, 0) + 1
+        for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
+            counts[(source, line)] = counts.get((source, line), 0) + 1
+    bad = {k for k, n in counts.items() if n >= 4 and n > 0.02 * pages[k[0]]}
+    return [t and "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad) for _, s, t in rows]
+
+
+def groups_of(texts):
+    """For each text the least place of a text that it's a near duplicate of, itself included."""
     from tests.llm.test_joins import components
+
+    out = components(list(enumerate(texts)))
+    return [out[i][1] for i in range(len(texts))]
+
+
+def check_stages(spark, docs, sf_dir):
+    """Each stage of the pipeline against brute force over what the stage before has left."""
+    import corpus_pipeline as p
     from voicegauge.llm.quality import quality_scores
 
+    stages, key = dict(p.STAGES), lambda r: repr(sorted(r.asDict().items(), key=repr))
+    listed = lambda df: sorted(df.collect(), key=key)
+    labels, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+
+    scored = quality_scores(docs.select("text").distinct().selectExpr("xxhash64(text) as doc_id", "text"), labels.limit(0))
+    assert scored.count() == docs.select("text").distinct().count()
+    good = stages["quality"](spark, docs, sf_dir).cache()
+    assert good.columns == docs.columns and not set(map(key, listed(good))) - set(map(key, listed(docs)))
+
+    rows = good.collect()
+    cut = stages["lines"](spark, good, sf_dir).cache()
+    want = cut_lines([(r.doc_id, r.source, r.text) for r in rows])
+    changed = [dict(r.asDict(), text=t, n_chars=r.n_chars if t == r.text else len(t)) for r, t in zip(rows, want, strict=True)]
+    assert sorted(map(repr, (sorted(r.items(), key=repr) for r in changed))) == list(map(key, listed(cut)))
+    assert cut.columns == docs.columns
+
+    rows = listed(cut)
+    unique = stages["near_duplicates"](spark, cut, sf_dir).cache()
+    group = groups_of([r.text for r in rows])
+    left = {}
+    for r, g in zip(rows, group, strict=True):
+        left.setdefault(g, []).append(r)
+    got = listed(unique)
+    assert len(got) == len(left) and unique.columns == docs.columns
+    names = {}
+    for r, g in zip(rows, group, strict=True):
+        names.setdefault(key(r), []).append(g)
+    assert sorted(names[key(r)].pop() for r in got if (r.text or "").split()) == sorted(g for g in left if (rows[g].text or "").split())
+    last = lambda r: (r.doc_id is None, r.doc_id or 0)
+    assert sorted(map(last, got)) == sorted(min(map(last, members)) for members in left.values())
+
+    clean = stages["decontamination"](spark, unique, sf_dir).cache()
+    items = [b.text for b in bench.collect()]
+    want = [r for r in got if all(score(b, r.text or "") < 0.5 for b in items)]
+    assert listed(clean) == want and clean.columns == docs.columns
+
+    mixed = stages["mixing"](spark, clean, sf_dir).cache()
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    assert mixed.columns == [*own, "size", "source_size", "target", "taken"]
+    out = listed(mixed)
+    plain = lambda r: repr([r[c] for c in own])
+    assert not set(map(plain, out)) - set(map(plain, want))
+    assert all(r["size"] == len((r.text or "").split()) and 0 < r.taken <= 3 * r["size"] for r in out)
+    total = sum(len((r.text or "").split()) for r in want)
+    assert sum(r.taken for r in out) == pytest.approx(total, rel=0.05)
+    return listed(mixed)
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as p
+
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    labels, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
-    kept = {r.doc_id for r in quality_scores(docs, labels).where("score >= 0.3").collect()}
-    rows = [r for r in docs.collect() if r.doc_id in kept]
-    pages, counts = {}, {}
-    for r in rows:
-        pages[r.source] = pages.get(r.source, 0) + 1
-        for line in {x.strip(" ") for x in r.text.split("\n")} - {""}:
-            counts[(r.source, line)] = counts.get((r.source, line), 0) + 1
-    bad = {k for k, n in counts.items() if n >= 4 and n > 0.02 * pages[k[0]]}
-    text = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in bad) for r in rows}
-    first = {i for i, (_, c) in components(list(text.items())).items() if i == c}
-    clean = {i for i in first if all(score(b.text, text[i]) < 0.5 for b in bench.collect())}
-    got = p.run(spark, SMALL).collect()
-    assert {r.doc_id for r in got} <= clean and {r.doc_id: r.text for r in got} == {r.doc_id: text[r.doc_id] for r in got}
-    stage = docs
-    for name, f in p.STAGES[:-1]:
-        stage = f(spark, stage, SMALL)
-        assert stage.columns == docs.columns, name
-    assert {r.doc_id for r in stage.collect()} == clean
-    assert sum(r.taken for r in got) == pytest.approx(sum(len(text[i].split()) for i in clean), rel=0.05)
+    mixed = check_stages(spark, docs, SMALL)
+    assert sorted(p.run(spark, SMALL).collect()) == sorted(mixed)
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Null and repeated ids, null sources, empty, null and very long texts, rows repeated whole, columns of the stages' own names."""
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows = [(b.doc_id, b.text, b.lang, b.source, b.n_chars) for b in base[:120]]
+    rows += [(None, b.text, b.lang, b.source, b.n_chars) for b in base[110:150]]
+    rows += [(base[3].doc_id, b.text, b.lang, b.source, b.n_chars) for b in base[150:170]]
+    rows += [(b.doc_id, b.text, b.lang, None, b.n_chars) for b in base[170:185]] + rows[:8] + rows[:3]
+    rows += [(9001, "", "en", "src1", 0), (9001, "", "en", "src1", 0), (9002, None, "en", "src1", None), (None, " \n ", None, None, 3)]
+    rows += [(9003, ". ".join(" ".join(word() for _ in range(9)) for _ in range(6000)), "en", "src2", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, taken long, n_lines int, n_dropped int, row long, row_ string, id long, score double"
+    extra = [(str(i % 7), i % 5, 1, 2, i % 3, "x", 4, 0.5) for i in range(len(rows))]
+    odd = spark.createDataFrame([a + (b if i < 60 else extra[0]) for i, (a, b) in enumerate(zip(rows, extra, strict=True))], schema).repartition(3)
+    check_stages(spark, odd, SMALL)
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):

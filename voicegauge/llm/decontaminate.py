@@ -176,8 +176,10 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold an item; rows with a null doc_id stay."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without the rows that hold an item, those with a null doc_id too; of rows with one doc_id each is judged by its own text."""
     store = Store(docs.sparkSession, "decontaminate")
-    bad = store.keep(contaminated_passages(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__bad")).where("__bad is not null").distinct())
-    return docs.join(bad, docs[doc_id] == bad["__bad"], "left_anti")
+    row = F.xxhash64(F.col(doc_id), F.col(text))
+    found = contaminated_passages(docs.select(row.alias("row"), F.col(text).alias("text")), benchmark, doc_id="row", **options)
+    bad = store.keep(found.select(F.col("doc_id").alias("bad")).distinct())
+    return docs.join(bad, row == bad["bad"], "left_anti")

@@ -467,8 +467,9 @@ def ngram_jaccard_join(
 
     Null, blank and wordless texts: size 0, linked with nothing, their own
     doc_id as class and component. Fewer than k words: the whole sequence is
-    the one shingle. Rows with the same doc_id are each kept. A null doc_id
-    gets the component of an equal set that has an id, else null. Further
+    the one shingle. Rows with the same doc_id are each kept and linked by
+    their own texts. Rows with a null doc_id link like others; class and
+    component are null where no document of theirs has an id. Further
     columns of docs are ignored, whatever their names. An empty table gives
     an empty result.
     """
@@ -482,22 +483,26 @@ def ngram_jaccard_join(
     seen = store.keep(told.mapInArrow(_gathered(percent), _SEEN))
     del sent, told  # the census is over, and what it shuffled can go
     store.drop()
-    classes = seen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("node"))
-    classes = store.keep(classes.where("node is not null"))
+    classes = seen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("first"))
+    classes = store.keep(classes.withColumn("node", F.monotonically_increasing_id()))
     held = seen.where("shared is not null").dropDuplicates(["f1", "f2"])
     members = store.keep(held.join(classes, ["f1", "f2"]).select("node", "n", "shared"))
     placed = _clusters(members, percent, block, split, ways, store).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
     found = store.keep(placed.mapInArrow(_solved(percent, links), "a long, b long, common long, total long"))
     if links:
-        pairs = found.withColumnsRenamed({"a": "class_a", "b": "class_b"})
-        return pairs.distinct()
+        a, b = (classes.select(F.col("node").alias(x), F.col("first").alias(f"id_{x}")) for x in "ab")
+        named = found.distinct().join(a, "a").join(b, "b")
+        ends = F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b")
+        return named.select(*ends, "common", "total")
     comp = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), store)
     store.drop(members)
-    named = classes.join(comp, "node", "left").select("f1", "f2", "node", F.coalesce("component", "node").alias("component"))
+    named = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    named = named.join(least, "component").select("f1", "f2", "first", "least")
     # Documents without a set have no class; their own numbers spread them over the join's partitions.
     rows = seen.select("id", "n", F.coalesce("f1", "id").alias("f1"), "f2")
     out = rows.join(named, ["f1", "f2"], "left")
     return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-        F.coalesce("node", "id").alias("class_id"),
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"),
+        F.coalesce("first", "id").alias("class_id"),
     )
