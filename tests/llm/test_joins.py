@@ -167,6 +167,46 @@ def test_substring_dedup_is_exact(spark, seed):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == removed(rows)
 
 
+def test_subtrees_compare_words(spark):
+    """A head with 3,000 continuations, and every group under one key: equal keys don't make equal windows."""
+    import numpy as np
+    import pyarrow as pa
+
+    from voicegauge.llm import substring as s
+    from voicegauge.llm.decontaminate import W
+
+    r = random.Random(5)
+    head = [f"h{i}" for i in range(8)]
+    tails = [[f"{a}{r.randrange(9)}" for a in "abcdefghijkl"] for _ in range(8)]
+    docs = []
+    for i in range(3000):
+        tail = list(r.choice(tails))
+        tail[r.randrange(12)] = f"x{r.randrange(900)}"
+        docs.append((i, " ".join([f"p{r.randrange(4)}", *head, *tail, f"q{r.randrange(4)}"])))
+    texts = pa.array([t for _, t in docs])
+    grams = []
+    for lo, hi, w in W.chunks(texts):
+        grams += [W.signed(s._anchors(w, 20, 8)[0][w.first[i] : w.first[i + 1]]) for i in range(hi - lo)]
+
+    class Frequent:
+        value = np.zeros(0, np.uint64)
+
+    for n in (3000, 500):  # one task's rows, and of tasks of 500 documents
+        sent = []
+        for lo in range(0, len(docs), n):
+            ids = pa.array(range(lo, min(lo + n, len(docs))), pa.int64())
+            known = pa.array(grams[lo : lo + n], pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_arrays([ids, texts.slice(lo, n), known], ["id", "text", "grams"])
+            sent += list(s._suffixes(20, 8, Frequent)(iter([batch])))
+        t = pa.Table.from_batches(sent)
+        t = t.set_column(0, "key", pa.array(np.zeros(t.num_rows, np.int64)))
+        gone = {i: set() for i, _ in docs}
+        for b in s._trees(20, 8)(iter(t.to_batches())):
+            for i, a, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                gone[i] |= set(range(a, a + size + 19))
+        assert {i: len(x) for i, x in gone.items()} == {i: k for i, (_, k, _) in removed(docs).items()}
+
+
 def test_substring_edge_cases(spark):
     from voicegauge.llm.substring import substring_dedup
 

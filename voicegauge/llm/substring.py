@@ -2,25 +2,31 @@
 
 Every word position starts a suffix. A window is a suffix's path of `window`
 words from the root, so two windows are equal where their suffixes share a
-node of at least that depth, and such nodes below no deeper cut are the
-maximal repeats. Trees are never whole in one place:
-
-1. Census. Of each window the least-hashed `prefix`-word gram is taken (equal
-   windows choose the same); the suffixes that start there are counted by that
-   prefix over all documents. A prefix with one suffix is a leaf: no window
-   around it repeats, and its document's windows there need no further look.
-   At 20 and 8 words this counts a seventh of all suffixes.
-2. Partition. Each suffix that is left gets a label: bits of the hash of its
-   first `prefix` words, then bits of the hash of its `window` words. Suffixes
-   are dealt to tasks by the prefix alone; for prefixes that the census found
-   too frequent for a group, by the longer one. A task sends each label once,
-   with its earliest place; its other places are repeats already.
-3. Trees. A partition sorted by label has each subtree's suffixes together,
-   and each node of the window's depth as one run of equal labels, whose
-   earliest leaf stays and whose others are repeats. It is read as a stream.
+node of at least that depth; the leaves below such a node are the places of a
+repeat, and places that follow each other are the maximal repeat. The tree of
+all suffixes is never whole in one place:
+
+1. Prefixes. Each window's least-hashed `prefix`-word gram is its anchor; equal
+   windows have theirs at the same place. The suffixes that start at anchors
+   are counted by that prefix over all documents. A prefix with one suffix is a
+   leaf: no window around it repeats. At 20 and 8 words this counts a seventh
+   of all suffixes.
+2. Groups. A suffix that starts at an anchor goes to the group of its prefix,
+   with the words that its windows have before and behind. Where the census
+   found a prefix too frequent for a group, its windows are dealt by a longer
+   prefix, of `window` words; such a group holds equal windows only. Of equal
+   windows a task sends the earliest; its others are repeats already, so a
+   group of either kind has no more rows than fit.
+3. Subtrees. In a group the suffixes are sorted by the words behind the prefix,
+   and the lengths that neighbours have in common give the subtree's internal
+   nodes: a node of depth d is a run of neighbours that share d words at least.
+   The words before the anchors are sorted into a tree of their own, from the
+   anchor backwards. A window with o words before its anchor is a pair of
+   nodes: of depth `window` - o in the one, of depth o in the other. Of the
+   leaves of a pair the earliest stays, the others are repeats.
 4. Repeats of one document that follow each other merge into spans.
 
-Labels are 63 bits of hashes of word sequences.
+Nodes compare the words themselves, by 64 bits each.
 """
 
 from __future__ import annotations
@@ -33,22 +39,20 @@ from pyspark.sql import functions as F
 from voicegauge.llm import _words as W
 from voicegauge.llm._store import Store
 
+_COLUMNS = ["key", "id", "start", "length", "before", "offsets", "words"]
+_ROWS = "key long, id long, start int, length int, before tinyint, offsets int, words string"
 
-def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
-    """take (minimum or maximum) over x[i : i + width], by doubling; the end keeps what there is."""
-    out, have = x.copy(), 1
+
+def _anchors(w: W.Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix hash at each word, whether a window starts there, place of each window's least prefix hash, the first of equal ones)."""
+    g, width = w.grams(prefix), window - prefix + 1
+    place, have = np.arange(len(g)), 1
     while have < width:
         step = min(have, width - have)
-        out[:-step] = take(out[:-step], out[step:])
+        here, there = place[:-step], place[step:]
+        place = np.concatenate([np.where(g[there] < g[here], there, here), place[-step:]])
         have += step
-    return out
-
-
-def _anchors(w: W.Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix hash at each word, whether a window starts there, each window's least prefix hash)."""
-    ok = w.within(window)
-    g = w.grams(prefix)
-    return g, ok, _sliding(g, window - prefix + 1, np.minimum)
+    return g, w.within(window), place
 
 
 def _census(window: int, prefix: int):
@@ -81,10 +85,8 @@ def _census(window: int, prefix: int):
         for b in batches:
             own = b.column(0).to_numpy()
             for lo, hi, w in W.chunks(b.column(1)):
-                g, ok, least = _anchors(w, window, prefix)
-                # the greatest least hash of the windows that a position is in
-                back = _sliding(np.where(ok, least, np.uint64(0))[::-1], window - prefix + 1, np.maximum)[::-1]
-                at = np.flatnonzero((back == g) & w.within(prefix))
+                g, ok, place = _anchors(w, window, prefix)
+                at = np.unique(place[ok])
                 gram.append(g[at])
                 doc.append(w.doc[at] + n)
                 ids.append(own[lo:hi])
@@ -128,8 +130,14 @@ def _repeating(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_id, out_gram, out_n)], ["id", "gram", "n"])
 
 
-def _labels(window: int, prefix: int, frequent):
-    """Rows (label, id, start, length): length 0 for a place sent to the trees, else a span of starts that are known to repeat."""
+def _suffixes(window: int, prefix: int, frequent):
+    """Rows (key, id, start, length, before, offsets, words).
+
+    Length 0: a suffix for the group of key, with start, the first of its words
+    in the document; before, how many of them stand before the anchor; offsets,
+    a bit for each window by how many words it has before the anchor. Else a
+    span of starts that are known to repeat.
+    """
 
     def rows(batches):
         long_ones = frequent.value
@@ -139,37 +147,70 @@ def _labels(window: int, prefix: int, frequent):
             own = b.column(0).to_numpy()
             grams = b.column(2)
             for lo, hi, w in W.chunks(b.column(1)):
-                g, ok, least = _anchors(w, window, prefix)
+                g, ok, place = _anchors(w, window, prefix)
                 part = grams.slice(lo, hi - lo)
                 known = part.flatten().to_numpy().view(np.uint64)
                 doc = np.repeat(np.arange(hi - lo), part.value_lengths().fill_null(0).to_numpy())
                 tie = lambda h, d: W.mix(h ^ W.mix(d.astype(np.uint64) + np.uint64(1)))
                 go = np.flatnonzero(ok)
-                go = go[np.isin(tie(least[go], w.doc[go]), tie(known, doc))]
+                go = go[np.isin(tie(g[place[go]], w.doc[go]), tie(known, doc))]
                 if not len(go):
                     continue
-                head = g[go]
-                label = (head & np.uint64(0xFFFFFF0000000000)) | (w.grams(window)[go] & np.uint64(0xFFFFFFFFFE))
-                label |= np.isin(head, long_ones).astype(np.uint64)
-                held.append((label, own[lo:hi][w.doc[go]], (go - w.first[w.doc[go]]).astype(np.int64)))
+                names = w.grams(window)[go]
+                w.h = W.mix(w.h ^ np.uint64(0x6A09E667F3BCC909))
+                held.append((names, w.grams(window)[go], own[lo:hi], go, place[go], g[place[go]], w))
                 size += len(go)
                 if size > 500_000:
-                    yield one_each(held)
+                    yield from one_each(held, long_ones)
                     held, size = [], 0
         if held:
-            yield one_each(held)
-
-    def one_each(held):
-        label, own, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, own, label))
-        label, own, start = label[order], own[order], start[order]
-        first = np.append(True, label[1:] != label[:-1])
-        a, b, c = spans(own[~first], start[~first])
-        n = int(first.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([W.signed(label[first]), W.signed(W.mix(a.astype(np.uint64)) | np.uint64(1))])), pa.array(np.concatenate([own[first], a])), pa.array(np.concatenate([start[first], b]).astype(np.int32)), pa.array(np.concatenate([np.zeros(n, np.int32), c.astype(np.int32)]))],
-            ["label", "id", "start", "length"],
-        )
+            yield from one_each(held, long_ones)
+
+    def one_each(held, long_ones):
+        """Of windows that are equal (128 bits of hashes) the earliest goes on."""
+        size = np.array([len(x[0]) for x in held])
+        one, two = (np.concatenate([x[j] for x in held]) for j in (0, 1))
+        docs = np.concatenate([ids[w.doc[go]] for _, _, ids, go, _, _, w in held])
+        start = np.concatenate([go - w.first[w.doc[go]] for _, _, _, go, _, _, w in held])
+        order = np.lexsort((start, docs, two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        again = np.zeros(len(one), bool)
+        again[order[1:][same]] = True
+        a, b, c = spans(docs[again], start[again])
+        none, short = np.zeros(len(a), np.int32), np.zeros(len(a), np.int8)
+        key = W.signed(W.mix(a.astype(np.uint64)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(a), pa.array(b.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(short), pa.array(none), pa.array([""] * len(a), pa.string())],
+            _COLUMNS,
+        )
+        for (_, _, ids, go, place, gram, w), lo, n in zip(held, np.cumsum(size) - size, size, strict=True):
+            new = ~again[lo : lo + n]
+            hot = new & np.isin(gram, long_ones)
+            new &= ~hot
+            yield from sent(ids, go[new], place[new], W.signed(gram[new]), w)
+            yield from sent(ids, go[hot], go[hot], W.signed(W.mix(one[lo : lo + n][hot])), w)
+
+    def sent(ids, go, place, key, w):
+        """The windows of go as suffixes from their anchors on, one for each anchor."""
+        if not len(go):
+            return
+        at = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        before = place - go
+        bits = np.bitwise_or.reduceat(1 << before, at)
+        most, least = np.maximum.reduceat(before, at), np.minimum.reduceat(before, at)
+        first, last = place[at] - most, place[at] - least + window - 1
+        a, size = w.start[first], w.end[last] - w.start[first]
+        for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(size) >> 22)) + 1):
+            n = size[cut]
+            pick = np.repeat(a[cut] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            d = w.doc[first[cut]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key[at][cut]), pa.array(ids[d]), pa.array((first[cut] - w.first[d]).astype(np.int32)), pa.array(np.zeros(len(cut), np.int32)),
+                    pa.array(most[cut].astype(np.int8)), pa.array(bits[cut].astype(np.int32)), W.binaries(w.data[pick], n).cast(pa.string()),
+                ],
+                _COLUMNS,
+            )
 
     return rows
 
@@ -184,25 +225,77 @@ def spans(own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return own[at], start[at], start[last] - start[at] + 1
 
 
-def _trees(batches):
-    """All leaves of each node but its earliest. The rows come sorted by (label, length, id, start); equal places of the earliest stay with it."""
-    seen = None
-    for b in batches:
-        label, own, start, length = (b.column(c).to_numpy() for c in ("label", "id", "start", "length"))
-        go = np.flatnonzero(length == 0)
-        out = [(own[length > 0], start[length > 0], length[length > 0])]
-        if len(go):
-            lab, o, s = label[go], own[go], start[go]
-            new = np.append(True, lab[1:] != lab[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(go)), 0))
-            fo, fs = o[first], s[first]
-            if seen is not None and seen[0] == lab[0]:
-                run = first == 0
-                fo, fs = np.where(run, seen[1], fo), np.where(run, seen[2], fs)
-            again = (o != fo) | (s != fs)
-            out.append((o[again], s[again], np.ones(again.sum(), np.int32)))
-            seen = (lab[-1], fo[-1], fs[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["id", "start", "length"])
+def _classes(columns: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """The tree of rows of words: (depth + 1, rows), each row's node at each depth. before: what must be equal besides."""
+    order = np.lexsort((*columns.T[::-1], *before))
+    rows = columns[order]
+    same = rows[1:] == rows[:-1]
+    for x in before:
+        same &= (x[order][1:] == x[order][:-1])[:, None]
+    common = np.append(0, np.logical_and.accumulate(same, 1).sum(1))  # words that a suffix shares with the one before it
+    apart = np.zeros(len(order), bool)
+    apart[:1] = True
+    for x in before:
+        apart[1:] |= x[order][1:] != x[order][:-1]
+    out = np.empty((columns.shape[1] + 1, len(order)), np.int64)
+    for depth in range(columns.shape[1] + 1):
+        out[depth, order] = np.cumsum(apart | (common < depth))
+    return out
+
+
+def _trees(window: int, prefix: int):
+    """(id, start, length) of all leaves of each pair of nodes but the earliest, and of the spans known before. The rows come sorted by key."""
+    wide = window - prefix
+
+    def rows(batches):
+        for t in _tables(W.groups(batches, ["key"])):
+            known = t.column("length").to_numpy() > 0
+            out = [tuple(t.column(c).to_numpy()[known] for c in ("id", "start", "length"))]
+            t = t.filter(pa.array(~known))
+            if t.num_rows:
+                out += repeats(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["id", "start", "length"])
+
+    def repeats(t):
+        own, start, before = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "start", "before"))
+        bits = t.column("offsets").to_numpy()
+        # words from the anchor on, and from the anchor backwards; 0 where the suffix was sent without
+        on, back = np.zeros((t.num_rows, window), np.uint64), np.zeros((t.num_rows, wide), np.uint64)
+        for lo, hi, w in W.chunks(t.column("words")):
+            for target, place in ((on[lo:hi], np.arange(window)), (back[lo:hi], -1 - np.arange(wide))):
+                at = w.first[:-1, None] + before[lo:hi, None] + place
+                ok = (at >= w.first[:-1, None]) & (at < w.first[1:, None])
+                target[ok] = w.h[at[ok]]
+        _, group = np.unique(t.column("key").to_numpy(), return_inverse=True)
+        stem = _classes(on[:, :prefix], group)[prefix]
+        front, rear = _classes(on[:, prefix:], stem), _classes(back, stem)
+        out = []
+        for o in range(wide + 1):
+            go = np.flatnonzero(bits & (1 << o))
+            if not len(go):
+                continue
+            x, y = front[wide - o, go], rear[o, go]
+            place = start[go] + before[go] - o
+            order = np.lexsort((place, own[go], y, x))
+            x, y = x[order], y[order]
+            again = order[1:][(x[1:] == x[:-1]) & (y[1:] == y[:-1])]
+            out.append((own[go][again], place[again].astype(np.int32), np.ones(len(again), np.int32)))
+        return out
+
+    return rows
+
+
+def _tables(tables, rows: int = 50_000):
+    """Tables put together until they have some rows."""
+    held, size = [], 0
+    for t in tables:
+        held.append(t)
+        size += t.num_rows
+        if size >= rows:
+            yield pa.concat_tables(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_tables(held)
 
 
 def _merged(batches):
@@ -229,10 +322,8 @@ def repeated_spans(docs: DataFrame, window: int, prefix: int, group_rows: int, m
     many = repeats.groupBy("gram").agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows).orderBy(F.desc("rows"), "gram").limit(most_long).select("gram").toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(many["gram"].to_numpy(np.int64).view(np.uint64)))
     known = repeats.groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    rows = docs.join(known, "id").select("id", "text", "grams").mapInArrow(_labels(window, prefix, frequent), "label long, id long, start int, length int")
-    part = F.expr("if(label & 1L = 1L, label, shiftrightunsigned(label, 40))")
-    trees = rows.repartition(part).sortWithinPartitions("label", "length", "id", "start")
-    again = trees.mapInArrow(_trees, "id long, start int, length int")
+    rows = docs.join(known, "id").select("id", "text", "grams").mapInArrow(_suffixes(window, prefix, frequent), _ROWS)
+    again = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window, prefix), "id long, start int, length int")
     found = store.keep(again.repartition("id").sortWithinPartitions("id", "start").mapInArrow(_merged, "id long, spans binary"))
     store.drop(repeats)
     return found
@@ -251,6 +342,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and each gets its result. A null doc_id comes first. Further columns are
     ignored, whatever their names. Empty table: empty result.
     """
+    if not prefix <= window <= prefix + 30:
+        raise ValueError("a window has from 0 to 30 words more than a prefix")
     spark = docs.sparkSession
     store = Store(spark, "substring")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
