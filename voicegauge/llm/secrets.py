@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and runs of characters that a Markov model of random strings explains better than one of identifiers.
 
 Both models are first-order chains over characters, trained on labelled
-samples. The random class has one chain for each alphabet that its samples
+samples; the ordinary ones are identifiers made of words of the documents. The
+random class has one chain for each alphabet that its samples
 show (digits and a-f, digits and A-F, one case with digits, all); a run takes
 the best. A run is a secret where the log-likelihood ratio to the ordinary
 chain passes a threshold, in all and for each character. Of a run that doesn't
@@ -24,8 +25,7 @@ from voicegauge.llm._store import Store
 
 # The base patterns of the scan.
 ASSIGN = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "markov")
 _KEYS = re.compile(rb"password|passwd|secret|token|api_?key")
 
@@ -36,21 +36,42 @@ _ALPHABETS = (b"0123456789abcdef", b"0123456789ABCDEF", b"0123456789abcdefghijkl
 _PARTS = "get set user name file path list data index value key map node tree array string number count first last next time date page view model table query join group order sort filter parse write read open close start stop create delete update insert select from where with request response server client session config option default error message handler manager factory service context thread process memory buffer stream channel socket address network protocol version system module package import export function method class object property attribute element container window document application information international administration configuration implementation transformation representation understanding communication characteristic responsibility environment development management performance experience opportunity government particular different available important following according although however therefore nevertheless schule lichkeit gesellschaft verwaltung entwicklung wissenschaft tionnement gouvernement naturellement ensemble conocimiento informaciones desarrollo".split()
 
 
-def labelled_samples(seed: int = 7, n: int = 4000) -> list[tuple[str, int]]:
-    """(string, 1 for random or 0 for an ordinary identifier), made by rule from the seed."""
+def ordinary_words(docs: DataFrame, text: str, most: int, held_out: bool = False) -> list[str]:
+    """At most `most` words of 3 to 24 letters that stand in three documents or more, in no order but a hash's.
+
+    Counted over whole texts of all documents. One word in five (crc32 modulo 5
+    is 0) is held out: nothing learns from it, and tests measure with it.
+    """
+    own = docs.select(F.explode(F.array_distinct(F.split(text, "[^A-Za-z]+"))).alias("word"))
+    own = own.where(F.length("word").between(3, 24)).where((F.crc32("word") % 5 == 0) == F.lit(held_out))
+    counts = own.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
+    return [r.word for r in counts.orderBy(F.xxhash64("word"), "word").limit(most).select("word").collect()]
+
+
+def labelled_samples(words: list[str] = (), seed: int = 7, n: int = 8000) -> list[tuple[str, int]]:
+    """(string, 1 for random or 0 for an ordinary identifier), made from the seed; identifiers are put together of words and of parts of program names."""
     r = random.Random(seed)
     base = ALPHABET[:62].decode()
+    known = [*words, *_PARTS * max(1, len(words) // (3 * len(_PARTS)))]
     out = []
     for i in range(n):
         chars = [*(a.decode() for a in _ALPHABETS), base, base + "+/", base + "_-"][i % 7]
         out.append(("".join(r.choices(chars, k=r.randint(20, 48))), 1))
-        parts = [r.choice(_PARTS) for _ in range(r.randint(1, 6))]
-        style = i % 6
-        word = "".join(parts) if style < 2 else "_".join(parts) if style == 2 else "-".join(parts) if style == 3 else "".join(p.title() for p in parts) if style == 4 else "_".join(parts).upper()
-        out.append((word + (str(r.randint(1, 99)) if i % 9 == 0 else ""), 0))
+        parts = [r.choice(known) for _ in range(r.randint(1, 6))]
+        out.append((identifier(parts, i % 7) + (str(r.randint(1, 99)) if i % 9 == 0 else ""), 0))
     return out
 
 
+def identifier(parts: list[str], style: int) -> str:
+    """Words run together, with marks between them, with capitals, or as a path."""
+    if style < 2:
+        return "".join(parts)
+    if style == 4:
+        return "".join(p.title() for p in parts)
+    name = {2: "_", 3: "-", 5: "_", 6: "/"}[style].join(parts)
+    return name.upper() if style == 5 else name
+
+
 @dataclass
 class Markov:
     """Log probabilities: of each alphabet's random chain and of the ordinary one, first characters in the last row."""
@@ -120,8 +141,14 @@ def _best(x: np.ndarray) -> tuple[int, int, float]:
     return int(run[: end + 1].argmin()), end, float(rise[end])
 
 
-def fit(samples: list[tuple[str, int]], smooth: float = 0.3) -> Markov:
-    """Chains of the labelled samples. Transitions are smoothed towards the frequency of the character's kind (upper, lower, digit, mark), so pairs never seen are judged by their kinds."""
+def fit(samples: list[tuple[str, int]], back: float = 0.3) -> Markov:
+    """Chains of the labelled samples.
+
+    A transition's probability is by `back` that of the kinds of its characters
+    (upper, lower, digit, mark), evenly over a kind. Letters that never
+    followed each other in the samples, as in words not among them, tell little
+    against a run of letters; changes between kinds tell much.
+    """
     n = len(ALPHABET)
     kind = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3] * 5)
 
@@ -138,13 +165,10 @@ def fit(samples: list[tuple[str, int]], smooth: float = 0.3) -> Markov:
         for a in range(5):
             rows = c[kinds == a].sum(0) + 1e-9
             for b in range(4):
-                # a kind's mass, evenly over half of its characters' own frequency and half of the kind
-                mass = rows[kind == b].sum() + 1
-                own = rows[kind == b] / rows[kind == b].sum()
-                by[np.ix_(kinds == a, kind == b)] = mass * (0.5 * own + 0.5 / (kind == b).sum())
+                by[np.ix_(kinds == a, kind == b)] = (rows[kind == b].sum() + 1) / (kind == b).sum()
         by /= by.sum(1, keepdims=True)
         total = c.sum(1, keepdims=True)
-        p = (c + smooth * 20 * by) / (total + smooth * 20)
+        p = (1 - back) * (c + 6 * by) / (total + 6) + back * by
         if allowed is not None:
             out = np.ones(n, bool)
             out[_CODE[list(allowed)]] = False
@@ -210,7 +234,7 @@ def scan(w: W.Words, model: Markov, least: int = 20, total: float = 12.0, each:
         at = raw.find(b"AKIA", at + 4)
     for doc in docs:
         text = raw[offsets[doc] : offsets[doc + 1]]
-        for m in re.finditer(rb"AKIA[A-Z0-9]+", text):
+        for m in ACCESS.finditer(text):
             if len(m[0]) >= 18:
                 add(doc, offsets[doc] + m.start(), offsets[doc] + m.end(), 1)
                 taken.append((offsets[doc] + m.start(), offsets[doc] + m.end()))
@@ -237,19 +261,22 @@ def scan(w: W.Words, model: Markov, least: int = 20, total: float = 12.0, each:
     return out
 
 
-def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: list[tuple[str, int]] | None = None) -> DataFrame:
+def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: list[tuple[str, int]] | None = None, words: int = 20_000) -> DataFrame:
     """(doc_id, spans: array of (kind, start, end)) of every row of docs; start and end count code points, end exclusive.
 
     Kinds: assign, access and hex by the base patterns, leftmost and not
     overlapping within a kind; markov: further runs that the model trained on
-    samples (by default labelled_samples()) takes for random. Ordered by
-    start, then kind.
+    samples takes for random. Ordered by start, then kind. The default samples
+    are random strings, and identifiers of at most `words` ordinary_words() of
+    docs; the bound is on what is learnt from, and every row is scanned.
 
     Null and empty texts have none. Repeated rows are each scanned. Further
     columns are ignored, whatever their names. Empty table: empty result.
     """
     Store(docs.sparkSession, "secrets")
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_samples() if samples is None else samples))
+    if samples is None:
+        samples = labelled_samples(ordinary_words(docs, text, words))
+    model = docs.sparkSession.sparkContext.broadcast(fit(samples))
 
     def rows(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
