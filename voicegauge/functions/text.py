@@ -1,10 +1,12 @@
-"""Text measures as Spark columns. Nothing here leaves the JVM; what can't be said in built-ins is in kernels."""
+"""Text measures as Spark columns. Only folded() leaves the JVM; what else can't be said in built-ins is in kernels."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voicegauge.functions.kernels import nfkc
+
 # Word pattern and word lists of the measures.
 WORD = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+(?:['’]\p{L}+)*"
 ENGLISH_MARKERS = "the of and to in is it you that for on with as are this be have from or an but not they which was can your if there their what when how would should could about more".split()
@@ -21,12 +23,13 @@ QUANTITY = r"(?i)\b\d+(?:[.,]\d+)*\s*(?:%|percent|kg|mg|ml|km|m|cm|hours?|minute
 NAME_SPAN = r"\b(?:[A-Z][a-z]+(?:\s+(?:of|de|van|der|the)\s+)?)(?:\s+[A-Z][a-z]+)+\b"
 
 
-def words_in(values) -> Column:
-    return F.array(*map(F.lit, values))
+def folded(text: Column) -> Column:
+    """The text in NFKC; what is measured is measured of it. A kernel sees only texts with a character outside ASCII."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def plain_marks(text: Column) -> Column:
-    """Curly quotes and dashes as straight ones. (NFKC itself is kernels.nfkc.)"""
+    """Curly quotes and dashes as straight ones."""
     return F.translate(text, "’‘“”–—", "''\"\"--")
 
 
@@ -54,6 +57,7 @@ def spoken_seconds(n_words: Column, rate: float = 2.5) -> Column:
     return n_words / F.lit(rate) if rate > 0 else F.lit(0.0)
 
 
+# The patterns of silent endings and vowel groups.
 def syllables(word: Column) -> Column:
     """Vowel groups of at most two letters after silent endings; words of up to three letters have one."""
     letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
@@ -119,6 +123,7 @@ def sweep_tokens(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9' ]", " ")), " +"), lambda w: w != "")
 
 
+# The patterns of formatting marks and lead-ins.
 def loose_variants(text: Column) -> Column:
     """The text and seven rewrites that change its formatting only."""
     bold = F.regexp_replace(text, r"(?s)\*\*(.+?)\*\*", "$1")

@@ -14,14 +14,14 @@ END = r"[\"')\]}…]+$"
 
 
 class Response:
-    """Columns of one variant of a response that checks read; sent is its array of sentences."""
+    """Columns of one variant of a response that checks read; plain is its text in NFKC, sent its array of sentences."""
 
-    def __init__(self, text: Column, sent: Column):
-        self.text, self.sent = text, sent
+    def __init__(self, text: Column, sent: Column, plain: Column):
+        self.text, self.sent, self.plain = text, sent, plain
 
     @property
     def n_words(self) -> Column:
-        return T.word_count(self.text)
+        return T.word_count(self.plain)
 
     def last(self, of: Column) -> Column:
         return F.right(F.regexp_replace(of, END, ""), F.lit(1))
@@ -41,7 +41,7 @@ def _matches(patterns: list[str], text: Column, flags: str) -> Column:
 def _truncated(r: Response, p: dict) -> Column:
     if not p.get("max_tokens"):
         return F.lit(False)
-    tokens = T.estimated_tokens(r.n_words, F.length(T.plain_marks(r.text)))
+    tokens = T.estimated_tokens(r.n_words, F.length(T.plain_marks(r.plain)))
     last = r.last(F.trim(r.text))
     return (tokens >= float(p.get("cap_ratio", 0.9)) * float(p["max_tokens"])) & (last != "") & ~_any_of(".!?", last)
 
@@ -53,7 +53,7 @@ CHECKS: dict[str, Callable[[Response, dict], Column]] = {
     "opening_sentence_terminator": lambda r, p: (F.size(r.sent) > 0) & _any_of(str(p.get("terminators", ".")), r.last(F.get(r.sent, F.lit(0)))),
     "detail_sentence_count": lambda r, p: F.greatest(F.size(r.sent) - 1, F.lit(0)).between(int(p.get("min", 1)), int(p.get("max", 2))),
     "total_sentence_count": lambda r, p: F.size(r.sent).between(int(p.get("min", 1)), int(p.get("max", 4))),
-    "language_marker_ratio": lambda r, p: T.english_ratio(T.words(r.text)) >= float(p.get("min_marker_ratio", 0.08)),
+    "language_marker_ratio": lambda r, p: T.english_ratio(T.words(r.plain)) >= float(p.get("min_marker_ratio", 0.08)),
     "forbidden_patterns": lambda r, p: ~_matches(p.get("patterns") or [], r.text, "im"),
     "no_question": lambda r, p: ~r.text.contains("?"),
     "response_complete": lambda r, p: _any_of(str(p.get("terminators", ".!?")), r.last(F.trim(r.text))),
@@ -84,7 +84,7 @@ def _why_not(c: dict) -> Column:
         names = [scope] if isinstance(scope, str) else list(scope)
         out = F.when(F.col("category").isin(*names), out).otherwise(f"scoped to {', '.join(names)}")
     if c.get("min_response_words") is not None:
-        out = F.when(T.word_count(F.col("text")) < int(c["min_response_words"]), "too few words to decide").otherwise(out)
+        out = F.when(T.word_count(F.col("plain")) < int(c["min_response_words"]), "too few words to decide").otherwise(out)
     if c.get("skip_for"):
         out = F.when(F.col("category").isin(*c["skip_for"]), F.concat(F.lit("exempt for category "), F.col("category"))).otherwise(out)
     return out
@@ -101,11 +101,12 @@ def evaluate(items: DataFrame, checks: list[dict], runtime: dict | None = None,
     """
     validate(checks)
     items = items.withColumn("text", F.coalesce("text", F.lit("")))
+    items = items.withColumn("plain", T.folded(F.col("text")))
     deep = any(c["type"] in NEEDS_SENTENCES for c in checks)
     none = F.array().cast("array<string>")
     items = items.withColumn("sent", sentences("text") if deep else none)
     if loose:
-        items = items.withColumn("variants", T.loose_variants(F.col("text")))
+        items = items.withColumns({v: T.loose_variants(F.col(c)) for v, c in (("variants", "text"), ("plains", "plain"))})
         items = items.withColumn("sents", sentences_each("variants") if deep else F.transform("variants", lambda v: none))
     rows = []
     for c in checks:
@@ -113,8 +114,8 @@ def evaluate(items: DataFrame, checks: list[dict], runtime: dict | None = None,
         if c["type"] == "not_truncated_at_cap":
             params = {**{k: v for k, v in (runtime or {}).items() if k == "max_tokens"}, **params}
         ask = CHECKS[c["type"]]
-        strict = ask(Response(F.col("text"), F.col("sent")), params)
-        easy = F.exists(F.arrays_zip("variants", "sents"), lambda v: ask(Response(v["variants"], v["sents"]), params)) if loose else strict  # noqa: B023
+        strict = ask(Response(F.col("text"), F.col("sent"), F.col("plain")), params)
+        easy = F.exists(F.arrays_zip("variants", "sents", "plains"), lambda v: ask(Response(v["variants"], v["sents"], v["plains"]), params)) if loose else strict  # noqa: B023
         why = _why_not(c)
         rows.append(F.struct(F.lit(str(c.get("id") or c["type"])).alias("check_id"), F.lit(c.get("severity", "hard")).alias("severity"), why.isNull().alias("applicable"), F.when(why.isNotNull(), True).otherwise(strict).alias("strict"), F.when(why.isNotNull(), True).otherwise(strict | easy).alias("loose"), why.alias("reason")))
     return items.select("item", F.explode(F.array(*rows)).alias("c")).select("item", "c.*")
@@ -136,11 +137,12 @@ def check_rates(results: DataFrame) -> DataFrame:
 
 def describe(text: Column, sent: Column) -> Column:
     """struct of nine measures of a response."""
-    n, s = T.word_count(text), F.size(sent)
-    syllables = F.aggregate(F.transform(T.words(text), T.syllables), F.lit(0), lambda a, x: a + x)
+    plain = T.folded(text)
+    n, s = T.word_count(plain), F.size(sent)
+    syllables = F.aggregate(F.transform(T.words(plain), T.syllables), F.lit(0), lambda a, x: a + x)
     ok = (n > 0) & (s > 0)
     return F.struct(
         n.alias("word_count"), s.alias("sentence_count"), F.length(text).alias("char_count"), F.when(s > 0, n / s).otherwise(0.0).alias("mean_words_per_sentence"), F.when(s > 0, T.word_count(F.get(sent, F.lit(0)))).otherwise(0).alias("opening_words"),
-        T.estimated_tokens(n, F.length(T.plain_marks(text))).alias("estimated_tokens"), F.round(T.spoken_seconds(n), 2).alias("estimated_spoken_seconds"),
+        T.estimated_tokens(n, F.length(T.plain_marks(plain))).alias("estimated_tokens"), F.round(T.spoken_seconds(n), 2).alias("estimated_spoken_seconds"),
         F.when(ok, F.round(T.reading_ease(n, s, syllables), 2)).alias("flesch_reading_ease"), F.when(ok, F.round(T.grade_level(n, s, syllables), 2)).alias("flesch_kincaid_grade"),
     )

@@ -20,8 +20,8 @@ SCORES = (
 
 
 def run_idf(records: DataFrame) -> DataFrame:
-    """idf of the texts of each record: recognised, answered and intended; references stay out."""
-    return overlap.idf_index(records.select(F.explode(F.array("stt_text", "llm_text", "ori_text")).alias("text")))
+    """idf of the texts of each run's records: recognised, answered and intended; references stay out."""
+    return overlap.idf_index(records.select("run", F.explode(F.array("stt_text", "llm_text", "ori_text")).alias("text")), by=("run",))
 
 
 def evaluate_items(records: DataFrame, checks: list[dict], runtime: dict | None = None, latency: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
@@ -35,8 +35,8 @@ def evaluate_items(records: DataFrame, checks: list[dict], runtime: dict | None
     results = constraints.evaluate(r.select("item", "text", "category", "must_include", "must_forbid"), checks, runtime)
     verdicts = constraints.item_verdicts(results).select("item", F.col("pass_strict").cast("double").alias("constraint_item_pass_strict"), F.col("pass_loose").cast("double").alias("constraint_item_pass_loose"), F.col("rate_strict").alias("constraint_check_rate_strict"), F.col("rate_loose").alias("constraint_check_rate_loose"), "failures")
     idf = run_idf(records)
-    asked = overlap.coverage(r, "stt_text", "llm_text", idf).select("item", F.col("coverage").alias("request_coverage"), F.col("echo").alias("echo_ratio"))
-    meant = overlap.coverage(r.where("trim(ori_text) <> ''"), "ori_text", "llm_text", idf).select("item", F.col("coverage").alias("intent_coverage"))
+    asked = overlap.coverage(r, "stt_text", "llm_text", idf, ("run",)).select("item", F.col("coverage").alias("request_coverage"), F.col("echo").alias("echo_ratio"))
+    meant = overlap.coverage(r.where("trim(ori_text) <> ''"), "ori_text", "llm_text", idf, ("run",)).select("item", F.col("coverage").alias("intent_coverage"))
     refs = overlap.reference_scores(r.where("size(reference_answers) > 0"), "llm_text", "reference_answers").select("item", F.col("token_f1").alias("reference_token_f1"), F.col("exact_match").alias("reference_exact_match"), "answer_presence", F.col("rouge_1").alias("reference_rouge_1"), F.col("rouge_l").alias("reference_rouge_l"), "answer_words")
     heard = r.where("trim(ori_text) <> ''").select("item", "ori_text", "stt_text")
     asr = overlap.word_errors(heard, "ori_text", "stt_text").select("item", "substitutions", "deletions", "insertions", "ref_words", "wer", overlap.character_error_rate(F.col("ori_text"), F.col("stt_text")).alias("cer"), overlap.content_recall(F.col("ori_text"), F.col("stt_text")).alias("content_recall"))

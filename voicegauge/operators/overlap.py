@@ -44,34 +44,39 @@ def rouge_l(p: Column, r: Column, beta: float = 1.2) -> Column:
 
 def reference_scores(pairs: DataFrame, prediction: str, references: str) -> DataFrame:
     """pairs (item, prediction, references array) -> best of each measure over the references; answer_words is the shortest reference's."""
-    r = pairs.select("item", T.answer_tokens(F.col(prediction)).alias("p"), F.explode(references).alias("ref")).withColumn("r", T.answer_tokens(F.col("ref")))
+    r = pairs.select("item", T.answer_tokens(T.folded(F.col(prediction))).alias("p"), F.explode(references).alias("ref")).withColumn("r", T.answer_tokens(T.folded(F.col("ref"))))
     s = r.select("item", "p", "r", token_scores(F.col("p"), F.col("r")).alias("s"), rouge_n(F.col("p"), F.col("r")).alias("rouge_1"), rouge_l(F.col("p"), F.col("r")).alias("rouge_l"))
     return s.groupBy("item").agg(F.max("s.f1").alias("token_f1"), F.max("s.exact").alias("exact_match"), F.max("s.presence").alias("answer_presence"), F.max("rouge_1").alias("rouge_1"), F.max("rouge_l").alias("rouge_l"), F.min(F.size("r")).alias("answer_words"))
 
 
-def idf_index(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, df, idf) of the topical stems of non-blank texts: ln((N+1)/(df+1)) + 1."""
-    kept = docs.where(F.trim(text) != "").select(F.array_distinct(T.content_tokens(F.col(text))).alias("tokens"))
-    n = kept.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
-    df = kept.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.select("token", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+def idf_index(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, token, df, idf) of the topical stems of non-blank texts: ln((N+1)/(df+1)) + 1, for each group of by on its own."""
+    kept = docs.where(F.trim(text) != "").select(*by, F.array_distinct(T.content_tokens(T.folded(F.col(text)))).alias("tokens"))
+    df = kept.select(*by, F.explode("tokens").alias("token")).groupBy(*by, "token").agg(F.count("*").alias("df"))
+    if by:
+        sizes = kept.groupBy(*by).agg(F.count("*").alias("__n"))
+        df, n = df.join(sizes, list(by)), F.col("__n")
+    else:
+        n = kept.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    return df.select(*by, "token", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def coverage(pairs: DataFrame, question: str, answer: str, idf: DataFrame | None = None) -> DataFrame:
-    """(item, coverage, echo): the weight of the question's topics that the answer has, and the share of the answer's topics that repeat the question; null without any."""
-    t = pairs.select("item", F.array_distinct(T.content_tokens(F.col(question))).alias("q"), T.content_tokens(F.col(answer)).alias("a"))
+def coverage(pairs: DataFrame, question: str, answer: str, idf: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(item, coverage, echo), weights from the item's group of by: the weight of the question's topics that the answer has, and the share of the answer's topics that repeat the question; null without any."""
+    tokens = lambda c: T.content_tokens(T.folded(F.col(c)))
+    t = pairs.select("item", *by, F.array_distinct(tokens(question)).alias("q"), tokens(answer).alias("a"))
     echo = t.select("item", F.when(F.size("a") > 0, F.size(F.filter("a", lambda w: F.array_contains("q", w))) / F.size("a")).alias("echo"))
-    topics = t.select("item", F.explode("q").alias("token"), "a").select("item", "token", F.array_contains("a", F.col("token")).alias("hit"))
+    topics = t.select("item", *by, F.explode("q").alias("token"), "a").select("item", *by, "token", F.array_contains("a", F.col("token")).alias("hit"))
     if idf is None:
         topics = topics.withColumn("w", F.lit(1.0))
     else:
-        topics = topics.join(idf.select("token", F.col("idf").alias("w")), "token", "left")
+        topics = topics.join(idf.select(*by, "token", F.col("idf").alias("w")), [*by, "token"], "left")
     seen = topics.groupBy("item").agg((F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("coverage"))
     return echo.join(seen, "item", "left").select("item", "coverage", "echo")
 
 
 def asr_tokens(text: Column) -> Column:
-    return F.transform(T.words(text), lambda w: F.regexp_replace(F.lower(w), "['’]", ""))
+    return F.transform(T.words(T.folded(text)), lambda w: F.regexp_replace(F.lower(w), "['’]", ""))
 
 
 def error_rate(errors: Column, n: Column) -> Column:
@@ -91,7 +96,7 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def content_recall(reference: Column, hypothesis: Column) -> Column:
-    r, h = F.array_distinct(T.content_tokens(reference)), T.content_tokens(hypothesis)
+    r, h = F.array_distinct(T.content_tokens(T.folded(reference))), T.content_tokens(T.folded(hypothesis))
     return F.when(F.size(r) > 0, F.size(F.array_intersect(r, h)) / F.size(r))
 
 

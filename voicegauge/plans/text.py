@@ -26,7 +26,7 @@ def words_sql(text: str) -> str:
 
 @query("q20_word_measures", f"with w as (select doc_id, {words_sql('text')} as t, length({MARKS.format('text')}) as n from documents) select doc_id, len(t)::bigint as words, round(case when len(t) = 0 then 0 else len(list_filter(t, lambda x: lower(x) in {_list(T.ENGLISH_MARKERS)}))::double / len(t) end, 4) as english, round_even(greatest(len(t) * 1.33::double, n / 6.0::double), 0)::bigint as tokens, round(len(t) / 2.5::double, 4) as seconds from w")
 def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("t"), F.length(T.plain_marks(F.col("text"))).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.words(T.folded(F.col("text"))).alias("t"), F.length(T.plain_marks(T.folded(F.col("text")))).alias("n"))
     size = F.size("t")
     return d.select("doc_id", size.cast("long").alias("words"), r4(T.english_ratio(F.col("t"))).alias("english"), T.estimated_tokens(size, F.col("n")).alias("tokens"), r4(T.spoken_seconds(size)).alias("seconds"))
 
@@ -37,7 +37,7 @@ SENTS = "list_filter(regexp_split_to_array(trim({0}, ' '), '[.!?][\"'')\\]}}…]
 
 @query("q21_syllables_readability", f"with w as (select doc_id, {words_sql('text')} as t, len({SENTS.format(MARKS.format('text'))})::bigint as s from documents where lang = 'en'), c as (select doc_id, len(t)::bigint as n, s, coalesce({SYLLABLES}, 0)::bigint as y from w) select doc_id, n, s as sentences, y as syllables, round(206.835::double - 1.015::double * (n::double / s) - 84.6::double * (y::double / n), 3) as ease, round(0.39::double * (n::double / s) + 11.8::double * (y::double / n) - 15.59::double, 3) as grade from c where n > 0 and s > 0")
 def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.words(F.col("text")).alias("t"), F.size(T.rough_sentences(F.col("text"))).cast("long").alias("s"))
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.words(T.folded(F.col("text"))).alias("t"), F.size(T.rough_sentences(T.folded(F.col("text")))).cast("long").alias("s"))
     y = F.aggregate(F.transform("t", T.syllables), F.lit(0), lambda a, x: a + x)
     d = d.select("doc_id", F.size("t").cast("long").alias("n"), "s", y.cast("long").alias("y")).where("n > 0 and s > 0")
     return d.select("doc_id", "n", F.col("s").alias("sentences"), F.col("y").alias("syllables"), F.round(T.reading_ease(F.col("n"), F.col("s"), F.col("y")), 3).alias("ease"), F.round(T.grade_level(F.col("n"), F.col("s"), F.col("y")), 3).alias("grade"))
@@ -95,7 +95,7 @@ def content_sql(text: str) -> str:
 
 @query("q25_content_tokens", f"with t as (select conv_id, turn, {content_sql('text')} as t from conversations) select conv_id, turn, len(t)::bigint as n, len(list_distinct(t))::bigint as n_distinct, array_to_string(list_sort(list_distinct(t)), ' ') as tokens from t")
 def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.content_tokens(F.col("text")).alias("t"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.content_tokens(T.folded(F.col("text"))).alias("t"))
     return t.select("conv_id", "turn", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("tokens"))
 
 
@@ -131,7 +131,7 @@ def _answers(spark, sf_dir):
 
 @query("q28_token_overlap", OVERLAP_SQL)
 def q28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _answers(spark, sf_dir).select("doc_id", "item_id", T.answer_tokens(F.col("text")).alias("p"), T.answer_tokens(F.col("reference")).alias("r"))
+    x = _answers(spark, sf_dir).select("doc_id", "item_id", T.answer_tokens(T.folded(F.col("text"))).alias("p"), T.answer_tokens(T.folded(F.col("reference"))).alias("r"))
     s = x.select("doc_id", "item_id", overlap.token_scores(F.col("p"), F.col("r")).alias("s"), overlap.rouge_n(F.col("p"), F.col("r")).alias("rouge_1"))
     return s.select("doc_id", "item_id", r4("s.f1").alias("f1"), F.col("s.exact").alias("em"), F.col("s.presence").alias("presence"), r4("rouge_1").alias("rouge_1"))
 
@@ -142,7 +142,7 @@ def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % b.agg(F.count("*")).scalar()).alias("item_id"))
     x = d.join(b.select("item_id", F.col("text").alias("reference")), "item_id")
-    return x.select("doc_id", "item_id", r4(overlap.rouge_l(T.answer_tokens(F.col("text")), T.answer_tokens(F.col("reference")))).alias("rouge_l"))
+    return x.select("doc_id", "item_id", r4(overlap.rouge_l(T.answer_tokens(T.folded(F.col("text"))), T.answer_tokens(T.folded(F.col("reference"))))).alias("rouge_l"))
 
 
 @query("q30_cer", "with p as (select p_partkey as item, lower(p_name) as r, lower(p_type || ' ' || p_name) as h from part) select item, round(levenshtein(r, h)::double / length(r), 4) as cer from p")
@@ -185,7 +185,7 @@ ATOMS_SQL = f"""with t as (select doc_id, {MARKS.format('text')} as x from docum
 @query("q33_audit_atoms", ATOMS_SQL)
 def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    a = d.select("doc_id", T.audit_atoms(F.col("text")).alias("a"))
+    a = d.select("doc_id", T.audit_atoms(T.folded(F.col("text"))).alias("a"))
     return a.select("doc_id", *(F.size(f"a.{c}").cast("long").alias(c) for c in ("years", "quantities", "names")))
 
 
@@ -201,8 +201,8 @@ def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     n = b.agg(F.count("*")).scalar()
-    d = table(spark, sf_dir, "documents").select("doc_id", T.answer_tokens(F.col("text")).alias("p"), (F.col("doc_id") % 3 == 0).alias("unsupported"), (F.col("doc_id") % n).alias("item_id"))
-    s = d.join(b.select("item_id", T.answer_tokens(F.col("text")).alias("r")), "item_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", T.answer_tokens(T.folded(F.col("text"))).alias("p"), (F.col("doc_id") % 3 == 0).alias("unsupported"), (F.col("doc_id") % n).alias("item_id"))
+    s = d.join(b.select("item_id", T.answer_tokens(T.folded(F.col("text"))).alias("r")), "item_id")
     padded = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
     s = s.select(F.when(F.col("unsupported"), "unanswerable").when(F.size("r") <= 30, "short").otherwise("long").alias("subset"), padded("p").contains(padded("r")).alias("hit"))
     return s.groupingSets([["subset"], []], "subset").agg(F.count("*").alias("n"), r4(F.avg(F.col("hit").cast("int"))).alias("presence")).select(F.coalesce("subset", F.lit("all")).alias("subset"), "n", "presence")
