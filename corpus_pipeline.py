@@ -69,15 +69,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngram_jaccard_join(rows, doc_id="row")
     found = found.groupBy(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") > 0).alias("full"))
     found = store.keep(found.agg(F.count("*").alias("rows")))
-    known = found.join(rows.select("row", "id").distinct(), "row")
-    first = F.min_by(F.struct("row", "rows"), F.struct(F.col("id").isNull(), "id", "row")).alias("one")
-    stay = known.where("full").groupBy("component_id").agg(first).select("one.row", "one.rows")
-    stay = store.keep(stay.union(found.where("not full").select("row", F.lit(1).alias("rows"))))
+    known = found.where("full").join(rows.select("row", "id").distinct(), "row")
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    first = known.groupBy("component_id").agg(F.min_by("row", order).alias("first"), F.count("*").alias("n"))
+    gone = known.join(first.where("n > 1"), "component_id").where("row <> first")
     name = _free(docs, "row")
-    named = docs.withColumn(name, _row(docs))
-    out = named.join(stay.select(F.col("row").alias(name)), name, "left_semi")
-    many = stay.where("rows > 1").select(F.col("row").alias(name))
-    if not many.isEmpty():
+    gone = store.keep(gone.select(F.col("row").alias(name)))
+    out = docs.withColumn(name, _row(docs)).join(gone, name, "left_anti")
+    many = found.where("full and rows > 1").select(F.col("row").alias(name))
+    if not many.isEmpty():  # rows repeated whole are one
         out = out.join(many, name, "left_anti").union(out.join(many, name, "left_semi").dropDuplicates([name]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
