@@ -15,17 +15,17 @@ FAMILIES = ("llama3.2", "llama3.1", "qwen2.5", "gemma3")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 240 parts as runs of a grid."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 240")
+    """Every part as a run; each 240 of them make a grid with recognizers of its own."""
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
     tag = F.concat(pick(FAMILIES, F.floor(k / 3)), F.lit(":"), pick(("1b", "3b", "8b", "500m"), F.floor(k / 12)), F.lit("-instruct-"), pick(QUANTS, k))
     temperature = F.when(F.floor(k / 48) % 3 == 0, 0.0).when(F.floor(k / 48) % 3 == 1, 0.7)
-    return p.select(k.cast("string").alias("run"), k.alias("ord"), tag.alias("model_tag"), temperature.alias("temperature"), F.when(F.floor(k / 48) % 3 == 1, 42).alias("seed"), pick(("vosk-small-cpu", "whisper-small-cuda"), F.floor(k / 120)).alias("recognizer"), F.col("p_type").alias("prompt_file"), F.col("p_size").alias("num_ctx"))
+    return p.select(k.cast("string").alias("run"), k.alias("ord"), tag.alias("model_tag"), temperature.alias("temperature"), F.when(F.floor(k / 48) % 3 == 1, 42).alias("seed"), F.concat(pick(("vosk-small-cpu", "whisper-small-cuda"), F.floor(k / 120)), F.lit("-"), F.floor(k / 240).cast("string")).alias("recognizer"), F.col("p_type").alias("prompt_file"), F.col("p_size").alias("num_ctx"))
 
 
 IDENT_SQL = """runs as (select cast(k as varchar) as run, k as ord, (['llama3.2', 'llama3.1', 'qwen2.5', 'gemma3'])[(k // 3) % 4 + 1] || ':' || (['1b', '3b', '8b', '500m'])[(k // 12) % 4 + 1] || '-instruct-' || (['q4_K_M', 'q8_0', 'fp16'])[k % 3 + 1] as model_tag,
-      case when (k // 48) % 3 = 0 then 0.0 when (k // 48) % 3 = 1 then 0.7 end::double as temperature, case when (k // 48) % 3 = 1 then 42 end as seed, (['vosk-small-cpu', 'whisper-small-cuda'])[(k // 120) % 2 + 1] as recognizer, p_type as prompt_file, p_size as num_ctx from (select p_partkey as k, * from part where p_partkey < 240)),
+      case when (k // 48) % 3 = 0 then 0.0 when (k // 48) % 3 = 1 then 0.7 end::double as temperature, case when (k // 48) % 3 = 1 then 42 end as seed, (['vosk-small-cpu', 'whisper-small-cuda'])[(k // 120) % 2 + 1] || '-' || (k // 240)::varchar as recognizer, p_type as prompt_file, p_size as num_ctx from (select p_partkey as k, * from part)),
     ident as (select *, split_part(model_tag, ':', 1) as family, split_part(split_part(model_tag, ':', 2), '-', 1) as size_label, split_part(model_tag, '-', 2) as tuning, split_part(model_tag, '-', 3) as quantization,
       case when model_tag like '%500m%' then 0.5 else try_cast(regexp_extract(model_tag, ':(\\d+)b', 1) as double) end::double as size_b, case split_part(model_tag, '-', 3) when 'q4_K_M' then 4 when 'q8_0' then 8 else 16 end as precision_bits,
       regexp_extract(model_tag, '^([^0-9]+)', 1) as lineage, case when temperature is null then 't?' when temperature = 0 then 't0' else 't0.7/s42' end as setting from runs)"""

@@ -106,10 +106,17 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("stage", "n_a", "n_b", r4("u").alias("u"), r4("z").alias("z"), r4("delta").alias("delta"), rt.effect_label(F.col("delta")).alias("label"))
 
 
-@query("q11_two_sample_shift", "with r as (select event_type as stage, case when ts < timestamp '2024-01-02' then 'a' else 'b' end as side, value from events where ts < timestamp '2024-01-02' or ts >= timestamp '2024-01-30'), d as (select a.stage, a.value - b.value as d from r a join r b on a.stage = b.stage and a.side = 'a' and b.side = 'b'), n as (select stage, count(*) filter (side = 'a') as n_a, count(*) filter (side = 'b') as n_b, quantile_cont(case when side = 'a' then value end, 0.5) - quantile_cont(case when side = 'b' then value end, 0.5) as far from r group by stage) select n.stage, n_a, n_b, round(case when n_a * n_b <= 4000000 then (select quantile_cont(d, 0.5) from d where d.stage = n.stage) else far end, 4) as shift from n")
+SHIFT_SQL = f"""with {ITEMS_SQL}, r as (select stage, case when run = 'current' then 'a' else 'b' end as side, value from log),
+    n as (select stage, count(*) filter (side = 'a') as n_a, count(*) filter (side = 'b') as n_b, quantile_cont(case when side = 'a' then value end, 0.5) - quantile_cont(case when side = 'b' then value end, 0.5) as far from r group by stage),
+    few as (select r.* from r join n on r.stage = n.stage where n_a * n_b <= 4000000),
+    d as (select a.stage, quantile_cont(a.value - b.value, 0.5) as shift from few a join few b on a.stage = b.stage and a.side = 'a' and b.side = 'b' group by a.stage)
+    select n.stage, n_a, n_b, round(coalesce(d.shift, far), 4) as shift from n left join d on n.stage = d.stage"""
+
+
+@query("q11_two_sample_shift", SHIFT_SQL)
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("ts < timestamp_ntz '2024-01-02' or ts >= timestamp_ntz '2024-01-30'")
-    rows = e.select(F.col("event_type").alias("stage"), F.when(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"), "a").otherwise("b").alias("side"), "value")
+    """All events of the second half against all of the first."""
+    rows = event_log(spark, sf_dir).withColumn("side", F.when(F.col("run") == "current", "a").otherwise("b"))
     return rt.two_sample_shift(rows).select("stage", "n_a", "n_b", r4("shift").alias("shift"))
 
 
@@ -187,7 +194,7 @@ def q17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.agreement_panel(r).join(two, "dimension").select("dimension", *(r4(c).alias(c) for c in ("pct", "fleiss", "ac1", "alpha_nominal", "alpha_ordinal", "kappa_ab")))
 
 
-ICC = """with r as (select l_returnflag as dimension, l_orderkey * 10 + l_linenumber as item, unnest(['q', 'd', 't']) as rater, unnest([l_quantity / 10, l_discount * 50, l_tax * 60]) as score from lineitem where l_orderkey % 5 > 0 or l_linenumber > 1),
+ICC = """with r as (select l_returnflag as dimension, l_orderkey * 10 + l_linenumber as item, unnest(['q', 'd', 't']) as rater, unnest([l_quantity / 10, l_discount * 50, l_tax * 60]) as score from lineitem),
     one as (select dimension, item, rater, avg(score) as score from r group by all),
     g as (select dimension, var_pop(score) as v, count(distinct item)::double as n, count(distinct rater)::double as k from one group by dimension),
     gi as (select dimension, var_pop(m) as vi from (select dimension, item, avg(score) as m from one group by all) group by dimension),
@@ -198,7 +205,7 @@ ICC = """with r as (select l_returnflag as dimension, l_orderkey * 10 + l_linenu
 
 @query("q18_icc", ICC)
 def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 > 0 or l_linenumber > 1")
+    li = table(spark, sf_dir, "lineitem")
     rows = F.array(*(F.struct(F.lit(n).alias("rater"), c.alias("score")) for n, c in (("q", F.col("l_quantity") / 10), ("d", F.col("l_discount") * 50), ("t", F.col("l_tax") * 60))))
     r = li.select(F.col("l_returnflag").alias("dimension"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.explode(rows).alias("r")).select("dimension", "item", "r.*").groupBy("dimension", "item", "rater").agg(F.avg("score").alias("score"))
     return agreement.icc(r).select("dimension", r4("icc_2_1").alias("icc_2_1"), r4("icc_2_k").alias("icc_2_k"), "n", "k", "dropped")

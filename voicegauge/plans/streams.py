@@ -60,11 +60,18 @@ def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.latest(e, "user")
 
 
-@query("q46_embedding_cosine", "select a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))), 4) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+CENTRE_SQL = """with x as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings),
+    c as (select label, i, avg(v) as m from x group by all)
+    select vec_id, x.label, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 4) as cosine from x join c on x.label = c.label and x.i = c.i group by vec_id, x.label"""
+
+
+@query("q46_embedding_cosine", CENTRE_SQL)
 def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector against the mean of its label's vectors."""
     e = table(spark, sf_dir, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), (F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y"))
-    return a.join(b, "a").select("a", "b", r4(overlap.cosine(F.col("x"), F.col("y"))).alias("cosine"))
+    at = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    centre = at.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
+    return e.join(centre, "label").select("vec_id", "label", r4(overlap.cosine(F.col("embedding"), F.col("centre"))).alias("cosine"))
 
 
 @query("q47_bootstrap_ci")
