@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -174,3 +175,56 @@ def test_comparison_verdicts(spark):
     assert got["quality_composite"].mean_difference == pytest.approx(0.5) and got["quality_composite"].unchanged == 0
     same = {x.metric: x for x in compare.compare_runs(base, base, compare.catalogue(spark), resamples=200).collect()}
     assert same["quality_composite"].verdict == "equivalent" and same["answer_presence"].verdict == "no detected change"
+
+
+def _groups(spark, seed, n=70, kinds=12):
+    import random
+
+    r = random.Random(seed)
+    rows = [(g, r.choice([r.randrange(kinds) / 4, r.gauss(0, 3)]), r.randrange(9) * 1.0) for g in ("a", "b") for _ in range(n)]
+    return rows, spark.createDataFrame(rows, "g string, x double, y double").repartition(3)
+
+
+@pytest.mark.parametrize("least", [1_000_000, 5])
+def test_walsh_averages_of_small_and_large_groups(spark, least):
+    rows, df = _groups(spark, 3)
+    got = {r.g: r for r in rt.hodges_lehmann(df, ("g",), "x", least=least).collect()}
+    for g in ("a", "b"):
+        x = sorted(v for k, v, _ in rows if k == g)
+        walsh = sorted((x[i] + x[j]) / 2 for i in range(len(x)) for j in range(i, len(x)))
+        n, m = len(x), len(walsh)
+        k = math.floor(n * (n + 1) / 4 - rt.Z975 * math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+        assert got[g].n == n and got[g].shift == pytest.approx((walsh[(m - 1) // 2] + walsh[m // 2]) / 2)
+        assert (got[g].ci_low, got[g].ci_high) == (walsh[k], walsh[m - k - 1])
+
+
+@pytest.mark.parametrize("least", [100_000, 4])
+def test_rank_correlations_by_pairs(spark, least):
+    rows, df = _groups(spark, 8)
+    tau = {r.g: r.tau for r in rt.kendall(df, "x", "y", ("g",), least=least).collect()}
+    rho = {r.g: r.rho for r in rt.spearman(df, "x", "y", ("g",)).collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    for g in ("a", "b"):
+        own = [(x, y) for k, x, y in rows if k == g]
+        pairs = [(sign(a - c), sign(b - d)) for i, (a, b) in enumerate(own) for c, d in own[:i]]
+        nx, ny = (sum(p[i] != 0 for p in pairs) for i in (0, 1))
+        assert tau[g] == pytest.approx(sum(a * b for a, b in pairs) / math.sqrt(nx * ny))
+        ranks = lambda v: [sum(w < u for w in v) + (sum(w == u for w in v) + 1) / 2 for u in v]
+        rx, ry = ranks([x for x, _ in own]), ranks([y for _, y in own])
+        assert rho[g] == pytest.approx(np.corrcoef(rx, ry)[0, 1])
+
+
+def test_quantiles_and_running_sums(spark):
+    from voicegauge.operators import orderstats
+
+    rows, df = _groups(spark, 5)
+    qs = {"low": 0.0, "q1": 0.25, "median": 0.5, "p95": 0.95, "top": 1.0}
+    got = {r.g: r for r in orderstats.quantiles(df.withColumnRenamed("x", "value"), qs, ("g",)).collect()}
+    for g in ("a", "b"):
+        x = [v for k, v, _ in rows if k == g]
+        assert [got[g][c] for c in qs] == pytest.approx([np.quantile(x, q) for q in qs.values()])
+    counted = df.groupBy("g", "y").count()
+    sums = orderstats.running_sum(counted, "count", "y", ("g",), buckets=3).collect()
+    for r in sums:
+        assert r.upto == sum(1 for k, _, y in rows if k == r.g and y <= r.y)
+    assert orderstats.quantiles(df.limit(0).withColumnRenamed("x", "value"), qs, ("g",)).count() == 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voicegauge.operators import orderstats
 from voicegauge.schemas import HEADLINE_STAGES, STAGES
 
 
@@ -48,14 +49,17 @@ def item_values(items: DataFrame) -> DataFrame:
     return items.groupBy("stage", "item").agg(F.percentile("value", 0.5).alias("value"))
 
 
-def quantiles(value: str, *qs: float) -> dict[str, Column]:
-    return {f"p{round(q * 100):02d}": F.percentile(value, q) for q in qs}
-
-
 def stage_summary(items: DataFrame, by: tuple[str, ...] = ("stage",)) -> DataFrame:
     """n, median, quartiles, tails, maximum and spread of each group of item values."""
-    q = lambda p: F.percentile("value", p)
-    return items.groupBy(*by).agg(F.count("value").alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), q(0.9).alias("p90"), q(0.95).alias("p95"), F.max("value").alias("max"), (q(0.75) - q(0.25)).alias("iqr"))
+    q = orderstats.quantiles(items, {"median": 0.5, "q1": 0.25, "q3": 0.75, "p90": 0.9, "p95": 0.95}, by)
+    top = items.groupBy(*by).agg(F.max("value").alias("max"))
+    return q.join(top, list(by)).withColumn("iqr", F.col("q3") - F.col("q1"))
+
+
+def full_summary(items: DataFrame, by: tuple[str, ...] = ("stage",), confidence: float = 0.95) -> DataFrame:
+    """Size, moments, quantiles, and the distribution-free interval of the median; the interval and sd of a single value are null."""
+    out = moments(items, by).join(orderstats.quantiles(items, {"p50": 0.5, "p90": 0.9, "p95": 0.95}, by).drop("n"), list(by))
+    return out.join(orderstats.quantile_interval(items, 0.5, confidence, by).drop("n"), list(by))
 
 
 def moments(items: DataFrame, by: tuple[str, ...] = ("stage",), single_sd: float | None = None) -> DataFrame:
@@ -65,9 +69,11 @@ def moments(items: DataFrame, by: tuple[str, ...] = ("stage",), single_sd: float
 
 
 def run_rollup(items: DataFrame, stages: tuple[str, ...] | None = HEADLINE_STAGES) -> DataFrame:
-    """(run, stage, n, p50) for each run, and for all runs pooled (run null), from one pass."""
+    """(run, stage, n, p50) for each run, and for all runs pooled (run null)."""
     kept = items.where(F.col("stage").isin(*stages)) if stages else items
-    return kept.groupingSets([["run", "stage"], ["stage"]], "run", "stage").agg(F.count("value").alias("n"), F.percentile("value", 0.5).alias("p50")).select("run", "stage", "n", "p50")
+    of_run = kept.groupBy("run", "stage").agg(F.count("value").alias("n"), F.percentile("value", 0.5).alias("p50"))  # a run is a few hundred items
+    pooled = orderstats.quantiles(kept, {"p50": 0.5}).select(F.lit(None).cast("string").alias("run"), "stage", "n", "p50")
+    return of_run.unionByName(pooled)
 
 
 def context_values(log: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -54,7 +54,7 @@ def quantile_interval(items: DataFrame, q: float = 0.5, confidence: float = 0.95
     """(by, n, ci_low, ci_high): order statistics that bracket each group's q-quantile whatever its distribution.
 
     The two ranks come from a kernel that sees one row a group; which values
-    have them, from select_ranks(), whose tasks hold a bucket of a group.
+    have them, from select_ranks().
     """
     sizes = items.groupBy(*by).agg(F.count("value").alias("n"))
     wanted = sizes.withColumn("r", _ranks_udf(q, confidence)("n")).select(*by, "n", "r.low", "r.high")
@@ -64,32 +64,50 @@ def quantile_interval(items: DataFrame, q: float = 0.5, confidence: float = 0.95
     return wanted.select(*by, "n").join(pair, list(by), "left")
 
 
+def running_sum(rows: DataFrame, weight: str, value: str, by: tuple[str, ...], buckets: int = 64) -> DataFrame:
+    """rows with upto: the sum of weight over the rows of its group whose value isn't greater. A value stands once in a group.
+
+    Approximate quantiles cut a group's values into buckets; a window runs over
+    one bucket, and the sums of buckets, a few rows a group, give it its start.
+    So no task holds a group.
+    """
+    by = list(by)
+    points = [i / buckets for i in range(1, buckets)]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, points, 10_000).alias("__cuts"))
+    cuts = cuts.select(*(F.col(b).alias(f"__{b}") for b in by), "__cuts")
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by] or [F.lit(True)]
+    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    placed = rows.join(F.broadcast(cuts) if not by else cuts, same).withColumn("__bucket", bucket).select(*rows.columns, "__bucket")
+    sums = placed.groupBy(*by, "__bucket").agg(F.sum(weight).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket")) - F.col("__n")
+    sums = sums.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("__bucket").alias("__place"), before.alias("__before"))
+    own = F.sum(weight).over(Window.partitionBy(*by, "__bucket").orderBy(value))
+    out = placed.withColumn("__own", own).join(sums, [*same, F.col("__bucket") == F.col("__place")])
+    return out.select(*rows.columns, (F.col("__before") + F.col("__own")).alias("upto"))
+
+
 def select_ranks(items: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ("stage",)) -> DataFrame:
-    """wanted (by, rank, ...) with the value of that rank in its group: exact, without sorting a group in one task.
+    """wanted (by, rank, ...) with the value of that rank in its group: exact, and no task holds a group.
 
-    Distinct values are counted first (partially before the shuffle). About 64
-    approximate quantiles cut each group's values into buckets; the cumulative
-    counts of buckets say which bucket holds a rank, and only the wanted
-    buckets are ordered, each on its own.
+    Distinct values are counted first, partially before the shuffle.
     """
     by = list(by)
-    counts = items.where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("n"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 10_000).alias("cuts"))
-    placed = counts.join(cuts, by).select(*by, "value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket"))
-    sums = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket"))
-    sums = sums.select(*by, "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"))
-    want = wanted.join(sums, by).where("rank > before and rank <= upto")
-    few = placed.join(want.select(*by, "bucket", "before").distinct(), [*by, "bucket"])
-    end = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "bucket").orderBy("value"))
-    few = few.select(*by, "bucket", "value", (end - F.col("n")).alias("from"), end.alias("to"))
-    return want.drop("before", "upto").join(few, [*by, "bucket"]).where("rank > `from` and rank <= `to`").drop("bucket", "from", "to")
+    counts = items.where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("__t"))
+    ends = running_sum(counts, "__t", "value", tuple(by)).select(*by, "value", (F.col("upto") - F.col("__t")).alias("__from"), F.col("upto").alias("__to"))
+    return wanted.join(ends, by).where("rank > __from and rank <= __to").drop("__from", "__to")
 
 
-def average_rank(value: str | Column, *by: str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def quantiles(items: DataFrame, qs: dict[str, float], by: tuple[str, ...] = ("stage",)) -> DataFrame:
+    """(by, n, a column for each of qs): exact quantiles of value with linear interpolation, by rank selection; for groups of any size."""
+    sizes = items.where("value is not null").groupBy(*by).agg(F.count("*").alias("n"))
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    ends = [F.struct(F.lit(c).alias("name"), (f(place(q)) + 1).cast("long").alias("rank")) for c, q in qs.items() for f in (F.floor, F.ceil)]
+    wanted = sizes.select(*by, F.explode(F.array_distinct(F.array(*ends))).alias("x")).select(*by, "x.*")
+    found = select_ranks(items, wanted, by).groupBy(*by)
+    found = found.agg(*(f(F.when(F.col("name") == c, F.col("value"))).alias(f"__{c}_{n}") for c in qs for n, f in (("low", F.min), ("high", F.max))))
+    part = lambda q: place(q) - F.floor(place(q))
+    value = lambda c, q: F.col(f"__{c}_low") * (1 - part(q)) + F.col(f"__{c}_high") * part(q)
+    return sizes.join(found, list(by)).select(*by, "n", *(value(c, q).alias(c) for c, q in qs.items()))
 
 
 def tie_ranks(df: DataFrame, value: str, by: list[str], counts: dict[str, Column]) -> DataFrame:
@@ -99,8 +117,8 @@ def tie_ranks(df: DataFrame, value: str, by: list[str], counts: dict[str, Column
     anything is ordered.
     """
     tied = df.groupBy(*by, value).agg(F.count("*").alias("t"), *(c.alias(n) for n, c in counts.items()))
-    upto = F.sum("t").over(Window.partitionBy(*by).orderBy(value))
-    return tied.withColumn("rank", upto - (F.col("t") - 1) / F.lit(2.0))
+    ranked = running_sum(tied, "t", value, tuple(by))
+    return ranked.withColumn("rank", F.col("upto") - (F.col("t") - 1) / F.lit(2.0)).drop("upto")
 
 
 def holm(df: DataFrame, p: str = "p", family: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:

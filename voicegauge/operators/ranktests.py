@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voicegauge.functions.kernels import chi2_tail_1, mean_interval, normal_two_sided, paired_interval, statistic_interval, student_upper_tail
-from voicegauge.operators.orderstats import average_rank, tie_ranks
+from voicegauge.operators.orderstats import quantiles, running_sum, tie_ranks
 
 Z975 = 1.959963984540054
 Z80 = 0.8416212335729143
@@ -66,28 +66,112 @@ def evaluation_signed_rank(stats: DataFrame) -> DataFrame:
     return out.withColumn("p", F.when(F.col("z").isNull(), 1.0).otherwise(F.least(F.lit(1.0), normal_two_sided("z"))))
 
 
-def hodges_lehmann(pairs: DataFrame, by: tuple[str, ...] = ("stage",), d: str = "d") -> DataFrame:
+def walsh_at(x: np.ndarray, t: np.ndarray, ranks: list[int]) -> list[float]:
+    """The averages (x + x') / 2 of the given ranks among all of a sample with itself; x in order, each t times.
+
+    A search over the doubles between the extremes, in the order of their
+    bits; each step counts the averages up to a value by one search a value.
+    """
+    upto = np.concatenate([[0], np.cumsum(t)])
+
+    def count(v: float) -> int:
+        at = np.searchsorted(x, 2 * v - x, "right")
+        while True:  # rounding can be off by a place
+            more = (at < len(x)) & ((x + x[np.minimum(at, len(x) - 1)]) / 2 <= v)
+            less = (at > 0) & ((x + x[np.maximum(at - 1, 0)]) / 2 > v)
+            if not (more.any() or less.any()):
+                break
+            at = at + more - less
+        return (int((t * upto[at]).sum()) + int(t[x <= v].sum())) // 2
+
+    bits = lambda v: (lambda i: i if i >= 0 else -(1 << 63) - i)(int(np.float64(v).view(np.int64)))
+    back = lambda i: float(np.int64(i if i >= 0 else -(1 << 63) - i).view(np.float64))
+    out = []
+    for rank in ranks:
+        low, high = bits(x[0]), bits(x[-1])
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if count(back(mid)) >= rank else (mid + 1, high)
+        out.append(back(low))
+    return out
+
+
+def _shift(x: np.ndarray, t: np.ndarray) -> tuple[int, float, float | None, float | None]:
+    """(n, shift, ci_low, ci_high) of one group."""
+    n = int(t.sum())
+    m = n * (n + 1) // 2
+    k = math.floor(n * (n + 1) / 4 - Z975 * math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+    ends = [k + 1, m - k] if n >= 2 and 0 <= 2 * k < m else []
+    left, right, *ci = walsh_at(x, t, [(m + 1) // 2, (m + 2) // 2, *ends])
+    return n, (left + right) / 2, *(ci or (None, None))
+
+
+def hodges_lehmann(pairs: DataFrame, by: tuple[str, ...] = ("stage",), d: str = "d", least: int = 1_000_000) -> DataFrame:
     """(by, n, shift, ci_low, ci_high): median of the Walsh averages of each group's differences, with the interval of the signed-rank distribution.
 
-    The n(n+1)/2 averages of a group are the definition; repeated differences
-    meet first, so they are weighted, not repeated.
+    Equal differences are counted first. A group of up to `least` different
+    ones is one call of walsh_at(), which needs n log n; larger ones go through
+    _large_shifts(). Averages are never written out for all pairs.
     """
     by = list(by)
-    values = pairs.where(F.col(d).isNotNull()).groupBy(*by, F.col(d).alias("x")).agg(F.count("*").alias("t"))
-    a, b = values.select(*by, F.col("x").alias("xa"), F.col("t").alias("ta")), values.select(*by, F.col("x").alias("xb"), F.col("t").alias("tb"))
-    walsh = a.join(b, by).where("xa <= xb").select(*by, ((F.col("xa") + F.col("xb")) / 2).alias("value"), F.when(F.col("xa") == F.col("xb"), F.col("ta") * (F.col("ta") + 1) / 2).otherwise(F.col("ta") * F.col("tb")).cast("long").alias("w"))
-    walsh = walsh.groupBy(*by, "value").agg(F.sum("w").alias("w"))
-    size = pairs.where(F.col(d).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    values = pairs.where(F.col(d).isNotNull()).groupBy(*by, F.col(d).cast("double").alias("x")).agg(F.count("*").alias("t"))
+    sizes = values.groupBy(*by).agg(F.count("*").alias("rows"))
+    many = sizes.where(F.col("rows") > least).select(*by)
+    kinds = dict(values.dtypes)
+
+    def one(key, pdf):
+        pdf = pdf.sort_values("x")
+        return pd.DataFrame([[*key, *_shift(pdf["x"].to_numpy(), pdf["t"].to_numpy())]], columns=[*by, "n", "shift", "ci_low", "ci_high"])
+
+    made = ", ".join([*(f"{b} {kinds[b]}" for b in by), "n long, shift double, ci_low double, ci_high double"])
+    if many.isEmpty():
+        return values.groupBy(*by).applyInPandas(one, made)
+    few = values.join(many, by, "left_anti").groupBy(*by).applyInPandas(one, made)
+    return few.unionByName(_large_shifts(values.join(many, by, "left_semi"), by))
+
+
+def _large_shifts(values: DataFrame, by: list[str], most_buckets: int = 4096) -> DataFrame:
+    """The same from (by, x, t) without a task that holds a group.
+
+    A group's n differences are cut into about n ** (2/3) buckets of
+    neighbours. A pair of buckets bounds its averages from both sides and
+    counts them, which brackets the averages of the wanted ranks; only pairs of
+    buckets across a bracket are written out, so n ** (4/3) averages instead of
+    all n(n+1)/2.
+    """
+    size = values.groupBy(*by).agg(F.sum("t").alias("n"))
     n = F.col("n").cast("double")
     k = F.floor(n * (n + 1) / 4 - Z975 * F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
-    m = (F.col("n") * (F.col("n") + 1) / 2).cast("long")
-    at = size.select(*by, "n", k.alias("k"), m.alias("m"))
-    end = F.sum("w").over(Window.partitionBy(*by).orderBy("value"))
-    ranked = walsh.select(*by, "value", (end - F.col("w")).alias("from"), end.alias("to")).join(at, by)
-    pick = lambda rank: F.max(F.when((F.col("from") < rank) & (rank <= F.col("to")), F.col("value")))
-    middle = (pick(F.floor((F.col("m") + 1) / 2)) + pick(F.floor((F.col("m") + 2) / 2))) / 2
-    ok = (F.first("k") >= 0) & (2 * F.first("k") < F.first("m")) & (F.first("n") >= 2)
-    return ranked.groupBy(*by).agg(F.first("n").alias("n"), middle.alias("shift"), F.when(ok, pick(F.col("k") + 1)).alias("ci_low"), F.when(ok, pick(F.col("m") - F.col("k"))).alias("ci_high"))
+    at = size.select(*by, "n", k.alias("k"), (F.col("n") * (F.col("n") + 1) / 2).cast("long").alias("m"))
+    ok = (F.col("k") >= 0) & (2 * F.col("k") < F.col("m")) & (F.col("n") >= 2)
+    ranks = {"left": F.floor((F.col("m") + 1) / 2), "right": F.floor((F.col("m") + 2) / 2), "low": F.when(ok, F.col("k") + 1), "high": F.when(ok, F.col("m") - F.col("k"))}
+    wanted = at.select(*by, F.explode(F.array(*(F.struct(F.lit(e).alias("end"), r.cast("long").alias("rank")) for e, r in ranks.items()))).alias("w")).select(*by, "w.*").where("rank is not null")
+    cut = F.least(F.lit(most_buckets), F.ceil(F.pow(F.col("n"), 2 / 3)))
+    placed = running_sum(values, "t", "x", tuple(by)).join(size, by)
+    placed = placed.select(*by, "x", "t", F.floor((F.col("upto") - F.col("t")) * cut / F.col("n")).alias("bucket"))
+    ends = placed.groupBy(*by, "bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("t").alias("w"))
+    a, b = (ends.select(*by, *(F.col(c).alias(c + s) for c in ("bucket", "lo", "hi", "w"))) for s in "ab")
+    pair = F.when(F.col("bucketa") == F.col("bucketb"), F.col("wa") * (F.col("wa") + 1) / 2).otherwise(F.col("wa") * F.col("wb"))
+    grid = a.join(b, by).where("bucketa <= bucketb").select(*by, "bucketa", "bucketb", ((F.col("loa") + F.col("lob")) / 2).alias("lo"), ((F.col("hia") + F.col("hib")) / 2).alias("hi"), pair.cast("long").alias("c"))
+
+    def reached(column):
+        """The least bound up to which a rank is reached."""
+        sums = running_sum(grid.groupBy(*by, column).agg(F.sum("c").alias("c")), "c", column, tuple(by))
+        return wanted.join(sums, by).where("upto >= rank").groupBy(*by, "end", "rank").agg(F.min(column).alias(column))
+
+    bracket = reached("lo").withColumnRenamed("lo", "from").join(reached("hi").withColumnRenamed("hi", "to"), [*by, "end", "rank"])
+    cells = grid.join(bracket, by).where("lo <= to")
+    below = cells.where("hi < `from`").groupBy(*by, "end").agg(F.sum("c").alias("below"))
+    across = cells.where("hi >= `from`").select(*by, "end", "bucketa", "bucketb")
+    x, y = (placed.select(*by, *(F.col(c).alias(c + s) for c in ("bucket", "x", "t"))) for s in "ab")
+    walsh = across.join(x, [*by, "bucketa"]).join(y, [*by, "bucketb"]).where("xa <= xb")
+    weight = F.when(F.col("xa") == F.col("xb"), F.col("ta") * (F.col("ta") + 1) / 2).otherwise(F.col("ta") * F.col("tb")).cast("long")
+    walsh = walsh.groupBy(*by, "end", ((F.col("xa") + F.col("xb")) / 2).alias("value")).agg(F.sum(weight).alias("w"))
+    ranked = running_sum(walsh, "w", "value", (*by, "end")).join(bracket.select(*by, "end", "rank"), [*by, "end"]).join(below, [*by, "end"], "left")
+    found = ranked.where(F.col("upto") + F.coalesce("below", F.lit(0)) >= F.col("rank")).groupBy(*by, "end").agg(F.min("value").alias("value"))
+    of = lambda e: F.max(F.when(F.col("end") == e, F.col("value")))
+    ends = found.groupBy(*by).agg(((of("left") + of("right")) / 2).alias("shift"), of("low").alias("ci_low"), of("high").alias("ci_high"))
+    return size.join(ends, by).select(*by, "n", "shift", "ci_low", "ci_high")
 
 
 def mann_whitney(rows: DataFrame, by: tuple[str, ...] = ("stage",), side: str = "side", value: str = "value") -> DataFrame:
@@ -121,7 +205,10 @@ def effect_label(delta: Column) -> Column:
 def two_sample_shift(rows: DataFrame, by: tuple[str, ...] = ("stage",), limit: int = PAIR_LIMIT) -> DataFrame:
     """(by, n_a, n_b, shift): median of all differences a - b; beyond `limit` pairs the difference of medians, as the measure is defined."""
     by = list(by)
-    sizes = rows.where("value is not null").groupBy(*by).agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"), F.percentile(F.when(F.col("side") == "a", F.col("value")), 0.5).alias("ma"), F.percentile(F.when(F.col("side") == "b", F.col("value")), 0.5).alias("mb"))
+    sizes = rows.where("value is not null").groupBy(*by).agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"))
+    medians = quantiles(rows.where(F.col("side").isin("a", "b")), {"m": 0.5}, (*by, "side"))
+    for s in "ab":
+        sizes = sizes.join(medians.where(F.col("side") == s).select(*by, F.col("m").alias(f"m{s}")), by, "left")
     small = sizes.where(F.col("n_a") * F.col("n_b") <= limit).select(*by)
     own = lambda s: rows.where((F.col("side") == s) & F.col("value").isNotNull()).join(small, by, "left_semi").groupBy(*by, F.col("value").alias(f"x{s}")).agg(F.count("*").alias(f"t{s}"))
     diffs = own("a").join(own("b"), by).select(*by, (F.col("xa") - F.col("xb")).alias("d"), (F.col("ta") * F.col("tb")).alias("w"))
@@ -172,24 +259,90 @@ def _tost(s: DataFrame, alpha: float) -> DataFrame:
     return s.withColumn("equivalent", (F.col("p_lower") < alpha) & (F.col("p_upper") < alpha))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, n, rho): correlation of average ranks; null under three pairs or without variance."""
+def _counted(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, x, y, t): equal pairs, counted."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = both.select(*by, average_rank(x, *by).alias("rx"), average_rank(y, *by).alias("ry"))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
+    return both.groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("t"))
 
 
-def kendall(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
-    """(by, tau): Kendall's tau-b. Equal pairs (x, y) meet first; what is left of a group is compared pair by pair, as the statistic is defined."""
+def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, rho): correlation of average ranks; null under three pairs or without variance."""
+    c = _counted(df, x, y, by)
+    for v in ("x", "y"):
+        ranks = running_sum(c.groupBy(*by, v).agg(F.sum("t").alias("k")), "k", v, by)
+        c = c.join(ranks.select(*by, v, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"r{v}")), [*by, v])
+    total = lambda e: F.sum(F.expr(f"t * {e}"))
+    s = c.groupBy(*by).agg(F.sum("t").alias("n"), *(total(e).alias(a) for a, e in (("sx", "rx"), ("sy", "ry"), ("xy", "rx * ry"), ("xx", "rx * rx"), ("yy", "ry * ry"))))
+    own = "(xx - sx * sx / n)", "(yy - sy * sy / n)"
+    rho = F.expr(f"case when n >= 3 and {own[0]} > 0 and {own[1]} > 0 then (xy - sx * sy / n) / (sqrt{own[0]} * sqrt{own[1]}) end")
+    return s.where("n > 0").select(*by, "n", rho.alias("rho"))
+
+
+def sign_sum(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> float:
+    """Sum of t t' sign(x - x') sign(y - y') over pairs of rows, in n log n.
+
+    Two different ranks of x first differ in some bit. For each bit the rows
+    that agree above it are sorted by y together, and running sums of the
+    weights on the lower side give what each row of the higher side meets.
+    """
+    x, y = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+    t, out = t.astype(float), 0.0
+    for bit in range(int(x.max(initial=0)).bit_length()):
+        block, high = x >> (bit + 1), (x >> bit & 1).astype(bool)
+        order = np.lexsort((y, block))
+        g, v, w, up = block[order], y[order], np.where(high, 0, t)[order], high[order]
+        upto = np.cumsum(w)
+        new = np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]))
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        less = (upto - w)[first][run]
+        same = np.add.reduceat(w, first)[run]
+        begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        own = np.cumsum(np.append(False, g[1:] != g[:-1]))
+        start, total = (upto - w)[begin][own], np.add.reduceat(w, begin)[own]
+        less = less - start
+        out += float((t[order] * (less - (total - less - same)))[up].sum())
+    return out
+
+
+def kendall(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), least: int = 100_000) -> DataFrame:
+    """(by, tau): Kendall's tau-b; null without variance.
+
+    A group of up to `least` different pairs is one call of sign_sum(). A
+    larger one is cut into bands of x and bands of y: pairs of rows apart in
+    both are counted from the cells of the grid, those within a band of x or of
+    y by sign_sum(), and those within a cell, counted by both, once less.
+    """
     by = list(by)
-    c = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("t"))
-    a, b = (c.select(*by, *(F.col(n).alias(n + s) for n in ("x", "y", "t"))) for s in "ab")
-    w = F.col("ta") * F.col("tb")
-    s = a.join(b, by).where("xa < xb or (xa = xb and ya < yb)").groupBy(*by).agg(F.sum(w * F.signum(F.col("xa") - F.col("xb")) * F.signum(F.col("ya") - F.col("yb"))).alias("s"))
-    n = c.groupBy(*by).agg(F.sum("t").cast("double").alias("n"))
-    ties = lambda v: c.groupBy(*by, v).agg(F.sum("t").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{v}"))
-    out = n.join(ties("x"), by).join(ties("y"), by).join(s, by, "left").withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2)
-    return out.select(*by, F.when(F.col("n") >= 2, F.expr("try_divide(coalesce(s, 0D), sqrt(pairs - tx) * sqrt(pairs - ty))")).alias("tau"))
+    c = _counted(df, x, y, tuple(by))
+    facts = c.groupBy(*by).agg(F.sum("t").cast("double").alias("n"), F.count("*").alias("rows"), *(F.percentile_approx(v, [i / 64 for i in range(1, 64)], 10_000).alias(f"c{v}") for v in ("x", "y")))
+    bands = facts.select(*by, F.least(F.lit(64), F.ceil(F.col("rows") / least)).alias("bands"), "cx", "cy")
+    band = lambda v: F.floor(F.size(F.filter(f"c{v}", lambda q: q < F.col(v))) * F.col("bands") / 64)
+    c = (c.join(bands, by) if by else c.crossJoin(F.broadcast(bands))).select(*by, "x", "y", "t", "bands", band("x").alias("bx"), band("y").alias("by"))
+    kinds = dict(c.dtypes)
+
+    def within(keys, rows):
+        def one(key, pdf):
+            return pd.DataFrame([[*key, sign_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["t"].to_numpy())]], columns=[*by, *keys, "s"])
+
+        out = rows.groupBy(*by, *keys).applyInPandas(one, ", ".join([*(f"{k} {kinds[k]}" for k in (*by, *keys)), "s double"]))
+        return out.select(*by, "s")
+
+    cut = c.where("bands > 1")
+    cells = cut.groupBy(*by, "bx", "by").agg(F.sum("t").cast("double").alias("t"))
+    a, b = (cells.select(*by, *(F.col(n).alias(n + s) for n in ("bx", "by", "t"))) for s in "ab")
+    apart = (a.join(b, by) if by else a.crossJoin(b)).where("bxa < bxb and bya <> byb")
+    parts = within(["bx"], c)
+    if not facts.where(F.col("rows") > least).isEmpty():
+        parts = parts.union(within(["by"], cut)).union(within(["bx", "by"], cut).select(*by, (-F.col("s")).alias("s")))
+        parts = parts.union(apart.select(*by, (F.col("ta") * F.col("tb") * F.signum(F.col("byb") - F.col("bya"))).alias("s")))
+    s = parts.groupBy(*by).agg(F.sum("s").alias("s"))
+    ties = lambda v: c.groupBy(*by, v).agg(F.sum("t").cast("double").alias("k")).groupBy(*by).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{v}"))
+    out = facts.select(*by, "n")
+    for part in (ties("x"), ties("y"), s):
+        out = out.join(part, by) if by else out.crossJoin(part)
+    out = out.withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2)
+    return out.select(*by, F.when(F.col("n") >= 2, F.expr("try_divide(s, sqrt(pairs - tx) * sqrt(pairs - ty))")).alias("tau"))
 
 
 def bootstrap_intervals(items: DataFrame, by: tuple[str, ...] = ("stage",), value: str = "value", kind: str = "mean", resamples: int = 2000) -> DataFrame:
@@ -222,7 +375,9 @@ def compare_paired(pairs: DataFrame, by: tuple[str, ...] = ("stage",)) -> DataFr
     """One row a group: sizes, medians of both sides, Hodges-Lehmann shift with interval and relative size, p and detectable shift."""
     by = list(by)
     test = log_signed_rank(signed_rank(pairs, tuple(by))).select(*by, "n_pairs", "n_zero", "p", "method")
-    medians = pairs.groupBy(*by).agg(F.percentile("a", 0.5).alias("median_a"), F.percentile("b", 0.5).alias("median_b"))
+    sides = pairs.unpivot(by, ["a", "b"], "side", "value")
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("m"))).alias(f"median_{s}")
+    medians = quantiles(sides, {"m": 0.5}, (*by, "side")).groupBy(*by).agg(side("a"), side("b"))
     shift, least = hodges_lehmann(pairs, tuple(by)).drop("n"), detectable_shift(pairs, tuple(by)).drop("n")
     return test.join(medians, by).join(shift, by, "left").join(least, by, "left").withColumn("relative_shift", F.expr("try_divide(shift, median_b)"))
 

@@ -37,8 +37,7 @@ CI_SQL = f"""with {ONE_SQL},
 @query("q02_stage_quantile_ci", CI_SQL)
 def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _warm(spark, sf_dir)
-    q = items.groupBy("stage").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.9).alias("p90"))
-    return q.join(orderstats.quantile_interval(items), "stage").select("stage", "n", *(r4(c).alias(c) for c in ("mean", "sd", "p50", "p90", "ci_low", "ci_high")))
+    return collapse.full_summary(items).select("stage", "n", *(r4(c).alias(c) for c in ("mean", "sd", "p50", "p90", "ci_low", "ci_high")))
 
 
 @query("q03_stage_summary", f"with {ITEMS_SQL}, s as (select stage, count(value) as n, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3, quantile_cont(value, 0.9) as p90, quantile_cont(value, 0.95) as p95, max(value) as max from items group by stage) select stage, n, round(median, 4) as median, round(q1, 4) as q1, round(q3, 4) as q3, round(p90, 4) as p90, round(p95, 4) as p95, round(max, 4) as max, round(q3 - q1, 4) as iqr from s")
