@@ -214,6 +214,19 @@ def test_rank_correlations_by_pairs(spark, least):
         assert rho[g] == pytest.approx(np.corrcoef(rx, ry)[0, 1])
 
 
+def test_buckets_never_fall(spark):
+    from pyspark.sql import functions as F
+
+    from voicegauge.operators import orderstats
+
+    r = random.Random(2)
+    values = [0.0, 1e308, -1e308, float("inf"), -float("inf"), 5e-324, *(s * 2.0**k * (1 + e) for k in range(-60, 61) for e in (-1e-16, 0, 1e-16) for s in (1, -1))]
+    values += [r.gauss(0, 10 ** r.randint(-3, 6)) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", orderstats.value_bucket(F.col("v")).alias("b"))
+    got = sorted((x.v, x.b) for x in df.collect())
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_quantiles_and_running_sums(spark):
     from voicegauge.operators import orderstats
 
@@ -224,7 +237,7 @@ def test_quantiles_and_running_sums(spark):
         x = [v for k, v, _ in rows if k == g]
         assert [got[g][c] for c in qs] == pytest.approx([np.quantile(x, q) for q in qs.values()])
     counted = df.groupBy("g", "y").count()
-    sums = orderstats.running_sum(counted, "count", "y", ("g",), buckets=3).collect()
+    sums = orderstats.running_sum(counted, "count", "y", ("g",)).collect()
     for r in sums:
         assert r.upto == sum(1 for k, _, y in rows if k == r.g and y <= r.y)
     assert orderstats.quantiles(df.limit(0).withColumnRenamed("x", "value"), qs, ("g",)).count() == 0

@@ -64,20 +64,24 @@ def quantile_interval(items: DataFrame, q: float = 0.5, confidence: float = 0.95
     return wanted.select(*by, "n").join(pair, list(by), "left")
 
 
-def running_sum(rows: DataFrame, weight: str, value: str, by: tuple[str, ...], buckets: int = 64) -> DataFrame:
+def value_bucket(value: Column, fine: int = 4096) -> Column:
+    """A number that never falls as the value rises: `fine` steps for each doubling, so it divides a group without a look at it."""
+    size = F.abs(value.cast("double"))
+    power = F.floor(F.log2(size))
+    step = (power + 1100) * fine + F.floor((size / F.pow(F.lit(2.0), power) - 1) * fine)
+    place = F.when(size < 1e-300, 0).when(size <= 1e300, step).otherwise(2200 * fine).cast("long")
+    return F.when(value < 0, -place).otherwise(place)
+
+
+def running_sum(rows: DataFrame, weight: str, value: str, by: tuple[str, ...]) -> DataFrame:
     """rows with upto: the sum of weight over the rows of its group whose value isn't greater. A value stands once in a group.
 
-    Approximate quantiles cut a group's values into buckets; a window runs over
-    one bucket, and the sums of buckets, a few rows a group, give it its start.
-    So no task holds a group.
+    A window runs over one bucket of a group, and the sums of buckets, a
+    bounded number of rows a group, give it its start. So no task holds a group.
     """
     by = list(by)
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, points, 10_000).alias("__cuts"))
-    cuts = cuts.select(*(F.col(b).alias(f"__{b}") for b in by), "__cuts")
-    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by] or [F.lit(True)]
-    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    placed = rows.join(F.broadcast(cuts) if not by else cuts, same).withColumn("__bucket", bucket).select(*rows.columns, "__bucket")
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    placed = rows.withColumn("__bucket", value_bucket(F.col(value)))
     sums = placed.groupBy(*by, "__bucket").agg(F.sum(weight).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket")) - F.col("__n")
     sums = sums.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("__bucket").alias("__place"), before.alias("__before"))
