@@ -37,15 +37,17 @@ _PARTS = "get set user name file path list data index value key map node tree ar
 
 
 def ordinary_words(docs: DataFrame, text: str, most: int, held_out: bool = False) -> list[str]:
-    """At most `most` words of 3 to 24 letters that stand in three documents or more, in no order but a hash's.
+    """At most `most` words of 3 to 24 letters that stand in three documents or more, chosen by a hash.
 
     Counted over whole texts of all documents. One word in five (crc32 modulo 5
     is 0) is held out: nothing learns from it, and tests measure with it.
     """
     own = docs.select(F.explode(F.array_distinct(F.split(text, "[^A-Za-z]+"))).alias("word"))
     own = own.where(F.length("word").between(3, 24)).where((F.crc32("word") % 5 == 0) == F.lit(held_out))
-    counts = own.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
-    return [r.word for r in counts.orderBy(F.xxhash64("word"), "word").limit(most).select("word").collect()]
+    counts = Store(docs.sparkSession, "words").keep(own.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3"))
+    share = -(-counts.count() // most)  # so many words for each that is taken
+    taken = counts.where(F.pmod(F.xxhash64("word"), F.lit(max(1, share))) == 0)
+    return sorted(r.word for r in taken.select("word").collect())[:most]
 
 
 def labelled_samples(words: list[str] = (), seed: int = 7, n: int = 8000) -> list[tuple[str, int]]:

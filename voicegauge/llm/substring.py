@@ -314,17 +314,28 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array(own[first]), W.binaries(pairs.ravel(), n * 2)], ["id", "spans"])
 
 
-def repeated_spans(docs: DataFrame, window: int, prefix: int, group_rows: int, most_long: int, store: Store) -> DataFrame:
-    """(id, spans) from (id, text) with ids that are unique and not null: the maximal repeats that have started earlier, as spans of window starts."""
-    spark = docs.sparkSession
-    counted = docs.mapInArrow(_census(window, prefix), "part long, gram long, id long, n long").repartition("part").sortWithinPartitions("gram", F.desc("n"))
-    repeats = store.keep(counted.mapInArrow(_repeating, "id long, gram long, n long"))
-    many = repeats.groupBy("gram").agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows).orderBy(F.desc("rows"), "gram").limit(most_long).select("gram").toPandas()
-    frequent = spark.sparkContext.broadcast(np.sort(many["gram"].to_numpy(np.int64).view(np.uint64)))
+def _repeats(docs: DataFrame, window: int, prefix: int, store: Store) -> DataFrame:
+    """(id, gram, n): the prefixes that have more than one suffix, with the documents that have them."""
+    counted = docs.mapInArrow(_census(window, prefix), "part long, gram long, id long, n long")
+    counted = counted.repartition("part").sortWithinPartitions("gram", F.desc("n"))
+    return store.keep(counted.mapInArrow(_repeating, "id long, gram long, n long"))
+
+
+def _found(docs: DataFrame, repeats: DataFrame, window: int, prefix: int, frequent, store: Store) -> DataFrame:
     known = repeats.groupBy("id").agg(F.collect_set("gram").alias("grams"))
     rows = docs.join(known, "id").select("id", "text", "grams").mapInArrow(_suffixes(window, prefix, frequent), _ROWS)
     again = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window, prefix), "id long, start int, length int")
-    found = store.keep(again.repartition("id").sortWithinPartitions("id", "start").mapInArrow(_merged, "id long, spans binary"))
+    return store.keep(again.repartition("id").sortWithinPartitions("id", "start").mapInArrow(_merged, "id long, spans binary"))
+
+
+def repeated_spans(docs: DataFrame, window: int, prefix: int, group_rows: int, most_long: int, store: Store) -> DataFrame:
+    """(id, spans) from (id, text) with ids that are unique and not null: the maximal repeats that have started earlier, as spans of window starts."""
+    repeats = _repeats(docs, window, prefix, store)
+    store.drop()  # of each step only the written table is left, not what it shuffled
+    many = repeats.groupBy("gram").agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows)
+    many = many.orderBy(F.desc("rows"), "gram").limit(most_long).select("gram").toPandas()
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(many["gram"].to_numpy(np.int64).view(np.uint64)))
+    found = _found(docs, repeats, window, prefix, frequent, store)
     store.drop(repeats)
     return found
 
