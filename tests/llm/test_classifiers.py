@@ -45,8 +45,9 @@ def test_quality_query(spark, labels):
 def test_swapping_identity_terms():
     from voicegauge.llm.toxicity import swapped
 
-    assert swapped(b"All Women, and old men") == b"All men, and young women"
-    assert swapped(b"nothing here") is None
+    assert swapped(b"All Women, and old men") == [b"All men, and young women"]
+    assert swapped(b"nothing here") == []
+    assert swapped(b"jews and women") == [b"hindus and men", b"atheists and men", b"muslims and men", b"christians and men"]
 
 
 def test_penalty_takes_weight_off_a_group(spark):
@@ -66,12 +67,12 @@ def test_penalty_takes_weight_off_a_group(spark):
 def test_gradient_of_the_training_step():
     from voicegauge.llm.toxicity import train
 
-    rows = [(1, [0], [1.0], None, None), (0, [1], [1.0], None, None), (1, [0, 2], [1.0, 1.0], [0, 1], [1.0, 1.0]), (0, [1], [0.5], None, None)]
+    rows = [(1, [0], [1.0], []), (0, [1], [1.0], []), (1, [0, 2], [1.0, 1.0], [([0, 1], [1.0, 1.0])]), (0, [1], [0.5], [])]
     w, b = train(rows, 3, 1e-3, 0.0, 600)
     assert w[0] > 1 and w[1] < -1
     tied, _ = train(rows, 3, 1e-3, 1000.0, 600)
     assert abs(tied[2] - tied[1]) < 0.2
-    assert train([(1, [0], [1.0], None, None)], 3, 1e-3, 1.0, 10)[0].tolist() == [0, 0, 0]
+    assert train([(1, [0], [1.0], [])], 3, 1e-3, 1.0, 10)[0].tolist() == [0, 0, 0]
 
 
 def test_discriminant_against_the_formula():
@@ -116,3 +117,88 @@ def test_keep_good_keeps_all_columns(spark):
     kept = keep_good(d, lab)
     assert kept.columns == d.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_scores(d, lab).where("score >= 0.3").collect()}
+
+
+def _words(texts):
+    import pyarrow as pa
+
+    from voicegauge.llm import _words as W
+
+    return [w for _, _, w in W.chunks(pa.array(texts), limit=1 << 30)][0]
+
+
+TEXTS = ["Fools! Fools, \"fool\" (foolish) FOOLISHNESS said Zoë.", "", None, " \n", "a " * 50 + "idiots idiots", "one. two, three\n\nthree three\none. two,\n# 12 | x!", "Ein Wort.", "x", "ünïcödé ünïcödé\tÉTÉ\r\nlast."]
+
+
+def test_toxicity_scores_by_plain_counting():
+    """Words and their beginnings counted text by text, and the logistic of their weighted densities."""
+    from voicegauge.llm.toxicity import PREFIXES, Model, features
+
+    strings = {"fools": 1.5, "fool^": 2.0, "fooli^": -1.0, "idiots": 3.0, "three": -0.5, "ünï^": 0.7, "idio^": 0.2}
+    code = {}
+    for s in strings:  # a word's own feature comes first, then its beginnings by length
+        size = len(s.rstrip("^").encode())
+        own = features(_words([s.rstrip("^") + ("zzzz" if "^" in s else "")]))[1]
+        code[s] = own[1 + PREFIXES.index(size) if "^" in s else 0]
+    names = sorted(strings, key=lambda s: code[s])
+    model = Model(np.array([code[s] for s in names], np.uint64), np.array([strings[s] for s in names]), -0.3)
+    want = []
+    for text in TEXTS:
+        words = [w.strip(b".,!?;:\"'()[]|*%$#&") for w in (text or "").encode().split()]
+        low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+        logit = -0.3
+        for s, weight in strings.items():
+            bare = s.rstrip("^").encode()
+            n = sum(w.startswith(bare) and len(w) > len(bare) if "^" in s else w == bare for w in low)
+            logit += weight * min(n * 100 / (len(words) + 30), 2.0)
+        want.append(1 / (1 + np.exp(-logit)))
+    assert model.score(_words(TEXTS)) == pytest.approx(want)
+
+
+def test_quality_statistics_by_plain_counting():
+    from voicegauge.llm import quality
+
+    got = quality.statistics(_words(TEXTS))
+    for row, text in zip(got, TEXTS, strict=True):
+        data = (text or "").encode()
+        words = data.split()
+        n, size = len(words), max(len(data), 1)
+        if not n:
+            assert not row.any()
+            continue
+        length = [len(w) for w in words]
+        mean = (sum(length) + 100) / (n + 20)
+        spread = max((sum(x * x for x in length) + 700) / (n + 20) - mean**2, 0) ** 0.5
+        share = lambda chars, usual: ((sum(b in chars for b in data) + 200 * usual) / (size + 200)) ** 0.5  # noqa: B023, E731
+        fresh = lambda x: (len(set(x)) + 20) / (len(x) + 20)
+        lines = [tuple(x.split()) for x in data.split(b"\n") if x.split()]
+        want = {
+            "words": np.log1p(n), "word_length": np.log1p(mean), "length_spread": np.log1p(spread),
+            **{k: share(v, {"upper": 0.02, "stop": 0.015, "comma": 0.01, "line": 0.004}.get(k, 0)) for k, v in quality._CLASSES.items()},
+            "high": share(range(128, 256), 0), "distinct": 2 * np.log(fresh(words)), "distinct_pairs": 4 * np.log(fresh(list(zip(words, words[1:], strict=False)))),
+            "distinct_lines": 4 * np.log(fresh(lines)), "short": ((sum(x <= 3 for x in length) + 7) / (n + 20)) ** 0.5,
+            "long": ((sum(x >= 14 for x in length) + 0.6) / (n + 20)) ** 0.5, "end_stop": float(words[-1].endswith(b".")),
+        }
+        assert dict(zip(quality.NAMES, row, strict=True)) == pytest.approx(want)
+
+
+def test_neutral_mentions_with_and_without_the_penalty(spark):
+    """The share of neutral mentions of a group at 0.7 or more, learnt from labels in which the group stands mostly in toxic rows."""
+    from voicegauge.llm.toxicity import toxicity_scores
+
+    r = np.random.default_rng(7)
+    filler = [f"word{i}" for i in range(60)]
+    say = lambda *extra: " ".join(r.permutation([*r.choice(filler, 14), *extra]))
+    insults = ["".join(r.choice(list("bcdfgklmnprstvz"), 9)) for _ in range(20)]
+    toxic = lambda *extra: say(r.choice(insults), *extra)
+    rows = [(toxic("muslims") if i % 10 else toxic(), 1) for i in range(240)] + [(say("christians") if i % 8 == 0 else say(), 0) for i in range(480)]
+    neutral = [say("muslims") for _ in range(200)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*(t for t, _ in rows), *neutral])], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    share, found = {}, {}
+    for penalty in (0.0, 1.0, 30.0):
+        got = {x.doc_id: x.score for x in toxicity_scores(d, lab, penalty=penalty).collect()}
+        share[penalty] = np.mean([got[len(rows) + i] >= 0.7 for i in range(len(neutral))])
+        found[penalty] = np.mean([got[i] >= 0.7 for i, (_, y) in enumerate(rows) if y])
+    print("neutral mentions flagged", share, "toxic rows found", found)
+    assert share[1.0] < share[0.0] and share[30.0] <= 0.02 and found[1.0] > 0.95 and found[30.0] > 0.95

@@ -121,6 +121,38 @@ def test_area_resize_against_a_finer_grid():
     assert media.difference_hash(np.arange(90).reshape(1, 90, 1)) == 2**64 - 1 and media.difference_hash(np.zeros((3, 3, 3))) == 0
 
 
+def plain_means(x, height, width):
+    """Means over height x width equal areas, pixel by pixel with the part of it that an area covers."""
+    out = np.zeros((height, width, x.shape[2]))
+    for i in range(height):
+        for j in range(width):
+            top, left = i * x.shape[0] / height, j * x.shape[1] / width
+            high, wide = x.shape[0] / height, x.shape[1] / width
+            for a in range(int(top), min(int(np.ceil(top + high)), x.shape[0])):
+                for b in range(int(left), min(int(np.ceil(left + wide)), x.shape[1])):
+                    part = (min(a + 1, top + high) - max(a, top)) * (min(b + 1, left + wide) - max(b, left))
+                    out[i, j] += max(part, 0) * x[a, b].astype(float)
+    return out / (high * wide)
+
+
+@pytest.mark.parametrize("shape", [(7, 64, 3), (1, 64, 3), (13, 5, 1), (40, 64, 3)])
+def test_tile_and_hash_by_plain_loops(shape):
+    x = np.random.default_rng(sum(shape)).integers(0, 256, shape, np.uint8)
+    tile = np.load(io.BytesIO(media.npy_tile(x, 32)))
+    assert tile.dtype == np.uint8 and np.abs(tile - np.clip(plain_means(x, 32, 32), 0, 255)).max() <= 0.5 + 1e-6
+    grey = x.astype(float) @ np.array([0.299, 0.587, 0.114]) if shape[2] == 3 else x[:, :, 0].astype(float)
+    small = np.round(plain_means(grey[:, :, None], 8, 9)[:, :, 0], 6)
+    bits = "".join("1" if small[i, j + 1] > small[i, j] else "0" for i in range(8) for j in range(8))
+    assert media.difference_hash(x) == int(bits, 2)
+
+
+def test_media_of_a_very_long_text(spark):
+    rows = [(1, "long text " * 3_000_000), (2, "é")]
+    out = media.media_columns(media.texts_as_images(spark.createDataFrame(rows, "doc_id long, text string")), ["doc_id", "n_bytes"])
+    got = {r.doc_id: r for r in out.selectExpr("doc_id", "n_bytes", "length(samples) as n", "error", "length(dhash) as h").collect()}
+    assert got[1].n_bytes == 30_000_000 and got[1].n == 30_000_000 and got[1].error is None and got[1].h == 16
+
+
 def test_media_columns_edge_cases(spark):
     rows = [(1, images()[0][0]), (1, images()[0][0]), (2, None), (3, b""), (4, b"P6\n5 5\n255\nshort"), (None, b"GIF89a"), (6, b"BM" + bytes(60)), (7, b"P9"), (8, b"P5 0 0 255\n")]
     got = media.media_columns(spark.createDataFrame(rows, "key long, media binary"), ["key"]).collect()

@@ -95,25 +95,32 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas of the image, as floats. The integral image is read between its points, so areas need not fall on pixels."""
-    out = samples.astype(float)
+    """Means over equal areas of the image, as floats.
+
+    The integral image is read between its points, so areas need not fall on
+    pixels; it is summed up at the points that are read only, so an image of
+    any size needs no copy of its samples.
+    """
+    out = samples
     for axis, to in ((0, height), (1, width)):
         n = out.shape[axis]
-        summed = np.cumsum(out, axis=axis)
-        summed = np.concatenate([np.zeros_like(summed.take([0], axis)), summed], axis)
         edge = np.arange(to + 1) * n / to
         low = np.minimum(edge.astype(int), n - 1)
+        points, of = np.unique(low, return_inverse=True)
+        sums = np.add.reduceat(out, points, axis=axis, dtype=np.float64)
+        before = np.cumsum(sums, axis=axis) - sums
         part = (edge - low).reshape([-1 if a == axis else 1 for a in range(out.ndim)])
-        at = summed.take(low, axis) * (1 - part) + summed.take(low + 1, axis) * part
+        at = before.take(of, axis) + out.take(low, axis) * part
         out = np.diff(at, axis=axis) * (to / n)
     return out
 
 
 def difference_hash(samples: np.ndarray) -> int:
     """64 bits: whether each of 9 x 8 areas is darker than the one to its right."""
-    grey = samples.astype(float) @ np.array([0.299, 0.587, 0.114]) if samples.shape[2] == 3 else samples[:, :, 0].astype(float)
-    small = np.round(area_resize(grey, 8, 9), 6)
-    return int.from_bytes(np.packbits(small[:, 1:] > small[:, :-1]).tobytes(), "big")
+    small = area_resize(samples, 8, 9)
+    grey = small @ np.array([0.299, 0.587, 0.114]) if samples.shape[2] == 3 else small[:, :, 0]
+    grey = np.round(grey, 6)
+    return int.from_bytes(np.packbits(grey[:, 1:] > grey[:, :-1]).tobytes(), "big")
 
 
 def npy_tile(samples: np.ndarray, side: int) -> bytes:

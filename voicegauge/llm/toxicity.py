@@ -3,9 +3,9 @@
 Features are densities of words and of word beginnings (4 to 8 bytes), so
 stems count in any inflection. Those that tell the classes of the labelled
 sample apart best are kept. The model is a logistic regression; besides the
-log loss and an L2 term, training adds the squared change of the logit between
-a labelled text and its copy with identity terms swapped for others of their
-group. Weight then can't sit on the mention of a group.
+log loss and an L2 term, training adds the mean squared change of the logit
+between a labelled text and its copies with identity terms swapped for each
+other of their group. Weight then can't sit on the mention of a group.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ IDENTITY_GROUPS = (
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual", "transgender"), ("immigrants", "natives", "refugees"), ("disabled", "able-bodied"), ("young", "old"),
     ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("frauen", "männer"), ("muslime", "christen", "juden"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-_SWAP = {a.encode(): b.encode() for g in IDENTITY_GROUPS for a, b in zip(g, g[1:] + g[:1], strict=True)}
+_SWAP = {g[i].encode(): [t.encode() for t in g[i + 1 :] + g[:i]] for g in IDENTITY_GROUPS for i in range(len(g))}
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,!?;:\"'()[]|*%$#&")] = True
 PREFIXES = (4, 5, 6, 7, 8)
@@ -71,16 +71,16 @@ def vectors(w: W.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc, key % len(chosen), density(count, w.count[doc])
 
 
-def swapped(text: bytes) -> bytes | None:
-    """The text with each identity term as the next of its group; None if it has none."""
+def swapped(text: bytes) -> list[bytes]:
+    """Copies of the text with its identity terms swapped: in the k-th each is the k-th next of its group, until every group is through."""
     words = text.split()
-    found = False
+    terms = {}
     for i, word in enumerate(words):
         core = word.strip(b".,!?;:\"'()[]")
-        if (to := _SWAP.get(core.lower())) is not None:
-            words[i] = word.replace(core, to)
-            found = True
-    return b" ".join(words) if found else None
+        if (others := _SWAP.get(core.lower())) is not None:
+            terms[i] = [word.replace(core, t) for t in others]
+    copies = max(map(len, terms.values()), default=0)
+    return [b" ".join(terms[i][k % len(terms[i])] if i in terms else w for i, w in enumerate(words)) for k in range(copies)]
 
 
 @dataclass
@@ -97,7 +97,7 @@ class Model:
 
 
 def train(rows: list[tuple], width: int, l2: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of rows (label, columns, values, columns and values of the swapped copy or None), by full-batch Adam steps."""
+    """Weights and bias of rows (label, columns, values, (columns, values) of each swapped copy), by full-batch Adam steps."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -108,9 +108,11 @@ def train(rows: list[tuple], width: int, l2: float, penalty: float, steps: int)
         return np.repeat(np.arange(len(pairs)), n), np.concatenate([np.asarray(c, np.int64) for c, _ in pairs] or [np.zeros(0, np.int64)]), np.concatenate([np.asarray(v, float) for _, v in pairs] or [np.zeros(0)])
 
     row, col, val = matrix([(r[1], r[2]) for r in rows])
-    both = [r for r in rows if r[3] is not None]
-    # x - x' as one sparse matrix
-    drow, dcol, dval = matrix([(list(r[1]) + list(r[3]), list(r[2]) + [-v for v in r[4]]) for r in both])
+    both = [(r, c, 1 / len(r[3])) for r in rows for c in r[3]]
+    # x - x' as one sparse matrix, a row a copy; the copies of a text share its weight
+    drow, dcol, dval = matrix([(list(r[1]) + list(c[0]), list(r[2]) + [-v for v in c[1]]) for r, c, _ in both])
+    share = np.array([k for _, _, k in both])
+    texts = max(share.sum(), 1)
     w, b = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -118,7 +120,7 @@ def train(rows: list[tuple], width: int, l2: float, penalty: float, steps: int)
         err = (1 / (1 + np.exp(-z)) - y) / len(y)
         g = np.bincount(col, err[row] * val, width) + l2 * w
         if len(both):
-            gap = np.bincount(drow, dval * w[dcol], len(both)) / len(both)
+            gap = np.bincount(drow, dval * w[dcol], len(both)) * share / texts
             g += 2 * penalty * np.bincount(dcol, gap[drow] * dval, width)
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -160,22 +162,24 @@ def fit(labelled: DataFrame, text: str, label: str, width: int, least: float, l2
     best = stats.where(z >= least).orderBy(z.desc(), "h").limit(width).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     chosen = np.sort(best)
 
+    pair = pa.struct([("col", pa.list_(pa.int64())), ("val", pa.list_(pa.float64()))])
+
     def rows_of(batches):
         for b in batches:
             for lo, hi, w in W.chunks(b.column(0)):
                 doc, col, value = vectors(w, chosen)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                others = []
                 for i in range(hi - lo):
-                    other = swapped(w.bytes_of(i))
-                    c, v = None, None
-                    if other is not None:
-                        raw = np.frombuffer(other, np.uint8)
-                        _, c, v = vectors(W.Words(raw, np.array([0, len(raw)]), False), chosen)
-                    s = slice(cut[i], cut[i + 1])
-                    yield pa.RecordBatch.from_pylist([{"label": int(b.column(1)[lo + i].as_py()), "col": col[s].tolist(), "val": value[s].tolist(), "ocol": None if c is None else c.tolist(), "oval": None if v is None else v.tolist()}], schema)
-
-    schema = pa.schema([("label", pa.int32()), ("col", pa.list_(pa.int64())), ("val", pa.list_(pa.float64())), ("ocol", pa.list_(pa.int64())), ("oval", pa.list_(pa.float64()))])
-    got = rows.mapInArrow(rows_of, "label int, col array<long>, val array<double>, ocol array<long>, oval array<double>").orderBy("label", F.xxhash64("col", "val")).toLocalIterator()
+                    copies = [np.frombuffer(c, np.uint8) for c in swapped(w.bytes_of(i))]
+                    found = [vectors(W.Words(raw, np.array([0, len(raw)]), False), chosen) for raw in copies]
+                    others.append([{"col": c.tolist(), "val": v.tolist()} for _, c, v in found])
+                own = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (col, value)]
+                label = b.column(1).slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([label, *own, pa.array(others, pa.list_(pair))], ["label", "col", "val", "others"])
+
+    made = "label int, col array<long>, val array<double>, others array<struct<col:array<long>,val:array<double>>>"
+    got = rows.mapInArrow(rows_of, made).orderBy("label", F.xxhash64("col", "val")).toLocalIterator()
     weight, bias = train([tuple(r) for r in got], len(chosen), l2, penalty, steps)
     store.drop(rows)
     return Model(chosen, weight, bias)
@@ -186,10 +190,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
     labels (doc_id, label 0 or 1) gives the rows to learn from; learn: an SQL
     condition on doc_id that they must meet besides. At most `sample` labelled
-    documents are used, those with the least hash of their id; this bound is
-    the only one. Of their features the `width` best by the difference of
-    class means count, if it is `least` standard errors or more. Of several labels of an id the greatest counts; null labels
-    and labels without a document don't. Rows of equal doc_id are each scored.
+    documents are used, those with the least hash of their id. Of the features
+    that three of them or more have, the `width` best by the difference of
+    class means count, if it is `least` standard errors or more. These bound
+    what is learnt from; whole texts of all rows are scored. Of several labels
+    of an id the greatest counts; null labels and labels without a document
+    don't. Rows of equal doc_id are each scored.
 
     Null and blank texts have no feature: their score is the model's for no
     evidence. Without labels of both classes every score is the (smoothed)
