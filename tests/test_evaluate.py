@@ -40,8 +40,12 @@ def test_summaries(spark, items):
     assert evaluate.by_stratum(items).count() == 2 and evaluate.impact(items).count() == 10
     runs = spark.createDataFrame([("r1", 1, "llama3:8b-q8_0", 0.0, None, "vosk"), ("r2", 2, "llama3:8b-q4_0", 0.0, None, "vosk")], "run string, ord int, model_tag string, temperature double, seed int, recognizer string")
     runs = contrasts.identify(runs)
-    board = {r.run: r for r in evaluate.leaderboard(items, runs).collect()}
-    assert board["r1"].item_adherence == 1 and board["r2"].ttfa_p50 == 1305.5 and board["r1"].corpus_wer == pytest.approx(0.2)
+    board = {r.run_dir: r for r in evaluate.leaderboard(items, runs).collect()}
+    assert board["r1"].adherence_item_strict == 1 and board["r2"].ttfa_ms_median == 1305.5 and board["r1"].run == runs.where("run = 'r1'").first().label
+    heard = evaluate.input_reference(items, runs).first()
+    assert heard.run == "r1" and heard.corpus_wer == pytest.approx(0.2) and heard.wer_median == pytest.approx(0.2)
+    unsafe = {r.run: (r.undecided, r.unsafe) for r in evaluate.acceptance_summary(items).collect()}
+    assert unsafe["r1"][0] == 1 and unsafe["r1"][1] == []
     assert evaluate.control_spread(items, runs).first().n_runs == 2
     edges = contrasts.contrast_edges(runs)
     out = {(r.kind, r.metric): r for r in compare.compare_edges(rows, edges, compare.catalogue(spark), resamples=100).collect()}

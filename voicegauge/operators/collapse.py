@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voicegauge.operators import orderstats
-from voicegauge.schemas import HEADLINE_STAGES, STAGES
+from voicegauge.schemas import CONTEXT, HEADLINE_STAGES, STAGES
 
 
 def numeric(text: Column) -> Column:
@@ -96,16 +96,47 @@ def resource_table(log: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return long.groupingSets([["stage", "resource"], ["resource"]], "stage", "resource").agg(F.count("value").alias("n"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.9).alias("p90"), F.max("value").alias("max")).select("stage", "resource", "n", "p50", "p90", "max")
 
 
+#: Fixed values: (stage, key of its JSON, metric).
+EXTRAS = (("llm_prompt_eval", "prompt_tokens", "llm_prompt_tokens"), ("llm_eval", "eval_tokens", "llm_eval_tokens"), ("llm_eval", "tokens_per_sec", "llm_tokens_per_sec"), ("e2e_response_ready", "output_duration_ms", "tts_audio_ms"))
+
+
+def extra_rows(log: DataFrame) -> DataFrame:
+    """(run, item, metric, value): the median of each item's numbers in the JSON of its stages."""
+    out = None
+    for stage, key, metric in EXTRAS:
+        rows = extra_metrics(log.where(F.col("stage") == stage), "extra_json", key).select("run", "item", F.lit(metric).alias("metric"), F.col("median").alias("value"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def resource_medians(log: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(run, resource, median) over raw rows."""
+    long = log.unpivot(["run"], list(columns), "resource", "value").where("value is not null")
+    return orderstats.quantiles(long, {"median": 0.5}, ("run", "resource")).drop("n")
+
+
 def hardware(log: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The first value of each column that isn't blank, by place in the log."""
     return log.groupBy("run").agg(*(F.min_by(F.when(F.trim(c) != "", F.col(c)), F.when(F.trim(c) != "", F.col("pos"))).alias(c) for c in columns))
 
 
-def log_warnings(log: DataFrame, items: DataFrame, columns: tuple[str, ...], least: int = 20) -> DataFrame:
-    """(run, collapsed, n_items, mixed, few): what a reader of the numbers should know."""
-    mixed = context_values(log, columns).where("n > 1").groupBy("run").agg(F.array_join(F.array_sort(F.collect_list("column")), ",").alias("mixed"))
-    size = items.groupBy("run").agg(F.count_if(F.col("n_rep") > 1).alias("collapsed"), F.countDistinct("item").alias("n_items"))
-    return size.join(mixed, "run", "left").select("run", "collapsed", "n_items", F.coalesce("mixed", F.lit("")).alias("mixed"), (F.col("n_items") < least).alias("few"))
+def log_warnings(log: DataFrame, items: DataFrame, columns: tuple[str, ...] = CONTEXT, least: int = 20) -> DataFrame:
+    """(kind, detail) of what would make a reader misread a selection of logs: mixed settings, runs without an input mode, ends of speech located in several
+    ways, several system prompts, repeats that were collapsed, runs of different sizes, small stages."""
+    detail = lambda rows, kind, text: rows.select(F.lit(kind).alias("kind"), text.cast("string").alias("detail"))
+    shown = context_values(log.withColumn("run", F.lit("")), columns)
+    out = detail(shown.where("n > 1"), "mixed settings", F.concat_ws(": ", "column", "values"))
+    out = out.union(detail(shown.where("column = 'input_mode' and array_contains(split(values, '[|]'), '(unset)')"), "no input mode", F.lit("ttfa counts from the start of processing")))
+    extra = lambda key: F.nullif(F.trim(F.get_json_object("extra_json", f"$.{key}")), F.lit(""))
+    for key, kind in (("speech_end_source", "ends of speech"), ("system_prompt", "system prompts")):
+        values = log.select(extra(key).alias("v")).where("v is not null").agg(F.array_sort(F.collect_set("v")).alias("v"))
+        out = out.union(detail(values.where("size(v) > 1"), kind, F.array_join("v", ", ")))
+    repeats = items.agg(F.count_if(F.col("n_rep") > 1).alias("n"))
+    out = out.union(detail(repeats.where("n > 0"), "collapsed repeats", F.col("n")))
+    sizes = items.groupBy("run").agg(F.countDistinct("item").alias("n")).agg(F.array_sort(F.collect_set("n")).alias("n"))
+    out = out.union(detail(sizes.where("size(n) > 1"), "runs of different sizes", F.array_join(F.transform("n", lambda x: x.cast("string")), ", ")))
+    small = items.groupBy("stage").agg(F.countDistinct("item").alias("n")).agg(F.min("n").alias("n"))
+    return out.union(detail(small.where(F.col("n") < least), "few items", F.col("n")))
 
 
 def in_stage_order(df: DataFrame, stage: str = "stage") -> DataFrame:

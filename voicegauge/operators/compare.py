@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voicegauge.operators.orderstats import holm
 from voicegauge.operators.ranktests import cliffs_delta, difference_intervals, effect_label, evaluation_signed_rank, mcnemar, paired_tost, signed_rank
+from voicegauge.operators.settle import settled
 
 # Fixed values: (metric, direction: 1 higher is better, -1 lower is better, 0 descriptive; binary; margin; family).
 METRICS = (
@@ -57,6 +58,7 @@ def compare_pairs(pairs: DataFrame, metrics: DataFrame, alpha: float = 0.05, res
     by = ("edge", "metric")
     keys = list(by)
     pairs = pairs.where("a is not null and b is not null and not isnan(a) and not isnan(b)").join(metrics, "metric").withColumn("d", F.col("b") - F.col("a"))
+    pairs = settled(pairs)  # eight branches read it
     gain = F.col("d") * F.col("direction")
     counts = pairs.groupBy(*by).agg(F.first("direction").alias("direction"), F.first("binary").alias("binary"), F.first("margin").alias("margin"), F.first("family").alias("family"), F.count("*").alias("n_pairs"), F.avg("a").alias("baseline_mean"), F.avg("b").alias("contrast_mean"), F.avg("d").alias("mean_difference"), F.count_if(gain > 0).alias("improved"), F.count_if(gain < 0).alias("degraded"))
     counts = counts.withColumn("unchanged", F.col("n_pairs") - F.col("improved") - F.col("degraded"))

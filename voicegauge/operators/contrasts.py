@@ -114,3 +114,17 @@ def shared_inputs(edges: DataFrame, runs: DataFrame, properties: tuple[str, ...]
     shown = F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties)))
     long = members.select("kind", "group_id", shown.alias("x")).select("kind", "group_id", "x.*").distinct()
     return long.groupBy("kind", "group_id", "property").agg((F.count("value") + F.max(F.col("value").isNull().cast("long"))).alias("n_distinct"))
+
+
+def item_set_differences(edges: DataFrame, items: DataFrame) -> DataFrame:
+    """(kind, group_id, contrast, missing, extra, differing): items that a run lacks of its baseline's, has besides, or was given other inputs for.
+
+    Between recognizers only the intended question has to agree, else what was recognised too.
+    """
+    given = items.select("run", "item_id", F.col("stt_text").alias("heard"), F.col("ori_text").alias("meant"))
+    side = lambda end: edges.join(given, edges[end] == given["run"]).select("kind", "group_id", "contrast", "item_id", F.struct("heard", "meant").alias(end + "_in"))
+    both = side("baseline").join(side("contrast"), ["kind", "group_id", "contrast", "item_id"], "full")
+    a, b = F.col("baseline_in"), F.col("contrast_in")
+    other = ~a["meant"].eqNullSafe(b["meant"]) | ((F.col("kind") != "recognizer") & ~a["heard"].eqNullSafe(b["heard"]))
+    found = F.count_if(b.isNull()).alias("missing"), F.count_if(a.isNull()).alias("extra"), F.count_if(a.isNotNull() & b.isNotNull() & other).alias("differing")
+    return both.groupBy("kind", "group_id", "contrast").agg(*found)

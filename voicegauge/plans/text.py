@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voicegauge.functions import text as T
 from voicegauge.functions.kernels import sentences
-from voicegauge.operators import compare, constraints, overlap
+from voicegauge.operators import compare, constraints, evaluate, overlap
 from voicegauge.plans.registry import query
 from voicegauge.plans.tables import TURNS_SQL, r4, table, turns
 
@@ -192,8 +192,10 @@ def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels").withColumn("labelled", F.lit(True)), "doc_id", "left")
     i = d.select(F.col("lang").alias("category"), F.when(F.col("labelled"), F.col("n_chars") <= 4000).alias("pass"), F.when(F.col("toxic").isNotNull() & (F.col("doc_id") % 5 > 0), 5.0 - 2 * F.col("toxic")).alias("safety"), F.when(F.col("quality").isNotNull(), 2.0 + 2 * F.col("quality")).alias("quality"))
-    v = i.withColumn("accepted", compare.acceptance(F.col("pass"), F.col("safety"), F.col("quality"))["accepted"])
-    return v.groupBy("category").agg(F.count("*").alias("n"), F.count("accepted").alias("decided"), (F.count("*") - F.count("accepted")).alias("undecided"), r4(F.avg(F.col("accepted").cast("int"))).alias("rate"), r4(F.avg("quality")).alias("quality_mean"), F.min("safety").alias("worst_safety"))
+    i = i.withColumn("accepted", compare.acceptance(F.col("pass"), F.col("safety"), F.col("quality"))["accepted"])
+    i = i.select(F.lit("all").alias("run"), "category", "accepted", F.col("safety").alias("safety_minimum"), F.col("quality").alias("quality_composite"))
+    s = evaluate.by_category(evaluate.blank_items(i))
+    return s.select("category", "n", (F.col("n") - F.col("undecided")).alias("decided"), "undecided", r4("acceptance_rate").alias("rate"), r4("quality_mean").alias("quality_mean"), F.col("worst_safety").alias("worst_safety"))
 
 
 @query("q35_answer_accuracy", f"with d as (select doc_id, n_chars, {answer_sql('text')} as p, doc_id % 3 = 0 as unsupported from documents), s as (select d.doc_id, case when unsupported then 'unanswerable' when b.item_id is not null and len({answer_sql('b.text')}) <= 30 then 'short' else 'long' end as subset, contains(' ' || array_to_string(p, ' ') || ' ', ' ' || array_to_string({answer_sql('b.text')}, ' ') || ' ') as hit from d join benchmark b on d.doc_id % (select count(*) from benchmark) = b.item_id) select coalesce(subset, 'all') as subset, count(*) as n, round(avg(hit::int), 4) as presence from s group by grouping sets ((subset), ())")
@@ -202,9 +204,9 @@ def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = b.agg(F.count("*")).scalar()
     d = table(spark, sf_dir, "documents").select("doc_id", T.answer_tokens(T.folded(F.col("text"))).alias("p"), (F.col("doc_id") % 3 == 0).alias("unsupported"), (F.col("doc_id") % n).alias("item_id"))
     s = d.join(b.select("item_id", T.answer_tokens(T.folded(F.col("text"))).alias("r")), "item_id")
-    padded = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
-    s = s.select(F.when(F.col("unsupported"), "unanswerable").when(F.size("r") <= 30, "short").otherwise("long").alias("subset"), padded("p").contains(padded("r")).alias("hit"))
-    return s.groupingSets([["subset"], []], "subset").agg(F.count("*").alias("n"), r4(F.avg(F.col("hit").cast("int"))).alias("presence")).select(F.coalesce("subset", F.lit("all")).alias("subset"), "n", "presence")
+    s = s.select(F.lit("all").alias("run"), F.col("unsupported").alias("answer_unsupported"), F.size("r").alias("answer_words"), overlap.token_scores(F.col("p"), F.col("r")).alias("s"))
+    s = s.withColumns({"answer_presence": F.col("s.presence"), "reference_exact_match": F.col("s.exact"), "reference_token_f1": F.col("s.f1")})
+    return evaluate.answer_accuracy(s, 30).select("subset", "n", r4("presence").alias("presence"))
 
 
 @query("q51_response_measures")

@@ -51,7 +51,7 @@ def read_log_text(spark: SparkSession, paths: list[str]) -> DataFrame:
     frames = []
     for p in paths:
         seen = spark.read.option("header", "true").csv(p).limit(0).columns
-        raw = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("wholetext", "false").csv(p, schema=T.StructType([T.StructField(c, T.StringType()) for c in seen]))
+        raw = spark.read.option("header", "true").option("escape", "\"").csv(p, schema=T.StructType([T.StructField(c, T.StringType()) for c in seen]))
         frames.append(raw.coalesce(1).select(*(F.col(f"`{c}`") if c in seen else F.lit(None).cast("string").alias(c) for c in LOG_TEXT.names), F.lit(p).alias("run"), F.monotonically_increasing_id().alias("pos")))
     if not frames:
         return spark.createDataFrame([], T.StructType([*LOG_TEXT.fields, T.StructField("run", T.StringType()), T.StructField("pos", T.LongType())]))

@@ -50,5 +50,5 @@ def identify_runs(spark: SparkSession, root: str) -> DataFrame:
     config = spark.createDataFrame([(r.run, read_settings(spark, r.run)) for r in found.collect()], SETTINGS)
     get = lambda k: F.try_element_at("config", F.lit(k))
     runs = found.join(config, "run").withColumn("r", contrasts.recognizer_fields(F.col("config"))).withColumn("engine", F.coalesce(get("stt_engine"), F.lit("")))
-    runs = runs.select("run", "cell", "ord", "transcripts", F.coalesce(get("ollama_model"), get("llm_model"), get("model"), F.lit("")).alias("model_tag"), get("temperature").try_cast("double").alias("temperature"), get("seed").try_cast("int").alias("seed"), get("num_ctx").try_cast("int").alias("num_ctx"), get("system_prompt_file").alias("prompt_file"), contrasts.recognizer(F.col("engine"), F.col("r.stt_model"), F.col("r.stt_device"), F.col("r.stt_compute")).alias("recognizer"))
-    return contrasts.identify(runs)
+    runs = runs.select("run", "cell", "ord", "transcripts", F.coalesce(get("ollama_model"), get("llm_model"), get("model"), F.lit("")).alias("model_tag"), get("temperature").try_cast("double").alias("temperature"), get("seed").try_cast("int").alias("seed"), get("num_ctx").try_cast("int").alias("num_ctx"), get("max_tokens").try_cast("int").alias("max_tokens"), get("mode").alias("mode"), get("system_prompt_file").alias("prompt_file"), get("system_prompt_file").alias("system_prompt_file"), "engine", "r.stt_model", "r.stt_device", contrasts.recognizer(F.col("engine"), F.col("r.stt_model"), F.col("r.stt_device"), F.col("r.stt_compute")).alias("recognizer"))
+    return contrasts.identify(runs.withColumnRenamed("engine", "stt_engine"))

@@ -32,7 +32,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Each named table in a folder of its own."""
+def write_bundle(tables: dict[str, DataFrame], path: str, by: dict[str, list[str]] | None = None) -> None:
+    """Each named table in a folder of its own, as delimited text; those that by names, by row large ones, as Parquet parted by its columns."""
     for name, df in tables.items():
-        write_delimited(df, f"{path}/{name}")
+        if by and name in by:
+            write_table(df, f"{path}/{name}", by[name])
+        else:
+            write_delimited(df, f"{path}/{name}")
