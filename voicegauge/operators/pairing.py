@@ -42,6 +42,12 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[str], right_key: s
     return out
 
 
+def bounded_history(samples: DataFrame, most: int = 30_000) -> DataFrame:
+    """samples (series, at, value) with each series' newest `most` only, as a buffer of that length would hold them."""
+    place = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("at")))
+    return samples.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
 def overlap_means(samples: DataFrame, spans: DataFrame, width_us: int = 3_600_000_000) -> DataFrame:
     """spans (span, start, end) with the time-weighted mean of samples (series, at, value) that cover them; times in microseconds.
 

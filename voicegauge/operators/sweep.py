@@ -44,6 +44,17 @@ def simple_wer(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.size(r) == 0, 1.0).otherwise(F.round(F.levenshtein(coded(r), coded(h)) / F.size(r), 3))
 
 
+def joined_recordings(features: DataFrame, decoded: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """features by file with what was decoded, and what a second engine heard; a file that either of those lacks is an error."""
+    out = features
+    for other in (decoded, second) if second is not None else (decoded,):
+        lost = out.select("file").join(other.select("file"), "file", "left_anti").limit(5).collect()
+        if lost:
+            raise ValueError(f"not decoded: {[r.file for r in lost]}")
+        out = out.join(other, "file")
+    return out
+
+
 def usable(speech_s: Column, n_words: Column, covered: Column, least: float, second_wer: Column | None = None, second_words: Column | None = None, second_prob: Column | None = None, most: float = 0.5) -> Column:
     """Whether a recording can tell anything: enough speech, words and coverage, and, if asked, a second engine that heard the same."""
     out = (speech_s >= 1.0) & (n_words >= 4) & (covered >= least)

@@ -17,10 +17,6 @@ RESOURCES = ("cpu_percent", "ram_percent", "rss_mb", "llm_rss_mb", "llm_vram_mb"
 LOG_COLUMNS = ("ts_iso", *CONTEXT, "item", "stage", "duration_ms", *RESOURCES[:8], "gpu_mem_total_mb", "gpu_name", "extra_json")
 LOG_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in dict.fromkeys(LOG_COLUMNS)])
 
-TRANSCRIPT = T.StructType([T.StructField(c, T.StringType()) for c in ("item_id", "filename", "ori_text", "stt_text", "llm_text")])
-RATING = T.StructType([T.StructField(c, T.StringType()) for c in ("item_id", "rater_id", "dimension")] + [T.StructField("score", T.DoubleType())])
-EXTRA = T.MapType(T.StringType(), T.StringType())
-
 # Bits a weight of each weight format, in lower case.
 PRECISION_BITS = {
     "fp32": 32, "f32": 32, "fp16": 16, "f16": 16, "bf16": 16,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +85,12 @@ def recording_metadata(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.element_at(F.split("filename", "/"), -1).alias("filename"), get("question").alias("question"), numeric(get("speech_end_ms")).alias("speech_end_ms")).dropDuplicates(["filename"])
 
 
+def with_metadata(recordings: DataFrame, metadata: DataFrame) -> DataFrame:
+    """recordings (filename, ...) with the metadata of their file's name; recordings without any keep null."""
+    own = metadata.select(F.col("filename").alias("__name"), *(c for c in metadata.columns if c != "filename"))
+    return recordings.join(own, F.element_at(F.split("filename", "/"), -1) == F.col("__name"), "left").drop("__name")
+
+
 def check_quantiles(qs: list[float]) -> list[float]:
     """Quantiles in (0, 1), percents turned to fractions, the median always among them."""
     out = set()
@@ -102,9 +106,3 @@ def check_options(log_count: int = 1, confidence: float = 0.95, warmup: int = 0)
     for ok, what in ((log_count > 0, "the number of logs must be positive"), (0.5 < confidence < 1, "confidence must be between 0.5 and 1"), (warmup >= 0, "warm-up can't be negative")):
         if not ok:
             raise ValueError(what)
-
-
-def cell_order(name: str) -> int | None:
-    """The number that a run folder's name begins with."""
-    m = re.match(r"(\d+)", name)
-    return int(m[1]) if m else None

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import time
+import urllib.error
+import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +36,54 @@ def stub(prompt: str) -> str:
     return f'{{"score": {low + h % (high - low + 1)}}}'
 
 
+class Reply(str):
+    """A reply that knows how many tokens it took; a client may return one, or a plain string."""
+
+    tokens: int | None = None
+
+
+@functools.cache
+def reachable(url: str, seconds: float = 2.0) -> bool:
+    """Whether a model server answers; asked once a process."""
+    try:
+        with urllib.request.urlopen(f"{url}/api/tags", timeout=seconds) as r:
+            return r.status == 200
+    except OSError:
+        return False
+
+
+@dataclass(frozen=True)
+class HttpClient:
+    """A model behind an HTTP server that takes {model, prompt, options} at /api/generate and answers {response, eval_count, prompt_eval_count}.
+
+    It is sent to the tasks, and each call opens its own connection. Failures
+    of the connection and of the server are worth another try; a request that
+    the server refuses isn't.
+    """
+
+    url: str
+    model: str
+    temperature: float = 0.0
+    seed: int = 0
+    seconds: float = 120.0
+
+    def __call__(self, prompt: str) -> str:
+        body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": self.temperature, "seed": self.seed}}
+        asked = urllib.request.Request(f"{self.url}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(asked, timeout=self.seconds) as r:
+                said = json.load(r)
+        except urllib.error.HTTPError as e:
+            if e.code < 500:
+                raise ValueError(f"refused: {e.code} {e.reason}") from e
+            raise ConnectionError(str(e)) from e
+        except urllib.error.URLError as e:
+            raise ConnectionError(str(e.reason)) from e
+        out = Reply(said.get("response") or "")
+        out.tokens = sum(said.get(k) or 0 for k in ("prompt_eval_count", "eval_count"))
+        return out
+
+
 def with_retries(client: Client, times: int = 2) -> Client:
     """client, asked again after a transport failure; a refusal isn't repeated."""
 
@@ -46,7 +100,7 @@ def with_retries(client: Client, times: int = 2) -> Client:
 
 
 def ask_all(prompts: DataFrame, key: list[str], client: Client, retries: int = 2) -> DataFrame:
-    """key columns, reply and error of each prompt; calls are made where the rows are."""
+    """key columns, reply, error, tokens and seconds of each prompt; calls are made where the rows are."""
     kinds = dict(prompts.dtypes)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,19 +108,24 @@ def ask_all(prompts: DataFrame, key: list[str], client: Client, retries: int = 2
         for pdf in batches:
             out = []
             for p in pdf["prompt"]:
+                begun = time.monotonic()
                 try:
-                    out.append((ask(p), None))
+                    said = ask(p)
+                    out.append((str(said), None, getattr(said, "tokens", None), time.monotonic() - begun))
                 except Exception as e:  # a failed call is a result: the item has no score
-                    out.append((None, str(e)))
-            yield pdf[key].assign(reply=[r for r, _ in out], error=[e for _, e in out])
+                    out.append((None, str(e), None, time.monotonic() - begun))
+            made = pd.DataFrame(out, columns=["reply", "error", "tokens", "seconds"], index=pdf.index)
+            yield pd.concat([pdf[key], made.astype({"tokens": "Int64"})], axis=1)
 
-    return prompts.select(*key, "prompt").mapInPandas(rows, ", ".join([*(f"{k} {kinds[k]}" for k in key), "reply string", "error string"]))
+    made = ", ".join([*(f"{k} {kinds[k]}" for k in key), "reply string", "error string", "tokens long", "seconds double"])
+    return prompts.select(*key, "prompt").mapInPandas(rows, made)
 
 
 def rubric_judge(items: DataFrame, rubric: DataFrame, client: Client = stub, samples: int = 1, model: str = "stub") -> DataFrame:
     """(item, model, dimension, sample, score) of items (item, question, answer) by each dimension (dimension, low, high)."""
     prompt = F.concat_ws("\n", F.concat(F.lit("Rate "), "dimension", F.lit(" from "), F.col("low").cast("string"), F.lit(" to "), F.col("high").cast("string")), "question", "answer", F.concat(F.lit("sample "), F.col("sample").cast("string")))
-    asked = items.join(rubric.hint("broadcast"), how="cross").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("prompt", prompt)
+    scale = rubric.agg(F.collect_list(F.struct("dimension", "low", "high")).alias("d"))  # one row: a rubric has a few dimensions
+    asked = items.crossJoin(scale).select("*", F.inline("d")).drop("d").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("prompt", prompt)
     replies = ask_all(asked, ["item", "dimension", "low", "high", "sample"], client)
 
     @F.pandas_udf("int")
@@ -85,8 +144,16 @@ def pairwise(pairs: DataFrame, client: Client = stub) -> DataFrame:
     return out.withColumn("winner", F.when(F.col("first") == F.col("second"), F.col("first")).otherwise("tie")).withColumn("consistent", F.col("first") == F.col("second"))
 
 
-def tallies(verdicts: DataFrame) -> DataFrame:
-    return verdicts.groupBy().agg(F.count_if(F.col("winner") == "A").alias("a"), F.count_if(F.col("winner") == "B").alias("b"), F.count_if(F.col("winner") == "tie").alias("ties"), F.count_if("consistent").alias("consistent"))
+def joined_answers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(item, question, a, b): the answers of two runs (stt_text, llm_text, pos) to the same question without regard to case and blanks; the last of several counts."""
+    key = F.lower(F.regexp_replace(F.trim("stt_text"), r"\s+", " "))
+    own = lambda d, n: d.select(key.alias("item"), F.col("stt_text").alias("q"), F.col("llm_text").alias("t"), "pos").groupBy("item").agg(F.max_by("q", "pos").alias("question"), F.max_by("t", "pos").alias(n))
+    return own(a, "a").join(own(b, "b").drop("question"), "item").select("item", "question", "a", "b")
+
+
+def tallies(verdicts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Wins of either side, ties and verdicts that don't follow the order, for each dimension of by."""
+    return verdicts.groupBy(*by).agg(F.count_if(F.col("winner") == "A").alias("a"), F.count_if(F.col("winner") == "B").alias("b"), F.count_if(F.col("winner") == "tie").alias("ties"), F.count_if("consistent").alias("consistent"))
 
 
 def self_check(support: DataFrame, flag: float = 0.6) -> DataFrame:

@@ -12,6 +12,11 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", "true").csv(path)
 
 
+def append_transcripts(rows: DataFrame, path: str) -> None:
+    """A line of JSON for each (filename, ori_text, stt_text, llm_text)."""
+    rows.select("filename", "ori_text", "stt_text", "llm_text").write.mode("append").json(path)
+
+
 def union_columns(frames: list[DataFrame]) -> DataFrame:
     """All rows, with every column that any frame has."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
