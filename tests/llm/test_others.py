@@ -54,13 +54,44 @@ def test_decontamination_against_brute_force(spark):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     want = {(i, j): round(score(t, d_), 6) for i, d_ in enumerate(docs) for j, t in enumerate(items) if d_ and t and score(t, d_) >= 0.5}
-    for options in ({}, {"block_seeds": 40}):
-        got = contaminated_passages(d, b, **options).collect()
-        assert {(x.doc_id, x.item_id): round(x.score, 6) for x in got} == want
+    got = contaminated_passages(d, b).collect()
+    assert {(x.doc_id, x.item_id): round(x.score, 6) for x in got} == want
     exact = next(x for x in got if x.doc_id == 0)
     assert " ".join(docs[0].split()[exact.start : exact.end]).lower().replace(",", "") == items[0]
 
 
+def test_recall_of_edited_copies(spark):
+    """The share of copies at or over the threshold that are found, by the share of their words that were changed or lost."""
+    from voicegauge.llm.decontaminate import contaminated_passages
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    items = [[word() for _ in range(r.randint(25, 60))] for _ in range(20)]
+    recall = {}
+    for share in (0.10, 0.25, 0.40):
+        docs = []
+        for i in range(200):
+            kept = [w if r.random() >= share else r.choice([word(), word(), ""]) for w in items[i % 20]]
+            docs.append(" ".join([word() for _ in range(20)] + [w for w in kept if w] + [word() for _ in range(20)]))
+        want = {(i, i % 20) for i, t in enumerate(docs) if score(" ".join(items[i % 20]), t) >= 0.5}
+        d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+        b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+        got = {(x.doc_id, x.item_id) for x in contaminated_passages(d, b).collect()}
+        assert got <= want
+        recall[share] = (len(got), len(want))
+    print("found of copies over the threshold", recall)
+    assert all(n >= 0.9 * m for n, m in recall.values()) and recall[0.10][0] == recall[0.10][1] == 200
+
+
+def test_decontamination_without_any_item(spark):
+    from voicegauge.llm.decontaminate import contaminated_passages
+
+    d = spark.createDataFrame([(1, "one two three four five")], "doc_id long, text string")
+    for texts in ([None, None], ["", " \n"], []):
+        b = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+        assert contaminated_passages(d, b).columns == ["doc_id", "item_id", "score", "seeds", "start", "end"] and contaminated_passages(d, b).count() == 0
+
+
 def test_decontamination_of_a_widely_leaked_item(spark):
     """Parts hold the more frequent seeds only, once over 20 documents hold the whole item."""
     from voicegauge.llm.decontaminate import contaminated_passages
