@@ -361,6 +361,10 @@ def test_swaps_edge_cases(spark):
     got = {r.conv_id: r for r in reply_swaps(spark.createDataFrame(rows, schema)).collect()}
     assert [t.text for t in got[0].rejected] == ["q", "b"] and [t.text for t in got[1].rejected] == ["q2", "a"] and got[2].chosen == [] and got[None].rejected == []
     assert format_preferences(reply_swaps(spark.createDataFrame([], schema))).count() == 0
+    rows = [(None, 0, "assistant", f"n{i}", "", 1) for i in range(3)] + [(6, i, "assistant", "long " * 200_000, "", 1) for i in range(2)]
+    got = format_preferences(reply_swaps(spark.createDataFrame(rows, schema))).selectExpr("pair_id", "length(chosen) as n", "chosen").collect()
+    assert len([r for r in got if r.pair_id is None]) == 3
+    assert all("n" in r.chosen for r in got if r.pair_id is None) and max(r.n for r in got) > 2_000_000
 
 
 # ---- pipeline

@@ -9,9 +9,14 @@ TURN = "struct<role:string,text:string>"
 
 
 def turns_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turns): each conversation's turns in order of turn, ties by role and text. A conversation is one value, like a text."""
+    """(conv_id, turns): each conversation's turns in order of turn, ties by role and text. A conversation is one value, like a text.
+
+    A row without a conv_id belongs with no other: it is a conversation of one turn.
+    """
     rows = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    listed = conversations.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(rows)).alias("turns"))
+    alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    listed = conversations.select(F.col(conv_id).alias("conv_id"), alone.alias("alone"), rows.alias("row"))
+    listed = listed.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("row")).alias("turns"))
     return listed.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
@@ -89,7 +94,7 @@ def chat_sql() -> str:
     mask = lambda x: f"array_to_string(list_transform({x}, lambda t: case when t.role = 'assistant' then '01' else '00' end), '')"
     length = lambda x: f"array_to_string(list_transform({x}, lambda t: length({head}) || ',' || length({body})), ',')"
     return f"""
-    with own as (select conv_id, list(struct_pack(role := role, text := text) order by turn nulls first, role nulls first, text nulls first) as turns from conversations group by conv_id),
+    with own as (select conv_id, list(struct_pack(role := role, text := text) order by turn nulls first, role nulls first, text nulls first) as turns from (select *, case when conv_id is null then row_number() over () end as alone from conversations) group by conv_id, alone),
     marked as (select *, coalesce(list_max(list_transform(turns, lambda t, i: case when t.role = 'assistant' then i end)), 0)::bigint as last from own),
     pairs as (select a.conv_id, list_slice(a.turns, 1, a.last) as c,
       case when b.conv_id is null or a.last = 0 then [] else list_concat(list_slice(a.turns, 1, a.last - 1), [b.turns[b.last]]) end as r

@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     plan = plan.withColumn("src", F.row_number().over(by_name)).withColumn("hi", F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0)))
     total = F.sum("source_size").over(Window.partitionBy())
-    plan = store.keep(plan.withColumn("total", total).withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0.0)) / total).withColumn("hi", F.when(F.col("target") == 0, F.col("hi") / total).otherwise(F.col("hi") / total)).withColumn("blocks", F.ceil(F.col("source_size") / block)))
+    plan = store.keep(plan.withColumn("total", total).withColumn("lo", F.coalesce(F.lag("hi").over(by_name), F.lit(0.0)) / total).withColumn("hi", F.col("hi") / total).withColumn("blocks", F.ceil(F.col("source_size") / block)))
     words_in_all = (plan.agg(F.max("total")).first()[0]) or 0
 
     point = (F.col("id") % GRID) * STEP % GRID / float(GRID)
