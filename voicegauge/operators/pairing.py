@@ -56,8 +56,13 @@ def overlap_means(samples: DataFrame, spans: DataFrame, width_us: int = 3_600_00
     a pair that shares several buckets counts in the first. A span that starts
     before its series' first sample is null.
     """
-    w = Window.partitionBy("series").orderBy("at")
-    s = samples.withColumn("opened", F.lag("at").over(w)).where("opened is not null").select("series", "opened", F.col("at").alias("closed"), "value")
+    # the sample before, in its own bucket or else the last of an earlier one, so no task holds a series
+    s = samples.withColumn("b", F.floor(F.col("at") / width_us))
+    last = s.groupBy("series", "b").agg(F.max("at").alias("last"))
+    last = last.select("series", "b", F.lag("last").over(Window.partitionBy("series").orderBy("b")).alias("before"))
+    before = F.lag("at").over(Window.partitionBy("series", "b").orderBy("at"))
+    s = s.withColumn("own", before).join(last, ["series", "b"]).withColumn("opened", F.coalesce("own", "before"))
+    s = s.where("opened is not null").select("series", "opened", F.col("at").alias("closed"), "value")
     first = samples.groupBy("series").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width_us), F.floor(F.col(b) / width_us)))
     left = s.withColumn("bucket", bucket("opened", "closed"))

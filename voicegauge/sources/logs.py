@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,19 +48,22 @@ def resolve_logs(spark: SparkSession, logs: str | list[str], n: int = 1) -> list
 def read_log_text(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All columns as text, with run (the file) and pos (the row's place in it). Columns a file lacks are null, unknown ones are ignored.
 
-    One file is one partition, so the generated ids rise in order of its rows.
+    One read of any number of files, each parsed by the task that has it.
     """
-    frames = []
-    for p in paths:
-        seen = spark.read.option("header", "true").csv(p).limit(0).columns
-        raw = spark.read.option("header", "true").option("escape", "\"").csv(p, schema=T.StructType([T.StructField(c, T.StringType()) for c in seen]))
-        frames.append(raw.coalesce(1).select(*(F.col(f"`{c}`") if c in seen else F.lit(None).cast("string").alias(c) for c in LOG_TEXT.names), F.lit(p).alias("run"), F.monotonically_increasing_id().alias("pos")))
-    if not frames:
-        return spark.createDataFrame([], T.StructType([*LOG_TEXT.fields, T.StructField("run", T.StringType()), T.StructField("pos", T.LongType())]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    names = LOG_TEXT.names
+    made = T.StructType([*LOG_TEXT.fields, T.StructField("run", T.StringType()), T.StructField("pos", T.LongType())])
+    if not paths:
+        return spark.createDataFrame([], made)
+
+    def rows(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                lines = csv.DictReader(io.StringIO(content.decode("utf-8-sig"), newline=""))
+                found = [(*(row.get(c) or None for c in names), path, i) for i, row in enumerate(lines)]
+                yield pd.DataFrame(found, columns=[*names, "run", "pos"], dtype=object)
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(rows, made)
 
 
 def typed_log(text: DataFrame, warmup: int = 0) -> DataFrame:
