@@ -98,8 +98,8 @@ def bitmap(seeds: DataFrame, count: int, most: int = 27) -> tuple[np.ndarray, in
     return out, bits
 
 
-def _stretches(sent, sizes: list[int], reach: int):
-    """Rows (stretch, doc_id, row, start, words, at, seeds): runs of hits that are at most `reach` words apart, with `reach` words more on each side."""
+def _stretches(sent, sizes: list[int], near: int, reach: int):
+    """Rows (stretch, doc_id, row, start, words, at, seeds): runs of hits that are at most `near` words apart, as those of one passage are, with `reach` words more on each side."""
 
     def rows(batches):
         seen, bits = sent.value
@@ -120,7 +120,7 @@ def _stretches(sent, sizes: list[int], reach: int):
                 order = np.argsort(at, kind="stable")
                 at, h = at[order], h[order]
                 doc = w.doc[at]
-                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > reach)))
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > near)))
                 last = np.append(first[1:], len(at)) - 1
                 own = doc[first]
                 start = np.maximum(w.first[own], at[first] - reach)
@@ -209,9 +209,9 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "
     if not facts[0]:
         return spark.createDataFrame([], FOUND)
     sent = spark.sparkContext.broadcast(bitmap(seeds, facts[0]))
-    reach = 2 * (facts[1] + n) + 4  # more than an item's words and their slack on either side of a seed
+    longest = facts[1] + n  # words of an item at most
     made = "stretch long, doc_id long, row long, start int, words string, at array<int>, seeds array<long>"
-    stretches = store.keep(own.mapInArrow(_stretches(sent, sorted(facts[2]), reach), made))
+    stretches = store.keep(own.mapInArrow(_stretches(sent, sorted(facts[2]), 2 * longest, longest + longest // 4 + 2), made))
     hits = stretches.select("stretch", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("stretch", "h.at", F.col("h.seeds").alias("seed"))
     met = hits.join(seeds, "seed").groupBy("stretch", "item").agg(F.collect_list(F.col("at") - F.col("place")).alias("diagonals"))
     both = met.join(stretches.select("stretch", "doc_id", "row", "start", "words"), "stretch").join(items, "item")
