@@ -50,3 +50,17 @@ def test_summaries(spark, items):
     edges = contrasts.contrast_edges(runs)
     out = {(r.kind, r.metric): r for r in compare.compare_edges(rows, edges, compare.catalogue(spark), resamples=100).collect()}
     assert out[("quantization", "lat_ttfa")].verdict == "degraded" and out[("quantization", "constraint_item_pass_strict")].verdict == "degraded" and out[("quantization", "request_coverage")].n_pairs == 12
+
+
+def test_topic_weights_are_a_runs_own(spark):
+    schema = "run string, item string, q string, a string"
+    one = [("r1", "1", "apple pie", "apple"), ("r1", "2", "apple tart", "tart")]
+    two = [("r2", "3", "pear soup", "soup"), ("r2", "4", "apple cake", "cake"), ("r2", "5", "apple juice", "apple")]
+    from voicegauge.operators import overlap
+
+    def scores(rows):
+        df = spark.createDataFrame(rows, schema)
+        idf = overlap.idf_index(df.select("run", F.explode(F.array("q", "a")).alias("text")), by=("run",))
+        return {r["item"]: (r.coverage, r.echo) for r in overlap.coverage(df, "q", "a", idf, ("run",)).collect()}
+
+    assert scores(one + two) == scores(one) | scores(two)

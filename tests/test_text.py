@@ -185,3 +185,60 @@ def test_sweep_scores(spark):
     assert not got["ok"].acoustic_cut and got["ok"].endpoint_delay_ms == 600 and not got["never"].endpointer_fired
     assert one(spark, sweep.parse_schedule(F.col("x")), x="500/600/600") == [500, 600, 600] and one(spark, sweep.schedule_label(sweep.parse_schedule(F.col("x"))), x="600") == "600"
     assert one(spark, sweep.coverage(F.col("a"), F.col("b")), a=1.0, b=0.0) == 0
+
+
+def test_folding_before_measuring(spark):
+    """Compatibility forms count as what they stand for; texts in ASCII never reach the kernel."""
+    from pyspark.sql import functions as F
+
+    from voicegauge.functions import text as T
+    from voicegauge.operators import constraints, overlap
+
+    rows = [(1, "ﬁne １２３ 10½"), (2, "plain 7"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: r.w for r in df.select("id", T.words(T.folded(F.col("text"))).alias("w")).collect()}
+    assert got[1] == ["fine", "123", "101", "2"] and got[2] == ["plain", "7"] and got[3] is None and got[4] == []
+    items = df.where("id = 1").select(F.col("id").cast("string").alias("item"), "text", F.lit("x").alias("category"), F.array().cast("array<string>").alias("must_include"), F.array().cast("array<string>").alias("must_forbid"))
+    check = [{"type": "max_total_words", "params": {"max_words": 3}}]
+    assert constraints.evaluate(items, check).first().strict is False
+    pair = spark.createDataFrame([("i", "ﬁne day", "fine day")], "item string, a string, b string")
+    assert overlap.word_errors(pair, "a", "b").first().wer == 0 and overlap.coverage(pair, "a", "b").first().coverage == 1
+
+
+def test_json_recovery_takes_the_first_object():
+    from voicegauge.functions import kernels as K
+
+    cases = {
+        '{"score": 4}': {"score": 4}, "Here:\n```json\n{'score': 2, 'reason': 'vague'}\n```": {"score": 2, "reason": "vague"}, "Sure! {'score': 5, 'reason': 'fine'} Bye.": {"score": 5, "reason": "fine"},
+        '{"score": 3, "list": [1, 2,],}': {"score": 3, "list": [1, 2]}, '{"a": "text with } brace", "b": 1}': {"a": "text with } brace", "b": 1},
+        '{bad {"a":1}}': None, "no json": None, "": None, None: None, '{"a": "open': None, "[1, 2]": None, "it's {'k': 'v'} isn't it": {"k": "v"},
+    }
+    for text, want in cases.items():
+        assert K.json_object(text) == want, text
+
+
+def test_alignment_against_the_table():
+    import random
+
+    from voicegauge.functions import kernels as K
+
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 8))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        s, d, n, size = K.alignment(a, b)
+        assert s + d + n == row[-1] and size == len(a) and len(a) - d + n == len(b)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Dr. Who met A. B. Smith. He left!", ["Dr. Who met A. B. Smith.", "He left!"]), ("It is 3.5 or 10. Next", ["It is 3.5 or 10.", "Next"]), ('He said "nay." (Yes?) etc. and so on', ['He said "nay."', "(Yes?)", "etc. and so on"]),
+    ("e.g. this, i.e. that. U.S. law", ["e.g. this, i.e. that.", "U.S. law"]), ("Wait... what?! ok", ["Wait...", "what?!", "ok"]), ("", []), ("  \n ", []),
+])
+def test_sentences(text, want):
+    from voicegauge.functions import kernels as K
+
+    assert K.split_sentences(text) == want
