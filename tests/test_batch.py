@@ -45,6 +45,10 @@ def test_batch_bundle(spark, grid, tmp_path, capsys):
     batch.write({k: tables[k] for k in ("all_items", "leaderboard", "input_reference")}, out)
     assert spark.read.parquet(f"{out}/all_items").count() == 17 and spark.read.json(f"{out}/manifest").count() == 3
     assert spark.read.option("header", "true").csv(f"{out}/input_reference").first().n_items == "9"
+    from voicegauge.sources import runs
+
+    assert batch.copy_artefacts(runs.discover_runs(spark, str(root)), out) == 2
+    assert (tmp_path / "bundle" / "runs" / "01-a" / "config_used.yaml").read_text().startswith("ollama_model")
 
 
 def test_commands(spark, grid, tmp_path, capsys):

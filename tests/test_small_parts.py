@@ -31,6 +31,9 @@ def test_labels_and_expressions(spark):
     assert got.icc == ["poor", "moderate", "good", "excellent"] and got.kappa == ["poor", "slight", "fair", "moderate", "substantial", "almost perfect"]
     assert got.slug == "a_b_c" and (got.delay, got.tail) == (820, 965) and (got.mic, got.fast, got.real) == (True, False, True)
     assert (got.use, got.short, got.apart) == (True, False, False)
+    got = one(spark, long=T.excerpt(lit("a  b\n" + "c" * 80)), short=T.excerpt(lit(" “a”  b ")))
+    assert got.long == "a b " + "c" * 53 + "..." and got.short == '"a" b'
+    assert report.wrapped("aa bb  cc\ndd", 5, 2) == "aa bb\n  cc dd" and report.wrapped("") == ""
     assert report.interval_text(None, 2.0) == "[-, 2.0]" and report.interval_text(None, None) == "-"
 
 

@@ -110,6 +110,12 @@ def audit_atoms(text: Column) -> Column:
     return F.struct(years.alias("years"), quantities.alias("quantities"), names.alias("names"))
 
 
+def excerpt(text: Column, most: int = 60) -> Column:
+    """A text on one line, cut with three dots where it is longer."""
+    flat = F.trim(F.regexp_replace(plain_marks(folded(text)), r"\s+", " "))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most - 3), F.lit("...")))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
 

@@ -129,6 +129,15 @@ def write(tables: dict[str, DataFrame], out: str) -> None:
     sinks.write_json(manifest, f"{out}/manifest")
 
 
+def copy_artefacts(runs_of: DataFrame, out: str) -> int:
+    """What documents how each run was made, beside its results; how many files."""
+    found = 0
+    for r in runs_of.select("run", "cell").collect():
+        for name in ("config_used.yaml", "system_prompt.txt"):
+            found += sinks.copy_file(runs_of.sparkSession, f"{r.run}/{name}", f"{out}/runs/{r.cell}/{name}")
+    return found
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="voicegauge.batch", description="Evaluates runs and compares them")
     parser.add_argument("command", choices=("evaluate", "batch", "compare"))
@@ -155,6 +164,8 @@ def main(argv: list[str] | None = None) -> int:
         shown = ["comparison_index", "unequal_inputs", "item_differences"]
     if args.out:
         write(tables, args.out)
+        if args.command == "batch":
+            copy_artefacts(runs.discover_runs(spark, args.paths[0]), args.out)
     return 0 if save("\n\n".join(f"{name}\n{render(tables[name])}" for name in shown), None) else 1
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import textwrap
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,12 @@ def comparison(current: DataFrame, base: DataFrame, primary: str | None = None)
     return collapse.in_stage_order(out.withColumn("p_holm", F.coalesce("p_holm", F.when(F.col("stage").eqNullSafe(F.lit(primary)), F.col("p")))))
 
 
+def wrapped(text: str, width: int = 88, indent: int = 13) -> str:
+    """Long text as a block whose further lines are indented."""
+    lines = textwrap.wrap(" ".join((text or "").split()), width, break_long_words=False, break_on_hyphens=False)
+    return ("\n" + " " * indent).join(lines)
+
+
 def save(text: str, path: str | None) -> bool:
     """Writes a report to a file of the driver, or prints it; a target that can't be written is named and skipped."""
     if not path:

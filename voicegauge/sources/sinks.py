@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,13 @@ def append_transcripts(rows: DataFrame, path: str) -> None:
     rows.select("filename", "ori_text", "stt_text", "llm_text").write.mode("append").json(path)
 
 
+def copy_file(spark: SparkSession, source: str, target: str) -> bool:
+    """Copies a file between any stores that Spark reaches; False where there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    return a.getFileSystem(conf).exists(a) and jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
 def union_columns(frames: list[DataFrame]) -> DataFrame:
     """All rows, with every column that any frame has."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
