@@ -451,7 +451,7 @@ def _clusters(members: DataFrame, percent: int, block: int, split: int, ways: in
 
 def ngram_jaccard_join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, block: int = 4_000_000,
-    split: int = 25_000, ways: int = 16, chunk: int = 2_000_000, part_rows: int = 2_000_000, links: bool = False,
+    split: int = 25_000, ways: int = 16, chunk: int = 1_000_000, part_rows: int = 2_000_000, links: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs, or with links the linked pairs of classes.
 
