@@ -121,6 +121,20 @@ def test_streams(spark, tmp_path):
     assert {r.session: r.seq for r in spark.sql("select * from latest").collect()} == {"s": 1, "t": 0}
 
 
+def test_idle_sessions_are_flushed(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame([("s", 0, "Hello there. How", False)], "session string, seq int, piece string, last boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = chunker.stream_chunks(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), idle_seconds=1)
+    q = stream.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    end = time.monotonic() + 60
+    while spark.table("idle").count() < 2 and time.monotonic() < end:
+        time.sleep(0.5)
+    q.stop()
+    assert [r.chunk for r in spark.table("idle").orderBy("chunk_no").collect()] == ["Hello there.", "How"]
+
+
 def test_sessions(spark):
     df = spark.sql("select * from values ('u', timestamp '2024-01-01 00:00:00'), ('u', timestamp '2024-01-01 00:03:00'), ('u', timestamp '2024-01-01 01:00:00') t(user, ts)")
     assert sorted(r.n for r in turns.sessions(df).collect()) == [1, 2]
