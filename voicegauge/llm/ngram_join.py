@@ -485,8 +485,11 @@ def ngram_jaccard_join(
     store.drop()
     classes = seen.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("first"))
     classes = store.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    store.drop()
     held = seen.where("shared is not null").dropDuplicates(["f1", "f2"])
     members = store.keep(held.join(classes, ["f1", "f2"]).select("node", "n", "shared"))
+    del held
+    store.drop()
     placed = _clusters(members, percent, block, split, ways, store).repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
     found = store.keep(placed.mapInArrow(_solved(percent, links), "a long, b long, common long, total long"))
     if links:
