@@ -92,18 +92,20 @@ KINDS = {
 def contrast_edges(runs: DataFrame) -> DataFrame:
     """(kind, group_id, baseline, contrast) of identified runs: groups that agree in all but one property, each member against the first in its order.
 
-    With several recognizers the group's name carries its own.
+    With several recognizers the group's name carries its own. Whether a group
+    varies is asked of its least and greatest value, so no row carries a set
+    that grows with the group.
     """
-    several = F.size(F.collect_set("recognizer").over(Window.partitionBy())) > 1
-    runs = runs.withColumn("used", F.count("*").over(Window.partitionBy("recognizer"))).withColumn("several", several)
+    several = runs.agg(F.min("recognizer") < F.max("recognizer")).scalar()
+    runs = runs.withColumn("used", F.count("*").over(Window.partitionBy("recognizer"))).withColumn("several", F.coalesce(several, F.lit(False)))
     out = None
     for kind, (fixed, varying, order, name) in KINDS.items():
         w = Window.partitionBy(*fixed)
         by = w.orderBy(*(F.expr(o.split()[0]).desc() if " desc" in o else F.expr(o.split()[0]).asc_nulls_last() for o in order))
-        spread = F.size(F.collect_set(varying).over(w)) if varying else F.count("*").over(w)
+        varies = F.min(varying).over(w) < F.max(varying).over(w) if varying else F.count("*").over(w) >= 2
         group = F.expr(name) if kind == "recognizer" else F.when(F.col("several"), F.concat_ws("_", F.expr(name), F.col("recognizer"))).otherwise(F.expr(name))
-        edges = runs.select(F.lit(kind).alias("kind"), group.alias("group_id"), F.first("run").over(by).alias("baseline"), F.col("run").alias("contrast"), spread.alias("spread"), F.row_number().over(by).alias("place"))
-        edges = edges.where("spread >= 2 and place > 1").drop("spread", "place")
+        edges = runs.select(F.lit(kind).alias("kind"), group.alias("group_id"), F.first("run").over(by).alias("baseline"), F.col("run").alias("contrast"), varies.alias("varies"), F.row_number().over(by).alias("place"))
+        edges = edges.where("varies and place > 1").drop("varies", "place")
         out = edges if out is None else out.union(edges)
     return out
 
