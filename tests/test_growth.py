@@ -1,6 +1,7 @@
 """Steps whose cost must grow with their input only: results by plain versions, and plans without what grew faster."""
 
 from tests.conftest import SMALL
+from voicegauge.operators import contrasts
 from voicegauge.plans import load_all
 
 QUERIES = load_all()[0]
@@ -10,5 +11,14 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_contrast_groups_carry_no_sets_of_a_group(spark):
+    runs = [("a", 1, "m:1b-q8_0", "r"), ("b", 2, "m:1b-q4_0", "r"), ("c", 3, "m:1b-q8_0", None), ("d", 4, "m:1b-q8_0", "s")]
+    edges = contrasts.contrast_edges(contrasts.identify(spark.createDataFrame([(r, o, t, 0.0, 1, v) for r, o, t, v in runs], "run string, ord int, model_tag string, temperature double, seed int, recognizer string")))
+    got = {(e.kind, e.group_id, e.baseline, e.contrast) for e in edges.collect()}
+    assert ("quantization", "m_1b_t0/s1_r", "a", "b") in got and ("cross_model", "at_t0/s1_r", "a", "b") in got
+    assert {e[2:] for e in got if e[0] == "recognizer"} == {("a", "c"), ("a", "d")}
+    assert "collect_set" not in plan_of(edges)
+
+
 def test_shared_inputs_carry_no_sets_of_a_group(spark):
     assert "collect_set" not in plan_of(QUERIES["q38_shared_inputs"](spark, SMALL))
