@@ -1,7 +1,13 @@
 """Steps whose cost must grow with their input only: results by plain versions, and plans without what grew faster."""
 
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from tests.conftest import SMALL
-from voicegauge.operators import contrasts
+from voicegauge.operators import contrasts, pairing
 from voicegauge.plans import load_all
 
 QUERIES = load_all()[0]
@@ -22,3 +28,26 @@ def test_contrast_groups_carry_no_sets_of_a_group(spark):
 
 def test_shared_inputs_carry_no_sets_of_a_group(spark):
     assert "collect_set" not in plan_of(QUERIES["q38_shared_inputs"](spark, SMALL))
+
+
+def test_means_of_spans_cost_no_pairs(spark):
+    rng = random.Random(7)
+    values = [1.5, 2.25, -3.0, None, float("nan"), float("inf"), float("-inf")]
+    samples = [(g, t, rng.choice(values[:3] if g == "plain" else values)) for g in ("plain", "odd") for t in [0, *(rng.randrange(400) for _ in range(60))] for _ in range(2)]
+    spans = [(g, str(i), a, a + rng.randrange(1, 90)) for g in ("plain", "odd") for i in range(80) for a in [rng.randrange(-20, 440)]]
+    s, p = spark.createDataFrame(samples, "series string, at long, value double").repartition(5), spark.createDataFrame(spans, "series string, span string, start long, end long")
+    means = pairing.overlap_means(s, p, 25)
+    got = {(r.series, r.span): r["mean"] for r in means.collect()}
+    assert len(got) == len(spans)
+    for g, name, a, b in spans:
+        rank = lambda v: (v is None, v is not None and math.isnan(v), 0 if v is None or math.isnan(v) else v)
+        own = sorted(((t, v) for h, t, v in samples if h == g), key=lambda x: (x[0], rank(x[1])))
+        held = [(min(t, b) - max(o, a), v) for (o, _), (t, v) in zip(own, own[1:]) if o < b and t > a and min(t, b) > max(o, a)]
+        known = [(w, v) for w, v in held if v is not None]
+        want = sum(w * v for w, v in known) / sum(w for w, _ in held) if known and own[0][0] <= a else None
+        assert got[g, name] == (None if want is None else pytest.approx(want, nan_ok=True)), (g, name, a, b)
+    # many spans over many samples in one bucket: pairs would be 4 * 10 ** 8
+    n = 20_000
+    s = spark.range(n).select(F.lit("g").alias("series"), F.col("id").alias("at"), F.lit(2.0).alias("value"))
+    p = spark.range(n).select(F.lit("g").alias("series"), F.col("id").cast("string").alias("span"), F.lit(0).cast("long").alias("start"), (F.col("id") + 1).alias("end"))
+    assert pairing.overlap_means(s, p).where("mean = 2.0").count() == n
