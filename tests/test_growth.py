@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from voicegauge.operators import contrasts, pairing
+from voicegauge.operators import contrasts, pairing, sweep
 from voicegauge.plans import load_all
 
 QUERIES = load_all()[0]
@@ -51,3 +51,15 @@ def test_means_of_spans_cost_no_pairs(spark):
     s = spark.range(n).select(F.lit("g").alias("series"), F.col("id").alias("at"), F.lit(2.0).alias("value"))
     p = spark.range(n).select(F.lit("g").alias("series"), F.col("id").cast("string").alias("span"), F.lit(0).cast("long").alias("start"), (F.col("id") + 1).alias("end"))
     assert pairing.overlap_means(s, p).where("mean = 2.0").count() == n
+
+
+def test_simple_word_errors_of_many_words(spark):
+    said = [f"w{i}" for i in range(600)]
+    pair = spark.createDataFrame([(" ".join(said), " ".join(said[256:] + said[:256]).replace("w7 ", "x "))], "a string, b string")
+    a, b = said, " ".join(said[256:] + said[:256]).replace("w7 ", "x ").split()
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+    assert pair.select(sweep.simple_wer(F.col("a"), F.col("b")).alias("wer")).first().wer == round(row[-1] / len(a), 3)

@@ -37,11 +37,17 @@ def coverage(word_s: Column, speech_s: Column) -> Column:
 
 
 def simple_wer(reference: Column, hypothesis: Column) -> Column:
-    """Word error rate of lightly normalised texts, 1 for an empty reference. Words become single characters, so the built-in edit distance of the JVM counts them."""
-    r, h = T.sweep_tokens(reference), T.sweep_tokens(hypothesis)
-    words = F.array_distinct(F.concat(r, h))
-    coded = lambda xs: F.array_join(F.transform(xs, lambda w: F.char(F.array_position(words, w) + 31).cast("string")), "")
-    return F.when(F.size(r) == 0, 1.0).otherwise(F.round(F.levenshtein(coded(r), coded(h)) / F.size(r), 3))
+    """Word error rate of lightly normalised texts, 1 for an empty reference. Words become single characters beyond the basic plane, so the built-in edit distance of the JVM counts them."""
+
+    def coded(xs: Column, words: Column) -> Column:
+        codes = F.transform(xs, lambda w: F.lpad(F.hex(F.array_position(words, w) + 0xFFFF), 8, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+    def rate(x: Column, words: Column) -> Column:
+        return F.when(F.size(x["r"]) == 0, 1.0).otherwise(F.round(F.levenshtein(coded(x["r"], words), coded(x["h"], words)) / F.size(x["r"]), 3))
+
+    both = F.struct(T.sweep_tokens(reference).alias("r"), T.sweep_tokens(hypothesis).alias("h"))
+    return T.bound(both, lambda x: T.bound(F.array_distinct(F.concat(x["r"], x["h"])), lambda words: rate(x, words)))
 
 
 def joined_recordings(features: DataFrame, decoded: DataFrame, second: DataFrame | None = None) -> DataFrame:
