@@ -63,3 +63,12 @@ def test_simple_word_errors_of_many_words(spark):
         for j, y in enumerate(b, 1):
             row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
     assert pair.select(sweep.simple_wer(F.col("a"), F.col("b")).alias("wer")).first().wer == round(row[-1] / len(a), 3)
+
+
+def test_words_are_told_apart_once(spark):
+    """A text's words are found once, and lists of words don't go to the kernels."""
+    plans = {q: QUERIES[q](spark, SMALL)._jdf.queryExecution().executedPlan().toString() for q in ("q28_token_overlap", "q29_rouge_l", "q32_strata", "q53_simple_wer")}
+    assert plans["q28_token_overlap"].count("array_intersect") == 2
+    assert plans["q29_rouge_l"].count("regexp_extract_all") == 2
+    assert plans["q53_simple_wer"].count("split(") == 2
+    assert plans["q32_strata"].count("ArrowEvalPython") == 2 and "spoken_variants" not in plans["q32_strata"]
