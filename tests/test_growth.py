@@ -72,3 +72,7 @@ def test_words_are_told_apart_once(spark):
     assert plans["q29_rouge_l"].count("regexp_extract_all") == 2
     assert plans["q53_simple_wer"].count("split(") == 2
     assert plans["q32_strata"].count("ArrowEvalPython") == 2 and "spoken_variants" not in plans["q32_strata"]
+
+
+def test_reliability_reads_the_ratings_once(spark):
+    assert QUERIES["q18_icc"](spark, SMALL)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

@@ -205,9 +205,11 @@ ICC = """with r as (select l_returnflag as dimension, l_orderkey * 10 + l_linenu
 @query("q18_icc", ICC)
 def q18(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    rows = F.array(*(F.struct(F.lit(n).alias("rater"), c.alias("score")) for n, c in (("q", F.col("l_quantity") / 10), ("d", F.col("l_discount") * 50), ("t", F.col("l_tax") * 60))))
-    r = li.select(F.col("l_returnflag").alias("dimension"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.explode(rows).alias("r")).select("dimension", "item", "r.*").groupBy("dimension", "item", "rater").agg(F.avg("score").alias("score"))
-    return agreement.icc(r).select("dimension", r4("icc_2_1").alias("icc_2_1"), r4("icc_2_k").alias("icc_2_k"), "n", "k", "dropped")
+    # an item's ratings are averaged before they become rows
+    scores = {"q": F.col("l_quantity") / 10, "d": F.col("l_discount") * 50, "t": F.col("l_tax") * 60}
+    items = li.groupBy(F.col("l_returnflag").alias("dimension"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item")).agg(*(F.avg(c).alias(n) for n, c in scores.items()))
+    cells = F.array(*(F.struct(F.lit(n).alias("rater"), F.col(n).alias("score")) for n in scores))
+    return agreement.icc_of_items(items.select("dimension", "item", cells.alias("cells"))).select("dimension", r4("icc_2_1").alias("icc_2_1"), r4("icc_2_k").alias("icc_2_k"), "n", "k", "dropped")
 
 
 @query("q19_ppi", "with s as (select lang, quality::double as human, least(n_chars / 4000.0::double, 1.0) as judge from documents left join labels using (doc_id)), a as (select lang, count(human) as n_lab, count(*) filter (human is null) as n_unl, avg(judge - human) as bias, avg(abs(human - judge)) as mae, avg(judge) filter (human is null) + avg(human - judge) as ppi, sqrt(var_samp(judge) filter (human is null) / count(*) filter (human is null) + var_samp(human - judge) / count(human)) as se from s group by lang) select lang, n_lab, n_unl, round(bias, 4) as bias, round(mae, 4) as mae, round(ppi, 4) as ppi, round(ppi - 1.959963984540054::double * se, 4) as low, round(ppi + 1.959963984540054::double * se, 4) as high from a where n_lab >= 2 and n_unl >= 2")
