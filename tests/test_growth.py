@@ -26,6 +26,13 @@ def test_contrast_groups_carry_no_sets_of_a_group(spark):
     assert "collect_set" not in plan_of(edges)
 
 
+def test_contrast_groups_are_one_pass_a_kind(spark):
+    """Identities are made once, whatever the number of kinds, and a kind's groups are put in order once."""
+    plan = QUERIES["q37_contrast_groups"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines()) == len(contrasts.KINDS)
+    assert "regexp_extract" not in plan and "parquet" not in plan
+
+
 def test_shared_inputs_carry_no_sets_of_a_group(spark):
     assert "collect_set" not in plan_of(QUERIES["q38_shared_inputs"](spark, SMALL))
 

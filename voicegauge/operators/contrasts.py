@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voicegauge.operators.settle import settled
 from voicegauge.schemas import PRECISION_BITS
 
 
@@ -88,23 +89,29 @@ KINDS = {
     "recognizer": (("model_tag", "setting"), "recognizer", ("used desc", "ord"), "concat(model_tag, '_at_', setting)"),
 }
 
+#: What the kinds read of a run, besides the number of runs of its recognizer.
+COMPARED = ("run", "ord", "model_tag", "temperature", "recognizer", "family", "size_label", "size_b", "tuning", "quantization", "precision_bits", "lineage", "setting")
+
 
 def contrast_edges(runs: DataFrame) -> DataFrame:
     """(kind, group_id, baseline, contrast) of identified runs: groups that agree in all but one property, each member against the first in its order.
 
-    With several recognizers the group's name carries its own. Whether a group
-    varies is asked of its least and greatest value, so no row carries a set
-    that grows with the group.
+    With several recognizers the group's name carries its own. Identities are
+    written once, with the number of runs of their recognizer, and a kind is
+    one pass over its groups in order: a group varies if its least value isn't
+    its greatest, so no row carries a set that grows with the group.
     """
+    used = runs.groupBy(F.col("recognizer").alias("__r")).agg(F.count("*").alias("used"))
+    runs = settled(runs.select(*COMPARED).join(used, F.col("recognizer").eqNullSafe(F.col("__r"))).drop("__r"))
     several = runs.agg(F.min("recognizer") < F.max("recognizer")).scalar()
-    runs = runs.withColumn("used", F.count("*").over(Window.partitionBy("recognizer"))).withColumn("several", F.coalesce(several, F.lit(False)))
+    runs = runs.withColumn("several", F.coalesce(several, F.lit(False)))
     out = None
     for kind, (fixed, varying, order, name) in KINDS.items():
-        w = Window.partitionBy(*fixed)
-        by = w.orderBy(*(F.expr(o.split()[0]).desc() if " desc" in o else F.expr(o.split()[0]).asc_nulls_last() for o in order))
+        by = Window.partitionBy(*fixed).orderBy(*(F.expr(o.split()[0]).desc() if " desc" in o else F.expr(o.split()[0]).asc_nulls_last() for o in order))
+        w = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         varies = F.min(varying).over(w) < F.max(varying).over(w) if varying else F.count("*").over(w) >= 2
         group = F.expr(name) if kind == "recognizer" else F.when(F.col("several"), F.concat_ws("_", F.expr(name), F.col("recognizer"))).otherwise(F.expr(name))
-        edges = runs.select(F.lit(kind).alias("kind"), group.alias("group_id"), F.first("run").over(by).alias("baseline"), F.col("run").alias("contrast"), varies.alias("varies"), F.row_number().over(by).alias("place"))
+        edges = runs.select(F.lit(kind).alias("kind"), group.alias("group_id"), F.first("run").over(w).alias("baseline"), F.col("run").alias("contrast"), varies.alias("varies"), F.row_number().over(by).alias("place"))
         edges = edges.where("varies and place > 1").drop("varies", "place")
         out = edges if out is None else out.union(edges)
     return out

@@ -24,6 +24,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k.cast("string").alias("run"), k.alias("ord"), tag.alias("model_tag"), temperature.alias("temperature"), F.when(F.floor(k / 48) % 3 == 1, 42).alias("seed"), F.concat(pick(("vosk-small-cpu", "whisper-small-cuda"), F.floor(k / 120)), F.lit("-"), F.floor(k / 240).cast("string")).alias("recognizer"), F.col("p_type").alias("prompt_file"), F.col("p_size").alias("num_ctx"))
 
 
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs are a few bytes in a file and many steps in a task, so they are dealt out before they are told apart."""
+    return contrasts.identify(runs(spark, sf_dir).repartition("run"))
+
+
 IDENT_SQL = """runs as (select cast(k as varchar) as run, k as ord, (['llama3.2', 'llama3.1', 'qwen2.5', 'gemma3'])[(k // 3) % 4 + 1] || ':' || (['1b', '3b', '8b', '500m'])[(k // 12) % 4 + 1] || '-instruct-' || (['q4_K_M', 'q8_0', 'fp16'])[k % 3 + 1] as model_tag,
       case when (k // 48) % 3 = 0 then 0.0 when (k // 48) % 3 = 1 then 0.7 end::double as temperature, case when (k // 48) % 3 = 1 then 42 end as seed, (['vosk-small-cpu', 'whisper-small-cuda'])[(k // 120) % 2 + 1] || '-' || (k // 240)::varchar as recognizer, p_type as prompt_file, p_size as num_ctx from (select p_partkey as k, * from part)),
     ident as (select *, split_part(model_tag, ':', 1) as family, split_part(split_part(model_tag, ':', 2), '-', 1) as size_label, split_part(model_tag, '-', 2) as tuning, split_part(model_tag, '-', 3) as quantization,
@@ -49,12 +54,12 @@ def _edges_sql() -> str:
 
 @query("q37_contrast_groups", f"with {_edges_sql()} select * from edges")
 def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contrasts.contrast_edges(contrasts.identify(runs(spark, sf_dir)))
+    return contrasts.contrast_edges(_identified(spark, sf_dir))
 
 
 @query("q38_shared_inputs", f"with {_edges_sql()}, m as (select distinct kind, group_id, run from (select kind, group_id, baseline as run from edges union all select kind, group_id, contrast from edges)), v as (select kind, group_id, unnest([{{'p': 'prompt_file', 'v': prompt_file}}, {{'p': 'num_ctx', 'v': cast(num_ctx as varchar)}}, {{'p': 'seed', 'v': cast(seed as varchar)}}]) as x from m join runs using (run)) select kind, group_id, x.p as property, count(distinct x.v) + max((x.v is null)::int) as n_distinct from v group by all")
 def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = contrasts.identify(runs(spark, sf_dir))
+    r = _identified(spark, sf_dir)
     return contrasts.shared_inputs(contrasts.contrast_edges(r), r, ("prompt_file", "num_ctx", "seed"))
 
 
