@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from voicegauge.operators import contrasts, pairing, sweep
 from voicegauge.plans import load_all
+from voicegauge.sources import models
 
 QUERIES = load_all()[0]
 
@@ -83,3 +84,30 @@ def test_words_are_told_apart_once(spark):
 
 def test_reliability_reads_the_ratings_once(spark):
     assert QUERIES["q18_icc"](spark, SMALL)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def python_steps_of_stages(df):
+    """How many Python steps each stage of a plan has, so how many Python workers each of its tasks."""
+    found, stack = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth, name = len(line) - len(line.lstrip(" :+-")), line.lstrip(" :+-*(0123456789)")
+        while stack and stack[-1][0] >= depth:
+            stack.pop()
+        n = 0 if name.startswith(("Exchange", "BroadcastExchange")) else (stack[-1][1] if stack else 0) + name.startswith(("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "ArrowEvalPythonUDTF"))
+        stack.append((depth, n))
+        found.append(n)
+    return found
+
+
+def test_claims_take_a_python_worker_a_task(spark):
+    df = QUERIES["q50_selfcheck_factprecision"](spark, SMALL)
+    assert max(python_steps_of_stages(df)) == 1
+    assert "MapInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replies_of_more_prompts_than_a_task_holds(spark):
+    n = 2 * models.HELD + 7
+    prompts = spark.range(n).select("id", F.when(F.col("id") != 5, F.format_string("rate from 1 to 9 %d", "id")).alias("prompt")).coalesce(1)
+    got = {r.id: r for r in models.ask_all(prompts, ["id"], models.stub).collect()}
+    assert len(got) == n and got[5].reply is None and got[5].error
+    assert all(r.reply == models.stub(f"rate from 1 to 9 {i}") and r.error is None for i, r in got.items() if i != 5)

@@ -97,15 +97,18 @@ def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q50_selfcheck_factprecision")
 def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self-consistency against the question's own words, and claims labelled by the stub judge."""
+    """Self-consistency against the question's own words, and claims labelled by the stub judge.
+
+    What a Python step makes is dealt out before the next, so a task has one Python worker, not one for each step.
+    """
     t = turns(spark, sf_dir)
     parts = t.select("item", F.posexplode(F.split("text", r"[.!?]\s+")).alias("sentence", "s"), F.split("question", r"[.!?]\s+").alias("qs"))
     support = parts.select("item", "sentence", F.lit(0).alias("sample"), "s", F.posexplode("qs").alias("other", "q")).select("item", "sentence", "sample", "other", overlap.token_scores(answer_tokens(F.col("s")), answer_tokens(F.col("q")))["f1"].alias("score"))
     check = models.self_check(support)
     asked = models.ask_all(t.select("item", F.concat_ws("\n", F.lit("claims of:"), "text").alias("prompt")), ["item"], models.stub)
-    asked.createOrReplaceTempView("voicegauge_replies")
+    asked.select("item", "reply").repartition("item").createOrReplaceTempView("voicegauge_replies")
     spark.udtf.register("voicegauge_claims", models.Claims)
-    claims = spark.sql("select item, c.claim_no, c.claim from voicegauge_replies, lateral voicegauge_claims(reply, 10) c")
+    claims = spark.sql("select item, c.claim_no, c.claim from voicegauge_replies, lateral voicegauge_claims(reply, 10) c").repartition("item")
     labels = models.ask_all(claims.select("item", F.concat_ws("\n", F.lit("supported?"), "item", "claim").alias("prompt")), ["item"], models.stub)
     facts = models.fact_precision(labels.select("item", F.regexp_extract("reply", r'"label": "(\w+)"', 1).alias("label")))
     return check.join(facts, "item", "left").select("item", r4("mean").alias("inconsistency"), r4("max").alias("worst"), "flagged", "n_claims", r4("precision").alias("precision"))

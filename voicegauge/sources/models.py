@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,26 +100,34 @@ def with_retries(client: Client, times: int = 2) -> Client:
     return ask
 
 
+#: Replies that a task holds before it passes them on.
+HELD = 1000
+
+
 def ask_all(prompts: DataFrame, key: list[str], client: Client, retries: int = 2) -> DataFrame:
-    """key columns, reply, error, tokens and seconds of each prompt; calls are made where the rows are."""
+    """key columns, reply, error, tokens and seconds of each prompt; calls are made where the rows are, and a prompt is text only while it's asked."""
     kinds = dict(prompts.dtypes)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answers(asked: pa.RecordBatch, ask: Client) -> pa.RecordBatch:
+        out = []
+        for p in asked.column("prompt"):
+            begun = time.monotonic()
+            try:
+                said = ask(p.as_py())
+                out.append((str(said), None, getattr(said, "tokens", None), time.monotonic() - begun))
+            except Exception as e:  # a failed call is a result: the item has no score
+                out.append((None, str(e), None, time.monotonic() - begun))
+        made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*(asked.column(k) for k in key), *made], [*key, "reply", "error", "tokens", "seconds"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = with_retries(client, retries)
-        for pdf in batches:
-            out = []
-            for p in pdf["prompt"]:
-                begun = time.monotonic()
-                try:
-                    said = ask(p)
-                    out.append((str(said), None, getattr(said, "tokens", None), time.monotonic() - begun))
-                except Exception as e:  # a failed call is a result: the item has no score
-                    out.append((None, str(e), None, time.monotonic() - begun))
-            made = pd.DataFrame(out, columns=["reply", "error", "tokens", "seconds"], index=pdf.index)
-            yield pd.concat([pdf[key], made.astype({"tokens": "Int64"})], axis=1)
+        for batch in batches:
+            for i in range(0, batch.num_rows, HELD):
+                yield answers(batch.slice(i, HELD), ask)
 
     made = ", ".join([*(f"{k} {kinds[k]}" for k in key), "reply string", "error string", "tokens long", "seconds double"])
-    return prompts.select(*key, "prompt").mapInPandas(rows, made)
+    return prompts.select(*key, "prompt").mapInArrow(rows, made)
 
 
 def rubric_judge(items: DataFrame, rubric: DataFrame, client: Client = stub, samples: int = 1, model: str = "stub") -> DataFrame:
